@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quire import fixed
 
 WORD = "[a-z0-9]+"
-EMPTY = F.lit("")
 
 
 def blank(c: Column) -> Column:
@@ -43,7 +42,7 @@ def file_slug(name: Column) -> Column:
 
 
 def clean_name(name: Column) -> Column:
-    base = F.element_at(F.split(F.coalesce(name, EMPTY), r"[\\/]"), -1)
+    base = F.element_at(F.split(F.coalesce(name, F.lit("")), r"[\\/]"), -1)
     kept = strip(F.regexp_replace(base, r'[\x00-\x1f\x7f"<>|]', ""))
     return F.substring(F.when(kept == "", "document").otherwise(kept), 1, 160)
 
@@ -71,7 +70,7 @@ def human_list(items: Column) -> Column:
     """'a, b and c'."""
     n = F.size(items)
     head = F.array_join(F.slice(items, F.lit(1), F.greatest(n - 1, F.lit(0))), ", ")
-    return F.when(n == 0, EMPTY).when(n == 1, F.element_at(items, 1)).otherwise(
+    return F.when(n == 0, F.lit("")).when(n == 1, F.element_at(items, 1)).otherwise(
         F.concat(head, F.lit(" and "), F.get(items, n - 1))
     )
 
@@ -81,7 +80,7 @@ def counted(n: Column, one: str, many: str | None = None) -> Column:
 
 
 def escape_markdown(c: Column) -> Column:
-    flat = F.regexp_replace(F.coalesce(c, EMPTY), r"\r?\n", " ")
+    flat = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r?\n", " ")
     return F.regexp_replace(flat, r"([\\`*_\[\]<>|])", r"\\$1")
 
 
@@ -179,4 +178,4 @@ def sha256(c: Column) -> Column:
 
 
 def day_label(d: Column, long: bool = False) -> Column:
-    return F.coalesce(F.date_format(d, "d MMMM yyyy" if long else "d MMM yyyy"), EMPTY)
+    return F.coalesce(F.date_format(d, "d MMMM yyyy" if long else "d MMM yyyy"), F.lit(""))
