@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
+import os
+import shutil
+import tempfile
 
-MODULES = ["ranking", "structuring", "evidence", "checking", "timetables", "graphs", "evaluation", "logs", "helpers"]
+import quire
+
+MODULES = ["ranking", "structuring", "evidence", "checking", "timetables", "graphs", "evaluation", "logs", "helpers", "policy"]
+_SHIPPED = set()
 
 
 def _modules():
@@ -16,11 +23,28 @@ def _modules():
                 raise
 
 
+def ship(spark) -> None:
+    """Give the Python workers this package, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(quire.__file__)))
+    name = os.path.join(tempfile.mkdtemp(prefix="spark-quire-"), "quire")
+    sc.addPyFile(shutil.make_archive(name, "zip", root, "quire"))
+    _SHIPPED.add(sc.applicationId)
+
+
+def _shipped(fn):
+    @functools.wraps(fn)
+    def run(spark, folder):
+        ship(spark)
+        return fn(spark, folder)
+
+    return run
+
+
 def queries() -> dict:
-    found = {}
-    for module in _modules():
-        found.update(module.QUERIES)
-    return found
+    return {name: _shipped(fn) for module in _modules() for name, fn in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
