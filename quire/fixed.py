@@ -69,3 +69,32 @@ PLAN_EVENTS = [
     ("examination-recommendations-published", "report-publish", "start", False),
     ("adopted", "adoption", "start", True),
 ]
+
+# Milestones in creation order: id, label, phase, kind.
+MILESTONES = [
+    ("timetable", "Publish the local plan timetable", "get-ready", "milestone"),
+    ("notice", "Notice of intention to commence", "get-ready", "milestone"),
+    ("scoping", "Scoping consultation", "get-ready", "window"),
+    ("gateway-1", "Gateway 1: publish the self-assessment summary", "get-ready", "milestone"),
+    ("scoping-summary", "Publish the summary of scoping consultation", "prepare", "milestone"),
+    ("content", "Consultation on proposed plan content and evidence", "prepare", "window"),
+    ("sea-scope", "SEA consultation bodies respond on the environmental report scope", "prepare", "milestone"),
+    ("content-summary", "Publish the summary of that consultation", "prepare", "milestone"),
+    ("g2-notice", "Tell the Planning Inspectorate your Gateway 2 date", "prepare", "milestone"),
+    ("gateway-2", "Gateway 2 assessment", "prepare", "window"),
+    ("g2-publish", "Publish the Gateway 2 report and everything submitted", "prepare", "milestone"),
+    ("plan", "Consultation on the proposed local plan (and SDS conformity)", "prepare", "window"),
+    ("plan-summary", "Publish the summary of the proposed plan consultation", "prepare", "milestone"),
+    ("g3-notice", "Tell the Planning Inspectorate your Gateway 3 date", "prepare", "milestone"),
+    ("gateway-3", "Gateway 3 assessment", "prepare", "window"),
+    ("submission", "Submit the plan for examination", "examine", "milestone"),
+    ("examination", "Examination", "examine", "window"),
+    ("hearing-notice", "Publish hearing date, time, place and the Inspector's name", "examine", "milestone"),
+    ("report", "Inspector's report received; fact-check within 5 days", "adopt", "milestone"),
+    ("report-publish", "Publish the recommendations and reasons", "adopt", "milestone"),
+    ("adoption", "Full council adopts the plan; adoption statement and SEA statement published", "adopt", "milestone"),
+    ("policies-map", "Policies map published", "adopt", "deadline"),
+    ("evaluation", "Plan evaluation report", "monitor", "milestone"),
+    ("next-plan", "Latest date to pass Gateway 1 for the next plan", "monitor", "deadline"),
+]
+PHASES = ["get-ready", "prepare", "examine", "adopt"]

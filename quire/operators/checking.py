@@ -144,7 +144,7 @@ def presence_rule(entities: DataFrame, doc: str, code: str, order: Column) -> Da
     """How many entities a document has and the codes of the first twelve."""
     total = entities.groupBy(doc).agg(F.count("*").alias("n"))
     first = top_k(entities.withColumn("_o", order), [doc], [F.asc("_o")], 12, "_n")
-    names = first.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", code))), lambda x: x[code]).alias("codes"))
+    names = first.groupBy(doc).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", code))), lambda x: x[code]).alias("codes"))
     more = F.when(F.col("n") > 12, " and others").otherwise("")
     return total.join(names, doc).select(doc, "n", F.concat(
         F.lit("The plan allocates "), T.counted(F.col("n"), "site"), F.lit(": "), T.human_list(F.col("codes")), more, F.lit(".")).alias("finding"))
@@ -159,7 +159,7 @@ def field_coverage(cells: DataFrame, doc: str, entities: DataFrame, most: int =
     checked = top_k(entities, [doc], [F.asc("entity")], most, "_n")
     expected = checked.select(doc, "entity", "label", F.explode(F.array(*[F.lit(i) for i in range(1, 8)])).alias("field"))
     grid = expected.join(cells, ["entity", "field"], "left").withColumn("status", F.coalesce("status", F.lit(ST.NONE)))
-    listed = lambda s: T.human_list(F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.struct("entity", "label")))), lambda x: x.label))
+    listed = lambda s: T.human_list(F.transform(F.sort_array(F.collect_list(F.when(F.col("status") == s, F.struct("entity", "label")))), lambda x: x.label))
     out = grid.groupBy(doc, "field").agg(
         F.count_if(F.col("status") == "met").alias("met"), F.count("*").alias("n"), listed("partly").alias("thin"),
         listed("missing").alias("absent"), listed(ST.NONE).alias("unassessed"), ST.across(F.col("status")).alias("status"))
@@ -180,7 +180,7 @@ def entity_findings(clauses: DataFrame, key: str) -> DataFrame:
     n = F.count_if(kept)
     clash = F.coalesce(F.bool_or(kept & (F.col("relation") == "contradicts")), F.lit(False))
     named = F.collect_set(F.when((national.isNotNull() & ~local) | (kept & (F.col("relation") == "contradicts")), national))
-    g = clauses.groupBy(key).agg(own.alias("own"), n.alias("n"), F.count("*").alias("all"), clash.alias("clash"), F.array_join(F.array_sort(named), ", ").alias("codes"))
+    g = clauses.groupBy(key).agg(own.alias("own"), n.alias("n"), F.count("*").alias("all"), clash.alias("clash"), F.array_join(F.sort_array(named), ", ").alias("codes"))
     status = F.when(F.col("own") == 0, "missing").when((F.col("own") == F.col("n")) & ~F.col("clash"), "met").otherwise("partly")
     finding = (F.when(F.col("clash"), "inconsistent").when(status == "met", "adds-local-detail").when(status == "missing", "restates").otherwise("partly-restates"))
     none = F.col("n") == 0
@@ -198,8 +198,8 @@ def derived_items(links: DataFrame, key: str, results: DataFrame, source: str, o
     not_met = F.col("status") != "met"
     worst = rows.groupBy(key).agg(ST.worst(F.col("status")).alias("status"), F.count("*").alias("sources"))
     gaps = top_k(rows.where(not_met), [key], [F.asc(order), F.asc(source)], 6, "_n").groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "gap", "action"))), lambda x: x.gap), "; ").alias("gaps"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "gap", "action"))), lambda x: x.action), " ").alias("actions"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "gap", "action"))), lambda x: x.gap), "; ").alias("gaps"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "gap", "action"))), lambda x: x.action), " ").alias("actions"))
     return worst.join(gaps, key, "left").select(key, "status", "sources", F.coalesce("gaps", F.lit("")).alias("gaps"), F.coalesce("actions", F.lit("")).alias("actions"))
 
 
@@ -220,13 +220,13 @@ def coverage_matrix(cells: DataFrame, entity: str, fields: list[int], order: Col
 def incomplete_entities(cells: DataFrame, entity: str) -> DataFrame:
     """Entities with a field that is not met, and which."""
     worst = cells.groupBy(entity, "field").agg(ST.worst(F.col("status")).alias("status")).where("status <> 'met'")
-    return worst.groupBy(entity).agg(F.array_join(F.array_sort(F.collect_set("field")), ", ").alias("fields"))
+    return worst.groupBy(entity).agg(F.array_join(F.sort_array(F.collect_set("field")), ", ").alias("fields"))
 
 
 def officer_actions(items: DataFrame, key: str, found: DataFrame, order: Column, most: int = fixed.MAX_ALLOCATIONS) -> DataFrame:
     """What only the authority can complete, with the entities found in the draft appended."""
     first = top_k(found.withColumn("_o", order), [key], [F.asc("_o")], most, "_n")
-    labels = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "label"))), lambda x: x.label), "; ").alias("labels"))
+    labels = first.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "label"))), lambda x: x.label), "; ").alias("labels"))
     return items.join(labels, key, "left").select(key, F.concat("action", F.coalesce(
         F.concat(F.lit(" Found in the draft: "), "labels", F.lit(".")), F.lit(""))).alias("action"))
 

@@ -42,7 +42,7 @@ def block_scope(sections: DataFrame, doc: str) -> DataFrame:
     next policy heading. A document's sections are one row while this runs.
     """
     item = F.struct("section_no", "level", "heading", "text", names_policy(F.col("heading")).alias("own"))
-    lists = sections.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("s"))
+    lists = sections.groupBy(doc).agg(F.sort_array(F.collect_list(item)).alias("s"))
     rows = lists.select(doc, "s", F.posexplode("s").alias("i", "x"))
     rest = F.slice("s", F.col("i") + 2, F.size("s"))
     stops = F.array_position(F.transform(rest, lambda n: (n.level <= F.col("x.level")) | n.own), True)

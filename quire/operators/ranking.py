@@ -80,7 +80,7 @@ def budget_retrieve(scored: DataFrame, qkey: str, key: str, budget: int = fixed.
         first = F.struct(F.lit(0).alias("tier"), F.lit(0.0).alias("rank"), F.col(key).cast("long").alias("id"),
                          F.col("size").cast("long").alias("size"), F.col("locator_size").cast("long").alias("extra"))
         rows = rows.unionByName(required.select(qkey, first.alias("item")))
-    lists = rows.groupBy(qkey).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    lists = rows.groupBy(qkey).agg(F.sort_array(F.collect_list("item")).alias("items"))
     start = F.struct(F.expr("cast(array() as array<bigint>)").alias("ids"), F.lit(0).cast("long").alias("used"))
 
     def step(acc, x):
@@ -89,7 +89,7 @@ def budget_retrieve(scored: DataFrame, qkey: str, key: str, budget: int = fixed.
         grown = F.struct(F.array_append(acc.ids, x.id).alias("ids"), (acc.used + x.size + x.extra).alias("used"))
         return F.when(take, grown).otherwise(acc)
 
-    chosen = lists.select(qkey, F.array_sort(F.reduce("items", start, step).ids).alias("ids"))
+    chosen = lists.select(qkey, F.sort_array(F.reduce("items", start, step).ids).alias("ids"))
     return chosen.select(qkey, F.posexplode("ids").alias("place", key))
 
 
@@ -102,12 +102,12 @@ def merge_passages(lists: DataFrame, gkey: str, list_no: str, key: str, budget:
     turn = F.struct("rank", list_no)
     first = lists.groupBy(gkey, key).agg(F.min(turn).alias("turn"), F.first("size").alias("size"))
     item = F.struct("turn", F.col(key).cast("long").alias("id"), F.col("size").cast("long").alias("size"))
-    queues = first.groupBy(gkey).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    queues = first.groupBy(gkey).agg(F.sort_array(F.collect_list(item)).alias("items"))
     start = F.struct(F.expr("cast(array() as array<bigint>)").alias("ids"), F.lit(0).cast("long").alias("used"))
     step = lambda acc, x: F.when(
         acc.used + x.size <= budget,
         F.struct(F.array_append(acc.ids, x.id).alias("ids"), (acc.used + x.size).alias("used"))).otherwise(acc)
-    return queues.select(gkey, F.posexplode(F.array_sort(F.reduce("items", start, step).ids)).alias("place", key))
+    return queues.select(gkey, F.posexplode(F.sort_array(F.reduce("items", start, step).ids)).alias("place", key))
 
 
 def field_scores(passages: DataFrame, key: str, expanded: DataFrame, qkey: str) -> DataFrame:
@@ -235,7 +235,7 @@ def _fit(texts: pd.Series, most: pd.Series) -> pd.Series:
 
 def fit_passages(hits: DataFrame, qkey: str, most: int = 5200) -> DataFrame:
     """Shorten a question's few passages until they fit: the longest by 30 %, or the last dropped."""
-    lists = hits.groupBy(qkey).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("items"))
+    lists = hits.groupBy(qkey).agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("items"))
     fitted = lists.select(qkey, _fit(F.col("items.text"), F.lit(most)).alias("texts"))
     return fitted.select(qkey, F.posexplode("texts").alias("place", "text"))
 

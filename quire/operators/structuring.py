@@ -78,7 +78,7 @@ def unique_ids(sections: DataFrame, doc: str, order: str, name: str = "id") -> D
     """Repeated ids of one document numbered -2, -3, … past any that are taken."""
     rest = [c for c in sections.columns if c not in (doc, order, name)]
     item = F.struct(order, name, *rest)
-    lists = sections.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("s"))
+    lists = sections.groupBy(doc).agg(F.sort_array(F.collect_list(item)).alias("s"))
     named = lists.select(doc, F.inline(F.arrays_zip("s", _unique(F.col(f"s.{name}")).alias("anchor"))))
     return named.select(doc, "s.*", "anchor")
 
@@ -206,7 +206,7 @@ def footnote_attach(blocks: DataFrame, notes: DataFrame, doc: str) -> DataFrame:
 def heading_paths(sections: DataFrame, doc: str) -> DataFrame:
     """The open headings above each section; a lone document title is left out of the others' paths."""
     item = F.struct("section_no", "level", "heading")
-    lists = sections.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("s"))
+    lists = sections.groupBy(doc).agg(F.sort_array(F.collect_list(item)).alias("s"))
     start = F.struct(F.expr("cast(array() as array<struct<level:int,heading:string>>)").alias("stack"),
                      F.expr("cast(array() as array<array<string>>)").alias("paths"))
 
@@ -345,7 +345,7 @@ def heading_outline(sections: DataFrame, doc: str, budget: int = 4000) -> DataFr
     """Headings indented by level until the budget is spent, then an ellipsis."""
     line = F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.least(F.lit(4), F.col("level")) - 1)), F.col("heading"))
     lists = sections.where("heading <> ''").groupBy(doc).agg(
-        F.array_sort(F.collect_list(F.struct("section_no", line.alias("line")))).alias("s"))
+        F.sort_array(F.collect_list(F.struct("section_no", line.alias("line")))).alias("s"))
     start = F.struct(F.expr(STRINGS).alias("out"), F.lit(0).alias("used"), F.lit(False).alias("stop"))
 
     def step(acc, x):

@@ -36,7 +36,7 @@ def resolve_citations(spark, sf):
     """Orders cite customers; a customer with money is a passage, found under two routes."""
     c = table(spark, sf, "customer").where("c_acctbal > 0")
     own = c.select(F.col("c_custkey").alias("key"), F.concat(F.lit("/n/"), "c_nationkey", F.lit("/")).alias("route"), F.col("c_mktsegment").alias("title"), F.lit(1).alias("place"))
-    other = c.select(F.col("c_custkey").alias("key"), F.lit("/other/").alias("route"), F.col("c_name").alias("title"), (F.col("c_custkey") % 3).cast("int").alias("place"))
+    other = c.select(F.col("c_custkey").alias("key"), F.lit("/other/").alias("route"), F.col("c_name").alias("title"), (F.col("c_custkey") % 3 * 2).cast("int").alias("place"))
     cites = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
     return C.resolve_citations(cites, own.unionByName(other), ["key"], "place").select("o_orderkey", "key", "route", "title", "resolved")
 
@@ -57,7 +57,7 @@ def validate_items(spark, sf):
     entry = F.struct(d.cast("string").alias("id"), status.alias("status"), F.when(d % 11 == 0, "  ").otherwise("found").alias("finding"), F.array(F.lit("q")).alias("evidence"),
                      conditions.alias("conditions"), F.struct((1980 + d % 150).cast("int").alias("planEnd")).alias("facts"))
     batch = F.expr("doc_id div 4").alias("batch")
-    replies = table(spark, sf, "labels").select(batch, entry.alias("e")).groupBy("batch").agg(F.array_sort(F.collect_list(F.to_json("e"))).alias("l"))
+    replies = table(spark, sf, "labels").select(batch, entry.alias("e")).groupBy("batch").agg(F.sort_array(F.collect_list(F.to_json("e"))).alias("l"))
     replies = replies.select("batch", F.concat(F.lit('{"items": ['), F.array_join("l", ","), F.lit("]}")).alias("reply"))
     wanted = documents(spark, sf).select(batch, d.cast("string").alias("id"))
     return C.validate_items(replies, wanted, "batch", 3)
@@ -100,7 +100,7 @@ def settle_conditions(spark, sf):
     c = table(spark, sf, "benchmark").join(found, "item_id", "left")
     yes = (F.col("item_id") % 3 != 0) & F.coalesce("found", F.lit(False))
     g = c.groupBy(F.expr("item_id div 4").alias("item")).agg(
-        F.count_if(yes).alias("yes"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~yes, F.struct("item_id", "text")))), lambda x: F.concat(
+        F.count_if(yes).alias("yes"), F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~yes, F.struct("item_id", "text")))), lambda x: F.concat(
             F.lit("Not shown: "), F.lower(F.left(x.text, F.lit(1))), F.expr("''"), F.substring(x.text, 2, 60))), "; ").alias("gaps"))
     return g.select("item", "yes", "n", ST.across_conditions(F.col("yes"), F.col("n")).alias("status"), "gaps")
 
@@ -264,8 +264,7 @@ ORACLES = {
       SELECT p_partkey, 'unknown assess' AS problem FROM i WHERE assess = 'guess' UNION ALL SELECT p_partkey, 'needs a title and a requirement' FROM i WHERE p_size = 7 UNION ALL
       SELECT p_partkey, 'cites nothing' FROM i WHERE p_size % 4 = 0 UNION ALL SELECT p_partkey, 'duplicate id' FROM i QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) > 1 UNION ALL
       SELECT p_partkey, 'unknown source' FROM i WHERE 'NATION_' || p_size NOT IN (SELECT n_name FROM nation) UNION ALL SELECT p_partkey, 'derives from unknown item' FROM i WHERE df IS NOT NULL AND df NOT IN (SELECT p_name FROM part)""",
-    "resolve_citations": """WITH p AS (SELECT c_custkey AS key, '/n/' || c_nationkey || '/' AS route, c_mktsegment AS title, 1 AS place FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_custkey, '/other/', c_name, c_custkey % 3 FROM customer WHERE c_acctbal > 0),
-      f AS (SELECT key, CASE WHEN key % 3 = 0 THEN '/other/' ELSE max(route) FILTER (WHERE place = 1 AND route LIKE '/n/%') END AS route, CASE WHEN key % 3 = 0 THEN max(title) FILTER (WHERE route = '/other/') ELSE max(title) FILTER (WHERE route LIKE '/n/%') END AS title FROM p GROUP BY ALL)
+    "resolve_citations": """WITH f AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN '/other/' ELSE '/n/' || c_nationkey || '/' END AS route, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_mktsegment END AS title FROM customer WHERE c_acctbal > 0)
       SELECT o_orderkey, o_custkey AS key, coalesce(route, '') AS route, coalesce(title, '') AS title, f.key IS NOT NULL AS resolved FROM orders LEFT JOIN f ON f.key = o_custkey""",
     "parse_reply_json": """SELECT event_id, event_id % 6 NOT IN (3, 4) AS ok, CASE WHEN event_id % 6 = 2 THEN event_id WHEN event_id % 6 IN (3, 4) THEN -1 ELSE json_extract(props, '$.k')::BIGINT END AS k FROM events""",
     "validate_items": """SELECT doc_id // 4 AS batch, doc_id::VARCHAR AS id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN doc_id % 13 = 0 THEN 'a status that is not allowed' WHEN doc_id % 11 = 0 THEN 'no finding'

@@ -150,7 +150,7 @@ def fit_passages(spark, sf):
 def citation_map(spark, sf):
     """The answer numbered its passages by score, the page by document id."""
     best = rank_passages(spark, sf)
-    page = best.groupBy(Q).agg(F.array_sort(F.collect_list(KEY)).alias("ids"))
+    page = best.groupBy(Q).agg(F.sort_array(F.collect_list(KEY)).alias("ids"))
     shown = page.select(Q, F.posexplode("ids").alias("p", KEY))
     return best.join(shown, [Q, KEY]).select(Q, F.col("rank").alias("n"), (F.col("p") + 1).alias("page_n"))
 
