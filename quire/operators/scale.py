@@ -1,8 +1,10 @@
 """Ordered work on groups of any size.
 
-A window over one key puts that key's rows in one task. These helpers cut a
-group into slices of its order first, so a key with a third of all rows is
-worked on by many tasks and only one small row per slice is ordered as a whole.
+A window over one key puts that key's rows in one task. That is right for groups
+of a known size; so each helper first asks how large the largest group is (one
+aggregate, combined before it is shuffled). If a group is larger than `most`,
+groups are cut into slices of their order: many tasks work on a hot key, and
+only one small row per slice is ordered as a whole. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -10,41 +12,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 1024
+MOST = 1_000_000
+SLICES = 4096
 
 
-def sliced(df: DataFrame, place: Column, slices: int = SLICES, name: str = "slice") -> DataFrame:
+def largest(df: DataFrame, group: list[str]) -> int:
+    """Rows of the largest group."""
+    return df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def sliced(df: DataFrame, place: Column, slices: int, name: str) -> DataFrame:
     """Adds the slice of a numeric place, by equal widths between its smallest and largest."""
-    rows = df.withColumn("_v", place)
-    ends = df.agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    a, b = ends.select("a").scalar(), ends.select("b").scalar()
-    return rows.withColumn(name, F.floor((F.col("_v") - a) * F.lit(float(slices)) / (b - a + 1)).cast("int")).drop("_v")
+    ends = df.agg(F.struct(F.min(place).alias("a"), F.max(place).alias("b")).alias("e")).select("e").scalar()
+    a, b = ends.getField("a"), ends.getField("b")
+    return df.withColumn(name, F.floor((place - a) * F.lit(float(slices)) / (b - a + 1)).cast("int"))
 
 
-def numbered(df: DataFrame, group: list[str], place: Column, order: list[str], name: str, slices: int = SLICES) -> DataFrame:
-    """row_number within groups of any size. `order` must begin with `place`."""
-    return running_total(df, group, place, order, F.lit(1), name, slices)
+def numbered(df: DataFrame, group: list[str], place: Column, order: list[str], name: str, most: int = MOST, slices: int = SLICES) -> DataFrame:
+    """row_number within groups of any size. `order` must begin with `place`, which is numeric."""
+    return running_total(df, group, place, order, F.lit(1), name, most, slices)
 
 
 def running_total(df: DataFrame, group: list[str], place: Column, order: list[str], amount: Column, name: str,
-                  slices: int = SLICES) -> DataFrame:
+                  most: int = MOST, slices: int = SLICES) -> DataFrame:
     """Sum of `amount` up to and with each row, within groups of any size."""
+    if largest(df, group) <= most:
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(amount).over(w))
     rows = sliced(df, place, slices, "_slice").withColumn("_amount", amount)
     inner = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.groupBy(*group, "_slice").agg(F.sum("_amount").alias("_sum"))
     outer = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(outer), F.lit(0))).drop("_sum")
+    earlier = sums.withColumn("_earlier", F.coalesce(F.sum("_sum").over(outer), F.lit(0))).drop("_sum")
     local = rows.withColumn("_local", F.sum("_amount").over(inner))
-    joined = local.join(before, [*group, "_slice"])
-    return joined.withColumn(name, F.col("_before") + F.col("_local")).drop("_slice", "_amount", "_local", "_before")
+    joined = local.join(earlier, [*group, "_slice"])
+    return joined.withColumn(name, F.col("_earlier") + F.col("_local")).drop("_slice", "_amount", "_local", "_earlier")
 
 
 def previous(df: DataFrame, group: list[str], place: Column, order: list[str], value: str, name: str,
-             slices: int = SLICES) -> DataFrame:
-    """lag(value) within groups of any size."""
+             most: int = MOST, slices: int = SLICES) -> DataFrame:
+    """lag(value) within groups of any size; the value is never null."""
+    if largest(df, group) <= most:
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*group).orderBy(*order)))
     rows = sliced(df, place, slices, "_slice")
-    key = F.struct(*order)
-    last = rows.groupBy(*group, "_slice").agg(F.max_by(value, key).alias("_last"))
+    last = rows.groupBy(*group, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
     w = Window.partitionBy(*group).orderBy("_slice")
     carried = last.withColumn("_carried", F.lag("_last").over(w)).drop("_last")
     local = rows.withColumn("_lag", F.lag(value).over(Window.partitionBy(*group, "_slice").orderBy(*order)))
