@@ -162,15 +162,20 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
-def stem_array(c: Column) -> Column:
-    kept = F.filter(words(c), lambda w: (F.length(w) > 1) & ~w.isin(fixed.STEM_STOP))
-    return F.transform(kept, stem)
+def kept_words(c: Column) -> Column:
+    """How many words of a text are not dropped before stemming, counted without taking the text apart."""
+    stop = "|".join(fixed.STEM_STOP)
+    return F.regexp_count(F.lower(c), F.lit(rf"(?<![a-z0-9])(?!(?:{stop})(?![a-z0-9]))[a-z0-9]{{2,}}"))
+
+
+def tokens(c: Column) -> Column:
+    """A text split at separators and punctuation, as the search index sees it."""
+    return F.split(c, r"[\n\r\p{Z}\p{P}]+")
 
 
 def index_array(c: Column) -> Column:
-    """Terms as the search index sees them: split at separators and punctuation, not stemmed."""
-    lowered = F.transform(F.split(c, r"[\n\r\p{Z}\p{P}]+"), F.lower)
-    return F.filter(lowered, lambda w: (F.length(w) > 1) & ~w.isin(fixed.INDEX_STOP))
+    """Index terms of a short text; long ones are exploded and filtered as rows instead."""
+    return F.filter(tokens(F.lower(c)), lambda w: (F.length(w) > 1) & ~w.isin(fixed.INDEX_STOP))
 
 
 def sha256(c: Column) -> Column:

@@ -19,13 +19,13 @@ def bm25(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: str
     q = terms.query_terms(queries, qkey, text)
     tf = terms.weighted_postings(passages, key, q.select("term").distinct())
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = terms.passage_lengths(passages, key)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    total, avg = stats.select("n").scalar(), stats.select("avg").scalar()
+    sized = passages.select(terms.passage_length(F.col("heading"), F.col("body")).alias("len"))
+    stats = sized.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avg")).alias("s")).select("s").scalar()
+    total, avg = stats.getField("n"), stats.getField("avg")
     idf = F.ln(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     k1, b = fixed.BM25_K1, fixed.BM25_B
     part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * ((1 - b) + b * F.col("len") / avg))
-    rows = tf.join(lengths, key).join(df, "term").join(q, "term")
+    rows = tf.join(df, "term").join(q, "term")
     return rows.groupBy(qkey, key).agg(F.sum(part).alias("score"))
 
 
@@ -120,14 +120,12 @@ def field_scores(passages: DataFrame, key: str, expanded: DataFrame, qkey: str)
     k, b, d = fixed.FIELD_K, fixed.FIELD_B, fixed.FIELD_D
     vocabulary = expanded.select("term").distinct()
     total = passages.agg(F.count("*").alias("n")).select("n").scalar()
-    tokens = lambda c: F.split(c, r"[\n\r\p{Z}\p{P}]+")
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(boost).alias("boost"), F.col(f).alias("value"))
                        for f, boost in fixed.FIELD_BOOST.items()])
     rows = passages.select(key, F.inline(fields))
-    sized = rows.select(key, "field", "boost", "value", F.size(F.array_distinct(tokens(F.col("value")))).alias("len"))
+    sized = rows.select(key, "field", "boost", "value", F.size(F.array_distinct(T.tokens(F.col("value")))).alias("len"))
     average = sized.groupBy("field").agg(F.avg("len").alias("avg"))
-    hits = sized.select(key, "field", "boost", "len", F.explode(T.index_array(F.col("value"))).alias("term"))
-    hits = hits.join(vocabulary, "term", "left_semi")
+    hits = terms.index_rows(sized, [key, "field", "boost", "len"], F.col("value")).join(vocabulary, "term", "left_semi")
     tf = hits.groupBy(key, "field", "boost", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -137,12 +135,12 @@ def field_scores(passages: DataFrame, key: str, expanded: DataFrame, qkey: str)
 
 
 def index_query(queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
-    return queries.select(qkey, F.explode(T.index_array(F.col(text))).alias("qterm")).distinct()
+    return terms.index_rows(queries, [qkey], F.col(text), "qterm").distinct()
 
 
 def index_vocabulary(passages: DataFrame) -> DataFrame:
     values = F.array(*[F.col(f) for f in fixed.FIELD_BOOST])
-    return passages.select(F.explode(values).alias("v")).select(F.explode(T.index_array(F.col("v"))).alias("term")).distinct()
+    return terms.index_rows(passages.select(F.explode(values).alias("v")), [], F.col("v")).distinct()
 
 
 def search(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: str = "text",
@@ -188,7 +186,7 @@ def unique_anchor(found: DataFrame, qkey: str, key: str, anchor: list[str], limi
 def snippet(text: Column, found_terms: Column, width: int = 320) -> Column:
     """The text around the first matched term, cut at blanks, with ellipses."""
     low = F.lower(text)
-    places = F.filter(F.transform(found_terms, lambda t: F.locate(t, low) - 1 if isinstance(t, str) else F.instr(low, t) - 1), lambda i: i >= 0)
+    places = F.filter(F.transform(found_terms, lambda t: F.instr(low, t) - 1), lambda i: i >= 0)
     at = F.coalesce(F.array_min(places), F.lit(0))
     start = F.greatest(F.lit(0), at - width // 3)
     before = F.left(text, start + 1)

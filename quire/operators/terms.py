@@ -18,28 +18,33 @@ def split_heading(docs: DataFrame) -> DataFrame:
 
 def term_rows(df: DataFrame, keys: list[str], text: Column, kept_as: str = "term") -> DataFrame:
     """One row per stemmed term occurrence; filter and stem run in generated code after the explode."""
-    raw = df.select(*keys, F.explode(T.words(text)).alias("w"))
-    kept = raw.where((F.length("w") > 1) & ~F.col("w").isin(fixed.STEM_STOP))
-    return kept.select(*keys, T.stem(F.col("w")).alias(kept_as))
+    raw = df.select(*keys, F.explode(T.words(text)).alias("_w"))
+    kept = raw.where((F.length("_w") > 1) & ~F.col("_w").isin(fixed.STEM_STOP))
+    return kept.withColumn(kept_as, T.stem(F.col("_w"))).drop("_w")
+
+
+def index_rows(df: DataFrame, keys: list[str], text: Column, kept_as: str = "term") -> DataFrame:
+    """One row per index term occurrence."""
+    raw = df.select(*keys, F.explode(T.tokens(F.lower(text))).alias(kept_as))
+    return raw.where((F.length(kept_as) > 1) & ~F.col(kept_as).isin(fixed.INDEX_STOP))
+
+
+def passage_length(heading: Column, body: Column) -> Column:
+    """Weighted length of a passage, from its own row."""
+    return (T.kept_words(body) + fixed.HEADING_WEIGHT * T.kept_words(heading)).cast("long")
 
 
 def weighted_postings(passages: DataFrame, key: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(passage, term, tf): text terms count once, heading terms three times.
+    """(passage, len, term, tf): text terms count once, heading terms three times.
 
     With a vocabulary, other terms are dropped before the shuffle.
     """
-    body = term_rows(passages, [key], F.col("body")).withColumn("w", F.lit(1))
-    head = term_rows(passages, [key], F.col("heading")).withColumn("w", F.lit(fixed.HEADING_WEIGHT))
-    rows = body.unionByName(head)
+    sides = F.array(F.struct(F.col("body").alias("side"), F.lit(1).alias("w")), F.struct(F.col("heading").alias("side"), F.lit(fixed.HEADING_WEIGHT).alias("w")))
+    halves = passages.select(key, passage_length(F.col("heading"), F.col("body")).alias("len"), F.inline(sides))
+    rows = term_rows(halves, [key, "len", F.col("w").alias("weight")], F.col("side"))
     if vocabulary is not None:
         rows = rows.join(vocabulary, "term", "left_semi")
-    return rows.groupBy(key, "term").agg(F.sum("w").alias("tf"))
-
-
-def passage_lengths(passages: DataFrame, key: str) -> DataFrame:
-    """Weighted length of every passage, from the row itself: no shuffle."""
-    size = F.size(T.stem_array(F.col("body"))) + fixed.HEADING_WEIGHT * F.size(T.stem_array(F.col("heading")))
-    return passages.select(key, size.cast("long").alias("len"))
+    return rows.groupBy(key, "len", "term").agg(F.sum("weight").alias("tf"))
 
 
 def query_terms(queries: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -116,15 +121,15 @@ def contains_pairs(hay: DataFrame, key: str, body: str, needles: DataFrame, nkey
     words = hay.select(key, F.explode(F.array_distinct(F.split(F.col(body), r"\s+"))).alias("word"))
     wanted = inner.select("word").distinct()
     df = words.join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    rare = inner.join(df, "word", "left").groupBy(nkey).agg(
+    keys = inner.join(df, "word", "left").groupBy(nkey).agg(
         F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
-
-    sizes = edge.agg(F.collect_set(F.length("sub")).alias("s")).select("s").scalar()
-    vocabulary = words.select("word").distinct()
-    subs = vocabulary.select("word", F.explode(sizes).alias("k")).where(F.col("k") <= F.length("word"))
-    subs = subs.select("word", "k", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("k") + 1)).alias("at"))
-    subs = subs.select("word", F.substring("word", F.col("at"), F.col("k")).alias("sub")).distinct()
-    keys = rare.select(nkey, "word").unionByName(subs.join(edge, "sub").select(nkey, "word"))
+    sizes = [r[0] for r in edge.select(F.length("sub")).distinct().collect()]  # a few word lengths, none in most runs
+    if sizes:
+        vocabulary = words.select("word").distinct()
+        subs = vocabulary.select("word", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("k")).where(F.col("k") <= F.length("word"))
+        subs = subs.select("word", "k", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("k") + 1)).alias("at"))
+        subs = subs.select("word", F.substring("word", F.col("at"), F.col("k")).alias("sub")).distinct()
+        keys = keys.unionByName(subs.join(edge, "sub").select(nkey, "word"))
 
     pairs = words.join(keys, "word").select(key, nkey).distinct()
     found = pairs.join(hay.select(key, body), key).join(needles.select(nkey, needle), nkey)

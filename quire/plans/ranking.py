@@ -40,7 +40,7 @@ def stem_terms(spark, sf):
 
 
 def index_terms(spark, sf):
-    docs = documents(spark, sf).select("doc_id", F.explode(T.index_array(F.col("text"))).alias("term"))
+    docs = TM.index_rows(documents(spark, sf), ["doc_id"], F.col("text"))
     return docs.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
