@@ -162,12 +162,6 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
-def kept_words(c: Column) -> Column:
-    """How many words of a text are not dropped before stemming, counted without taking the text apart."""
-    stop = "|".join(fixed.STEM_STOP)
-    return F.regexp_count(F.lower(c), F.lit(rf"(?<![a-z0-9])(?!(?:{stop})(?![a-z0-9]))[a-z0-9]{{2,}}"))
-
-
 def tokens(c: Column) -> Column:
     """A text split at separators and punctuation, as the search index sees it."""
     return F.split(c, r"[\n\r\p{Z}\p{P}]+")

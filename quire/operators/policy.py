@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators.structuring import footnote_attach, toc_titles
-from quire.session import shared_dir
+from quire.session import written
 
 # The forms a line can have.
 POLICY = r"^([A-Z]{1,2}\d{1,2}):\s+(.+)$"
@@ -184,8 +184,7 @@ def footnotes(found: DataFrame, doc: str) -> DataFrame:
 
 def chunks(found: DataFrame, doc: str) -> DataFrame:
     """One chunk per policy or heading, then one per footnote with its policy in the heading."""
-    shared_dir(found.sparkSession)
-    found = found.checkpoint()  # read four times below
+    found = written(found, "blocks")  # read four times below
     w = Window.partitionBy(doc, "chapter").orderBy("block_no")
     body = found.where("type <> 'footnote'").withColumn("scope", F.last(F.when(F.col("type").isin("policy", "h3"), F.struct(
         "block_no", F.when(F.col("type") == "policy", F.col("marker")).otherwise(T.slug(F.col("text"))).alias("anchor"),

@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, StringType
 from quire import fixed
 from quire.functions import text as T
 from quire.operators import terms
+from quire.session import written
 
 PLACES = 4
 
@@ -17,9 +18,10 @@ PLACES = 4
 def bm25(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
     """(query, passage, score), unrounded. Passage text never enters a shuffle."""
     q = terms.query_terms(queries, qkey, text)
-    tf = terms.weighted_postings(passages, key, q.select("term").distinct())
+    postings = written(terms.weighted_postings(passages, key, q.select("term").distinct()), "postings")
+    tf = postings.where("term is not null")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    sized = passages.select(terms.passage_length(F.col("heading"), F.col("body")).alias("len"))
+    sized = postings.groupBy(key).agg(F.first("len").alias("len"))
     stats = sized.agg(F.struct(F.count("*").alias("n"), F.avg("len").alias("avg")).alias("s")).select("s").scalar()
     total, avg = stats.getField("n"), stats.getField("avg")
     idf = F.ln(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -110,28 +112,29 @@ def merge_passages(lists: DataFrame, gkey: str, list_no: str, key: str, budget:
     return queues.select(gkey, F.posexplode(F.sort_array(F.reduce("items", start, step).ids)).alias("place", key))
 
 
-def field_scores(passages: DataFrame, key: str, expanded: DataFrame, qkey: str) -> DataFrame:
-    """(query, passage, qterm, score) of the fielded search.
+def field_scores(passages: DataFrame, key: str, expanded: DataFrame) -> DataFrame:
+    """(passage, qterm, score) of the fielded search, once for all queries that share a term.
 
-    `passages` holds text, heading and title; `expanded` (query, qterm, term,
-    weight). Each field has its own lengths and document counts. The score of a
+    `passages` holds text, heading and title; `expanded` (qterm, term, weight). Each field has its own lengths and document counts. The score of a
     match is weight x boost x idf x (d + tf (k + 1) / (tf + k (1 - b + b len / avg))).
     """
     k, b, d = fixed.FIELD_K, fixed.FIELD_B, fixed.FIELD_D
-    vocabulary = expanded.select("term").distinct()
-    total = passages.agg(F.count("*").alias("n")).select("n").scalar()
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(boost).alias("boost"), F.col(f).alias("value"))
                        for f, boost in fixed.FIELD_BOOST.items()])
     rows = passages.select(key, F.inline(fields))
-    sized = rows.select(key, "field", "boost", "value", F.size(F.array_distinct(T.tokens(F.col("value")))).alias("len"))
-    average = sized.groupBy("field").agg(F.avg("len").alias("avg"))
-    hits = terms.index_rows(sized, [key, "field", "boost", "len"], F.col("value")).join(vocabulary, "term", "left_semi")
-    tf = hits.groupBy(key, "field", "boost", "len", "term").agg(F.count("*").alias("tf"))
+    sized = rows.select(key, "field", "boost", F.lower("value").alias("value"), F.size(F.array_distinct(T.tokens(F.col("value")))).alias("len"))
+    raw = sized.select(key, "field", "boost", "len", F.explode(T.tokens(F.col("value"))).alias("term"))
+    kept = raw.withColumn("term", F.when((F.length("term") > 1) & ~F.col("term").isin(fixed.INDEX_STOP), F.col("term")))
+    counts = terms.in_vocabulary(kept, expanded.select("term").distinct()).groupBy(key, "field", "boost", "len", "term").agg(F.count("*").alias("tf"))
+    postings = written(counts, "field-postings")
+    tf = postings.where("term is not null")
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    per_field = postings.groupBy(key, "field").agg(F.first("len").alias("len"))
+    average = per_field.groupBy("field").agg(F.avg("len").alias("avg"), F.count("*").alias("n"))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = d + F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / F.col("avg")))
     joined = tf.join(df, ["field", "term"]).join(average, "field").join(expanded, "term")
-    return joined.groupBy(qkey, key, "qterm").agg(F.sum(F.col("weight") * F.col("boost") * idf * gain).alias("score"))
+    return joined.groupBy(key, "qterm").agg(F.sum(F.col("weight") * F.col("boost") * idf * gain).alias("score"))
 
 
 def index_query(queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
@@ -151,16 +154,16 @@ def search(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: s
     the search does.
     """
     q = index_query(queries, qkey, text)
+    asked = q.select("qterm").distinct()
     if expand:
-        grown = terms.expansions(q.select("qterm").distinct(), index_vocabulary(passages))
-        expanded = q.join(grown, "qterm")
+        expanded = written(terms.expansions(asked, index_vocabulary(passages)), "expansions")
     else:
-        expanded = q.select(qkey, "qterm", F.col("qterm").alias("term"), F.lit(1.0).alias("weight"))
-    parts = field_scores(passages, key, expanded, qkey)
+        expanded = asked.select("qterm", F.col("qterm").alias("term"), F.lit(1.0).alias("weight"))
+    parts = field_scores(passages, key, expanded)
     if only is not None:
         parts = parts.join(only, key, "left_semi")
     wanted = q.groupBy(qkey).agg(F.count("*").alias("wanted"))
-    found = parts.groupBy(qkey, key).agg(F.sum("score").alias("sum"), F.count("*").alias("matched"))
+    found = parts.join(q, "qterm").groupBy(qkey, key).agg(F.sum("score").alias("sum"), F.count("*").alias("matched"))
     return found.join(wanted, qkey).select(
         qkey, key, F.round(F.col("sum") * F.col("matched"), PLACES).alias("score"), "matched",
         F.when(F.col("matched") == F.col("wanted"), 0).otherwise(1).alias("tier"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import fixed
@@ -29,22 +29,27 @@ def index_rows(df: DataFrame, keys: list[str], text: Column, kept_as: str = "ter
     return raw.where((F.length(kept_as) > 1) & ~F.col(kept_as).isin(fixed.INDEX_STOP))
 
 
-def passage_length(heading: Column, body: Column) -> Column:
-    """Weighted length of a passage, from its own row."""
-    return (T.kept_words(body) + fixed.HEADING_WEIGHT * T.kept_words(heading)).cast("long")
+def in_vocabulary(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Terms outside the vocabulary become null, so that what is counted per passage stays whole."""
+    known = vocabulary.select("term", F.lit(True).alias("_in"))
+    return rows.join(known, "term", "left").withColumn("term", F.when(F.col("_in"), F.col("term"))).drop("_in")
 
 
 def weighted_postings(passages: DataFrame, key: str, vocabulary: DataFrame | None = None) -> DataFrame:
     """(passage, len, term, tf): text terms count once, heading terms three times.
 
-    With a vocabulary, other terms are dropped before the shuffle.
+    One pass over the text gives both the postings and each passage's weighted
+    length. With a vocabulary all other terms of a passage fall into one row
+    without a term before the shuffle; every passage has at least one row.
     """
     sides = F.array(F.struct(F.col("body").alias("side"), F.lit(1).alias("w")), F.struct(F.col("heading").alias("side"), F.lit(fixed.HEADING_WEIGHT).alias("w")))
-    halves = passages.select(key, passage_length(F.col("heading"), F.col("body")).alias("len"), F.inline(sides))
-    rows = term_rows(halves, [key, "len", F.col("w").alias("weight")], F.col("side"))
+    raw = passages.select(key, F.inline(sides)).select(key, "w", F.explode_outer(T.words(F.col("side"))).alias("_w"))
+    keep = F.coalesce((F.length("_w") > 1) & ~F.col("_w").isin(fixed.STEM_STOP), F.lit(False))
+    rows = raw.select(key, F.when(keep, F.col("w")).otherwise(0).alias("weight"), F.when(keep, T.stem(F.col("_w"))).alias("term"))
     if vocabulary is not None:
-        rows = rows.join(vocabulary, "term", "left_semi")
-    return rows.groupBy(key, "len", "term").agg(F.sum("weight").alias("tf"))
+        rows = in_vocabulary(rows, vocabulary)
+    tf = rows.groupBy(key, "term").agg(F.sum("weight").alias("tf"))
+    return tf.withColumn("len", F.sum("tf").over(Window.partitionBy(key)))
 
 
 def query_terms(queries: DataFrame, key: str, text: str = "text") -> DataFrame:

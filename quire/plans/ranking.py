@@ -45,7 +45,7 @@ def index_terms(spark, sf):
 
 
 def term_stats(spark, sf):
-    tf = TM.weighted_postings(_passages(spark, sf), KEY)
+    tf = TM.weighted_postings(_passages(spark, sf), KEY).where("term is not null")
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("tf").alias("max_tf"))
 
 

@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import fixed
 from quire.functions import text as T
-from quire.session import shared_dir
+from quire.session import scratch  # noqa: F401
 
 USAGE_SCHEMA = ("at timestamp, feature string, connection string, kind string, model string, ms double, "
                 "ok boolean, tokensIn bigint, tokensOut bigint, error string")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """A JSON file with one list of sources."""
     return spark.read.json(path, multiLine=True).select(F.explode("sources").alias("s")).select("s.*")
