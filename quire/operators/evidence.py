@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from quire import fixed
 from quire.functions import text as T
-from quire.operators.terms import contains_pairs
+from quire.operators.terms import candidate_pairs
 
 
 def usable_quotes(quotes: DataFrame, quote: str, min_length: int = 4, max_length: int = 1200) -> DataFrame:
@@ -88,7 +88,7 @@ def verify_quotes(sections: DataFrame, doc: str, section: str, quotes: DataFrame
     needles = q.select(qkey, longest.alias("needle"))
     if scope is not None:
         norm = norm.join(scope.select(doc, section).distinct(), [doc, section], "left_semi")
-    pairs = contains_pairs(norm, "_s", "norm", needles, qkey, "needle")
+    pairs = candidate_pairs(norm, "_s", "norm", needles, qkey, "needle")
     if scope is not None:
         pairs = pairs.select(qkey, "_s", F.col(f"_s.{doc}").alias(doc), F.col(f"_s.{section}").alias(section)).join(
             scope, [qkey, doc, section], "left_semi").select(qkey, "_s")

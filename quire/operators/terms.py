@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed
 from quire.functions import text as T
+from quire.session import written
 
 
 def split_heading(docs: DataFrame) -> DataFrame:
@@ -107,35 +108,41 @@ def expansions(query_side: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return exact.unionByName(starts).unionByName(near)
 
 
-def contains_pairs(hay: DataFrame, key: str, body: str, needles: DataFrame, nkey: str, needle: str) -> DataFrame:
-    """(key, nkey) where the needle occurs in the body.
+def candidate_pairs(hay: DataFrame, key: str, body: str, needles: DataFrame, nkey: str, needle: str) -> DataFrame:
+    """(key, nkey) for every body that can hold a needle, and few others.
 
     Words inside a needle, between two blanks, must occur whole in any body that
     holds it, so a pair is a candidate only if the needle's rarest inner word
     is a word of the body. A needle of one or two words has no inner word: its
-    longest word is matched against the words that contain it instead. Bodies
-    meet needles only on those words; the text test then decides.
+    longest word is matched against the words that contain it instead.
     """
     parts = F.split(F.col(needle), r"\s+")
-    n = needles.select(nkey, needle, parts.alias("parts")).where(F.length(needle) > 0)
+    n = needles.select(nkey, parts.alias("parts")).where("parts[0] <> '' or size(parts) > 1")
     inner = n.where(F.size("parts") > 2).select(
         nkey, F.explode(F.array_distinct(F.expr("slice(parts, 2, size(parts) - 2)"))).alias("word"))
     longest = F.reduce("parts", F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     edge = n.where(F.size("parts") <= 2).select(nkey, longest.alias("sub")).where("sub <> ''")
 
     words = hay.select(key, F.explode(F.array_distinct(F.split(F.col(body), r"\s+"))).alias("word"))
-    wanted = inner.select("word").distinct()
-    df = words.join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    keys = inner.join(df, "word", "left").groupBy(nkey).agg(
+    # Where the needles' own words stand: one pass over the bodies, then only this is read.
+    places = written(words.join(inner.select("word").distinct(), "word", "left_semi"), "word-places")
+    df = places.groupBy("word").agg(F.count("*").alias("df"))
+    rare = inner.join(df, "word", "left").groupBy(nkey).agg(
         F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    pairs = places.join(rare, "word").select(key, nkey)
     sizes = [r[0] for r in edge.select(F.length("sub")).distinct().collect()]  # a few word lengths, none in most runs
     if sizes:
         vocabulary = words.select("word").distinct()
         subs = vocabulary.select("word", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("k")).where(F.col("k") <= F.length("word"))
         subs = subs.select("word", "k", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("k") + 1)).alias("at"))
         subs = subs.select("word", F.substring("word", F.col("at"), F.col("k")).alias("sub")).distinct()
-        keys = keys.unionByName(subs.join(edge, "sub").select(nkey, "word"))
+        within = words.join(subs.join(edge, "sub").select(nkey, "word").distinct(), "word").select(key, nkey)
+        pairs = pairs.unionByName(within.distinct())
+    return pairs
+
 
-    pairs = words.join(keys, "word").select(key, nkey).distinct()
-    found = pairs.join(hay.select(key, body), key).join(needles.select(nkey, needle), nkey)
+def contains_pairs(hay: DataFrame, key: str, body: str, needles: DataFrame, nkey: str, needle: str) -> DataFrame:
+    """(key, nkey) where the needle occurs in the body. Only candidates are compared."""
+    pairs = candidate_pairs(hay, key, body, needles, nkey, needle)
+    found = hay.select(key, body).join(pairs, key).join(needles.select(nkey, needle), nkey)
     return found.where(F.contains(F.col(body), F.col(needle))).select(key, nkey)

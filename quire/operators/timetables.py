@@ -65,17 +65,26 @@ def _dates(plans: DataFrame, anchor: str) -> tuple[DataFrame, dict[str, tuple[Co
     }
 
 
-def schedule(plans: DataFrame, key: str, anchor: str) -> DataFrame:
-    """(plan, milestones): an array in date order, ties in creation order. Missing durations take their defaults."""
+def milestones(plans: DataFrame, key: str, anchor: str) -> DataFrame:
+    """One row per milestone in date order, ties in creation order. Missing durations take their defaults.
+
+    Dates stay in plain arrays and the order in one number per milestone, so a
+    plan's 24 rows come from a sort of 24 integers.
+    """
     df, dates = _dates(plans, anchor)
-    rows = [F.struct(dates[i][0].alias("start"), F.lit(n).alias("seq"), dates[i][1].alias("end"), F.lit(i).alias("id"), F.lit(label).alias("label"),
-                     F.lit(phase).alias("phase"), F.lit(kind).alias("kind")) for n, (i, label, phase, kind) in enumerate(fixed.MILESTONES)]
-    return df.select(key, F.col(anchor).alias("anchor"), F.sort_array(F.array(*rows)).alias("milestones"), months_between(F.col(anchor), F.col("_d_adoption")).alias("months"))
+    starts = F.array(*[dates[i][0] for i, *_ in fixed.MILESTONES])
+    ends = F.array(*[dates[i][1] for i, *_ in fixed.MILESTONES])
+    df = df.select(key, starts.alias("_s"), ends.alias("_e"))
+    order = F.sort_array(F.transform("_s", lambda d, n: F.unix_date(d) * 32 + n))
+    rows = df.select(key, "_s", "_e", F.posexplode(order).alias("place", "_k")).withColumn("seq", F.pmod("_k", F.lit(32)))
+    word = lambda n: F.get(F.array(*[F.lit(m[n]) for m in fixed.MILESTONES]), F.col("seq"))
+    return rows.select(key, "place", word(0).alias("id"), word(1).alias("label"), F.get("_s", F.col("seq")).alias("start"),
+                       F.get("_e", F.col("seq")).alias("end"), word(2).alias("phase"), word(3).alias("kind"), "seq")
 
 
-def milestones(plans: DataFrame, key: str, anchor: str) -> DataFrame:
-    s = schedule(plans, key, anchor).select(key, F.posexplode("milestones").alias("place", "m"))
-    return s.select(key, "place", "m.id", "m.label", "m.start", "m.end", "m.phase", "m.kind", "m.seq")
+def months_to_adoption(plans: DataFrame, key: str, anchor: str) -> DataFrame:
+    df, _ = _dates(plans, anchor)
+    return df.select(key, months_between(F.col(anchor), F.col("_d_adoption")).alias("months"))
 
 
 def checks(plans: DataFrame, key: str, anchor: str) -> DataFrame:

@@ -96,7 +96,7 @@ def judge_clauses(spark, sf):
 
 def settle_conditions(spark, sf):
     """Four benchmark texts are the conditions of an item, answered yes where not a multiple of three."""
-    found = E._found(spark, sf).where("quote_id % 2 = 0").select(F.expr("quote_id div 2").alias("item_id")).distinct().withColumn("found", F.lit(True))
+    found = E._found(spark, sf, elided=False).select(F.expr("quote_id div 2").alias("item_id")).distinct().withColumn("found", F.lit(True))
     c = table(spark, sf, "benchmark").join(found, "item_id", "left")
     yes = (F.col("item_id") % 3 != 0) & F.coalesce("found", F.lit(False))
     g = c.groupBy(F.expr("item_id div 4").alias("item")).agg(
@@ -225,13 +225,13 @@ def work_batches(spark, sf):
 
 
 def run_diff(spark, sf):
-    """The second run judges every tenth document the other way and loses those numbered nine."""
+    """The second run judges every tenth document the other way and has no partly met instances."""
     l = table(spark, sf, "labels")
     item = lambda q: l.select(F.lit("item").alias("level"), F.col("doc_id").cast("string").alias("key"), ST.labelled(q, F.col("toxic")).alias("status"), "doc_id")
     part = lambda t: l.select(F.lit("instance").alias("level"), F.concat("doc_id", F.lit("/x")).alias("key"), ST.labelled(F.col("quality"), t).alias("status"), "doc_id")
     a = item(F.col("quality")).unionByName(part(F.col("toxic"))).drop("doc_id")
     flip = F.when(F.col("doc_id") % 10 == 0, 1 - F.col("quality")).otherwise(F.col("quality"))
-    b = item(flip).unionByName(part(F.col("toxic")).where("doc_id % 100 <> 9")).drop("doc_id")
+    b = item(flip).unionByName(part(F.col("toxic")).where("status <> 'partly'")).drop("doc_id")
     return C.run_diff(a, b, ["level", "key"])
 
 
@@ -331,7 +331,7 @@ ORACLES = {
     "report_sink": f"{_REPORT} SELECT section, kind, count(*) AS n FROM r GROUP BY ALL",
     "work_batches": "SELECT p_type, p_partkey, (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1) // 4 AS batch FROM part",
     "run_diff": f"""WITH a AS (SELECT 'item' AS level, doc_id::VARCHAR AS key, {_LABEL} AS s FROM labels UNION ALL SELECT 'instance', doc_id || '/x', {_LABEL} FROM labels),
-      b AS (SELECT 'item' AS level, doc_id::VARCHAR AS key, {_LABEL} AS s FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels) UNION ALL SELECT 'instance', doc_id || '/x', {_LABEL} FROM labels WHERE doc_id % 100 <> 9)
+      b AS (SELECT 'item' AS level, doc_id::VARCHAR AS key, {_LABEL} AS s FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels) UNION ALL SELECT 'instance', doc_id || '/x', {_LABEL} FROM labels WHERE {_LABEL} <> 'partly')
       SELECT level, count(a.s) AS statuses, count(*) FILTER (WHERE a.s IS NOT NULL AND a.s IS DISTINCT FROM b.s) AS differ, bool_and(a.s IS NOT NULL AND b.s IS NOT NULL) AS same_keys FROM a FULL JOIN b USING (level, key) GROUP BY ALL""",
     "call_stats": "SELECT user_id, count(*) AS calls, count(*) FILTER (WHERE event_type = 'signup') AS retries, count(*) FILTER (WHERE event_type = 'error') AS unanswered, max(value) AS slowest FROM events GROUP BY ALL",
 }

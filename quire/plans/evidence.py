@@ -69,10 +69,12 @@ def normalise_text(spark, sf):
     return documents(spark, sf).select("doc_id", T.normalise(dressed).alias("norm"))
 
 
-def _quotes(spark, sf):
-    """Every benchmark text as a quote, whole and with its middle elided."""
+def _quotes(spark, sf, elided=True):
+    """Every benchmark text as a quote, whole and, where wanted, with its middle elided."""
     b = table(spark, sf, "benchmark")
     whole = b.select((F.col("item_id") * 2).alias("quote_id"), F.concat(F.lit("“"), "text", F.lit("”")).alias("quote"))
+    if not elided:
+        return whole
     cut = F.concat(F.lit("- "), F.left("text", F.lit(40)), F.lit("… "), F.right("text", F.lit(40)), F.lit("."))
     return whole.unionByName(b.select((F.col("item_id") * 2 + 1).alias("quote_id"), cut.alias("quote")))
 
@@ -85,8 +87,8 @@ def _passages(spark, sf):
     return documents(spark, sf).select("doc_id", F.posexplode(S.chunk_pack(F.col("text"))).alias("section_no", "text"))
 
 
-def _found(spark, sf, **kw):
-    return E.verify_quotes(_passages(spark, sf), "doc_id", "section_no", _quotes(spark, sf), "quote_id", **kw)
+def _found(spark, sf, elided=True, **kw):
+    return E.verify_quotes(_passages(spark, sf), "doc_id", "section_no", _quotes(spark, sf, elided), "quote_id", **kw)
 
 
 def verify_quotes(spark, sf):

@@ -36,9 +36,10 @@ def resolve_refs(spark, sf):
 
 def stage_neighbours(spark, sf):
     n = F.col("n_nationkey")
-    stages = table(spark, sf, "nation").where("n_regionkey < 4").select(
+    stages = table(spark, sf, "nation").select(
         n.cast("string").alias("stage"), F.array(*[x.cast("string") for x in (n + 1, n + 5, n * 2)]).alias("next"), F.col("n_regionkey").cast("string").alias("phase"))
-    phases = table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("phase"))
+    r = F.col("r_regionkey")
+    phases = table(spark, sf, "region").select(F.explode(F.array(r, r + 5)).cast("string").alias("phase"))
     return G.stage_neighbours(stages, phases)
 
 
@@ -82,8 +83,8 @@ ORACLES = {
     "resolve_refs": """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey * 2 - 500 AS doc, CASE WHEN l_discount > 0 THEN l_suppkey % 50 END AS anchor FROM lineitem),
       j AS (SELECT l.*, p_partkey, p_size, CASE WHEN p_partkey IS NULL THEN 'unknown source' WHEN anchor IS NULL THEN 'source' WHEN anchor <> p_size THEN 'missing' ELSE 'ok' END AS state FROM l LEFT JOIN part ON p_partkey = doc)
       SELECT l_orderkey, l_linenumber, doc, CASE state WHEN 'unknown source' THEN '#' WHEN 'ok' THEN '/part/' || doc || '/#' || anchor ELSE '/part/' || doc || '/' END AS href, state FROM j""",
-    "stage_neighbours": """WITH s AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation WHERE n_regionkey < 4), e AS (SELECT n, generate_subscripts([1, 2, 3], 1) - 1 AS place, unnest([n + 1, n + 5, n * 2]) AS o FROM s), f AS (SELECT * FROM e WHERE o IN (SELECT n FROM s))
-      SELECT n::VARCHAR AS stage, 'next' AS direction, place, o::VARCHAR AS other FROM f UNION ALL SELECT DISTINCT o::VARCHAR, 'previous', 0, n::VARCHAR FROM f UNION ALL SELECT r_regionkey::VARCHAR, 'unused phase', 0, '' FROM region WHERE r_regionkey NOT IN (SELECT r FROM s)""",
+    "stage_neighbours": """WITH s AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation), e AS (SELECT n, generate_subscripts([1, 2, 3], 1) - 1 AS place, unnest([n + 1, n + 5, n * 2]) AS o FROM s), f AS (SELECT * FROM e WHERE o IN (SELECT n FROM s))
+      SELECT n::VARCHAR AS stage, 'next' AS direction, place, o::VARCHAR AS other FROM f UNION ALL SELECT DISTINCT o::VARCHAR, 'previous', 0, n::VARCHAR FROM f UNION ALL SELECT (r_regionkey + 5)::VARCHAR, 'unused phase', 0, '' FROM region""",
     "flow_reach": """WITH RECURSIVE o AS (SELECT DISTINCT user_id AS q, 2 * ((user_id * 3 + k * k) % 85) + user_id % 2 AS t FROM (SELECT user_id, json_extract(props, '$.k')::BIGINT AS k FROM events)),
       e AS (SELECT q, t FROM o WHERE t IN (SELECT q FROM o)), r AS (SELECT min(q) AS n FROM o UNION SELECT t FROM e JOIN r ON e.q = r.n)
       SELECT DISTINCT q AS node, 'unreachable' AS fault FROM o WHERE q NOT IN (SELECT n FROM r) UNION ALL SELECT DISTINCT q, 'goes nowhere' FROM o WHERE t NOT IN (SELECT q FROM o) UNION ALL SELECT q, 'fewer than two options' FROM o GROUP BY q HAVING count(*) < 2""",

@@ -139,9 +139,11 @@ def event_frames(spark, sf):
 
 
 def stream_answers(spark, sf):
-    """Turns are tokens; a conversation whose number is no multiple of four also gets its end."""
-    t = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("at"), F.lit("token").alias("kind"), F.col("text").alias("token"))
-    ends = t.groupBy("conv_id").agg((F.max("at") + 1).alias("at")).where("conv_id % 4 <> 0").select("conv_id", "at", F.lit("done").alias("kind"), F.lit("").alias("token"))
+    """Turns are tokens; a conversation in which the system spoke was cut off, any other has its end."""
+    c = table(spark, sf, "conversations")
+    t = c.select("conv_id", F.col("turn").alias("at"), F.lit("token").alias("kind"), F.col("text").alias("token"))
+    ends = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("at"), F.bool_or(F.col("role") == "system").alias("cut")).where("not cut").select(
+        "conv_id", "at", F.lit("done").alias("kind"), F.lit("").alias("token"))
     return L.stream_answers(t.unionByName(ends), "conv_id", 2)
 
 
@@ -192,8 +194,8 @@ ORACLES = {
     "sessions": f'{_VISITS} SELECT user_id, visit, min(a) AS "first", max(a) AS "last", count(*) AS uses FROM v GROUP BY ALL',
     "sessions_stream": f'{_VISITS} SELECT user_id, min(a) AS "first", max(a) AS "last", count(*) AS uses FROM v GROUP BY user_id, visit',
     "event_frames": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame_no, ltrim(replace(replace(text, chr(10), ' '), '"', '''')) || chr(10) || turn AS data FROM conversations""",
-    "stream_answers": """WITH n AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS part FROM conversations)
-      SELECT conv_id, part, string_agg(text, '' ORDER BY turn) AS text, count(*) AS tokens, conv_id % 4 <> 0 AS finished FROM n GROUP BY conv_id, part""",
+    "stream_answers": """WITH n AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS part, NOT bool_or(role = 'system') OVER (PARTITION BY conv_id) AS finished FROM conversations)
+      SELECT conv_id, part, string_agg(text, '' ORDER BY turn) AS text, count(*) AS tokens, any_value(finished) AS finished FROM n GROUP BY conv_id, part""",
     "check_progress": "WITH g AS (SELECT user_id, max(event_id) AS step, 9800 + user_id AS total, arg_max(event_type, event_id) AS message FROM events GROUP BY ALL) SELECT *, step >= total AS done FROM g",
     "mask_secrets": """SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'set, ending …' || right(c_name, 4) ELSE '' END AS hint,
       array_to_string(list_filter([CASE WHEN c_nationkey <= 3 THEN 'it has no address' END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'it has no model name' END, CASE WHEN NOT c_acctbal > 0 THEN 'it has no key' END], lambda x: x IS NOT NULL), '; ') AS problems FROM customer""",

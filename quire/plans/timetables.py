@@ -37,7 +37,7 @@ def month_week_maths(spark, sf):
 
 
 def months_to_adoption(spark, sf):
-    return TT.schedule(_plans(spark, sf), K, G).select(K, F.round("months", 6).alias("months"))
+    return TT.months_to_adoption(_plans(spark, sf), K, G).select(K, F.round("months", 6).alias("months"))
 
 
 def schedule_checks(spark, sf):

@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(folder)
         return folder
     if held is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-quire-"))
         held = sc.getCheckpointDir()
     return held

@@ -63,7 +63,7 @@ def test_timetable(spark):
     m = {r.id: str(r.start) for r in TT.milestones(plan(spark, g1="2027-06-30"), "k", "g1").collect()}
     assert m["notice"] == "2027-02-28" and len(m) == 24
     assert TT.milestone_order(plan(spark, g1="2027-01-04"), "k", "g1").first().ok
-    months = TT.schedule(plan(spark, g1="2027-01-04"), "k", "g1").first().months
+    months = TT.months_to_adoption(plan(spark, g1="2027-01-04"), "k", "g1").first().months
     assert 24 < months <= 31
     d = lambda s, n: str(spark.range(1).select(TT.add_months(F.lit(s).cast("date"), F.lit(n))).first()[0])
     assert (d("2027-01-31", 1), d("2027-03-31", -1), d("2028-01-31", 1)) == ("2027-02-28", "2027-02-28", "2028-02-29")
