@@ -205,7 +205,8 @@ def highlight(escaped: Column, found_terms: Column) -> Column:
     """Marks round every word that starts with one of the terms longer than two letters."""
     safe = F.transform(F.filter(found_terms, lambda t: F.length(t) > 2),
                        lambda t: F.regexp_replace(t, r"([.*+?^${}()|\[\]\\])", r"\\$1"))
-    pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9_])(?:"), F.array_join(safe, "|"), F.lit(")[A-Za-z0-9_]*"))
+    edge = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"  # an ASCII word edge; \b here would know accented letters
+    pattern = F.concat(F.lit(f"(?iu){edge}(?:"), F.array_join(safe, "|"), F.lit(r")\w*"))
     return F.when(F.size(safe) == 0, escaped).otherwise(F.regexp_replace(escaped, pattern, F.lit("<mark>$0</mark>")))
 
 

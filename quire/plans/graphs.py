@@ -39,7 +39,7 @@ def stage_neighbours(spark, sf):
     stages = table(spark, sf, "nation").select(
         n.cast("string").alias("stage"), F.array(*[x.cast("string") for x in (n + 1, n + 5, n * 2)]).alias("next"), F.col("n_regionkey").cast("string").alias("phase"))
     r = F.col("r_regionkey")
-    phases = table(spark, sf, "region").select(F.explode(F.array(r, r + 5)).cast("string").alias("phase"))
+    phases = table(spark, sf, "region").select(F.explode(F.array(r.cast("string"), (r + 5).cast("string"))).alias("phase"))
     return G.stage_neighbours(stages, phases)
 
 

@@ -195,6 +195,17 @@ _GROWN = "{'ids': list_append(a.ids, x.id), 'used': a.used + x.size + x.extra, '
 _TAKE = f"CASE WHEN (x.tier = 0 AND (a.used + x.size <= 12000 OR len(a.ids) = 0)) OR (x.tier = 1 AND len(a.ids) < 12 AND a.used + x.size <= 12000) THEN {_GROWN} ELSE a END"
 _MERGE = f"CASE WHEN a.used + x.size <= 24000 THEN {_GROWN} ELSE a END"
 
+_SNIPPET = rf"""{_SEARCH_EXACT},
+      best AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id {_ORDER}) AS rank FROM found QUALIFY rank <= 6),
+      hit AS (SELECT b.item_id, b.doc_id, d.text, coalesce(min(nullif(instr(lower(d.text), qterm), 0)) - 1, 0) AS at_
+        FROM best b JOIN documents d USING (doc_id) LEFT JOIN iq USING (item_id) GROUP BY ALL),
+      s0 AS (SELECT *, greatest(0, at_ - 106) AS s FROM hit),
+      s1 AS (SELECT *, left(text, s + 1) AS before FROM s0),
+      s2 AS (SELECT item_id, doc_id, text, CASE WHEN s > 0 AND contains(before, ' ') AND length(before) - instr(reverse(before), ' ') > 0
+        THEN length(before) - instr(reverse(before), ' ') + 1 ELSE s END AS s FROM s1),
+      pieces AS (SELECT item_id, doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || CASE WHEN s + 320 < length(text)
+        THEN regexp_replace(substring(text, s + 1, 320), '\s\S*$', '') || '…' ELSE substring(text, s + 1, 320) END AS piece FROM s2)"""
+
 ORACLES = {
     "stem_terms": f"SELECT doc_id, term, count(*) AS n FROM ({S.term_rows('documents', 'doc_id', 'text')}) GROUP BY ALL",
     "index_terms": f"SELECT doc_id, term, count(*) AS n FROM ({S.index_rows('documents', 'doc_id', 'text')}) GROUP BY ALL",
@@ -226,16 +237,21 @@ ORACLES = {
       placed AS (SELECT *, row_number() OVER (PARTITION BY item_id {_ORDER}) AS pos FROM found JOIN documents USING (doc_id)),
       best AS (SELECT * FROM placed WHERE tier = 0 OR pos <= 18 QUALIFY row_number() OVER (PARTITION BY item_id, source, lang ORDER BY pos) = 1)
       SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS rank, doc_id, source, lang, tier, score FROM best QUALIFY rank <= 6""",
-    "snippet": rf"""{_SEARCH_EXACT},
+    "snippet": f"{_SNIPPET} SELECT * FROM pieces",
+    "highlight": rf"""{_SNIPPET},
+      raw AS (SELECT item_id, lower(unnest(l)) AS t, generate_subscripts(l, 1) AS i FROM (SELECT item_id, regexp_split_to_array(text, '[\n\r\p{{Z}}\p{{P}}]+') AS l FROM benchmark)),
+      one AS (SELECT item_id, t, min(i) AS i FROM raw WHERE length(t) > 2 AND t NOT IN ({S.INDEX_STOP}) GROUP BY ALL),
+      alts AS (SELECT item_id, string_agg(regexp_replace(t, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g'), '|' ORDER BY i) AS alt FROM one GROUP BY item_id),
+      safe AS (SELECT item_id, doc_id, alt, replace(replace(replace(replace(piece, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS e FROM pieces LEFT JOIN alts USING (item_id))
+      SELECT item_id, doc_id, CASE WHEN alt IS NULL THEN e ELSE regexp_replace(e, '(?i)\b(?:' || alt || ')\w*', '<mark>\0</mark>', 'g') END AS html FROM safe""",
+    "fit_passages": rf"""{_SEARCH_EXACT.replace('WITH', 'WITH RECURSIVE', 1)},
       best AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id {_ORDER}) AS rank FROM found QUALIFY rank <= 6),
-      hit AS (SELECT b.item_id, b.doc_id, d.text, coalesce(min(nullif(instr(lower(d.text), qterm), 0)) - 1, 0) AS at_
-        FROM best b JOIN documents d USING (doc_id) LEFT JOIN iq USING (item_id) GROUP BY ALL),
-      s0 AS (SELECT *, greatest(0, at_ - 106) AS s FROM hit),
-      s1 AS (SELECT *, left(text, s + 1) AS before FROM s0),
-      s2 AS (SELECT item_id, doc_id, text, CASE WHEN s > 0 AND contains(before, ' ') AND length(before) - instr(reverse(before), ' ') > 0
-        THEN length(before) - instr(reverse(before), ' ') + 1 ELSE s END AS s FROM s1)
-      SELECT item_id, doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || CASE WHEN s + 320 < length(text)
-        THEN regexp_replace(substring(text, s + 1, 320), '\s\S*$', '') || '…' ELSE substring(text, s + 1, 320) END AS piece FROM s2""",
+      r AS (SELECT item_id, list(text ORDER BY rank) AS l FROM best JOIN documents USING (doc_id) GROUP BY ALL UNION ALL
+        SELECT item_id, CASE WHEN m <= 600 THEN l[:-2] ELSE list_transform(l, lambda t, i: CASE WHEN i = p THEN regexp_replace(left(t, floor(m * 0.7::DOUBLE)::INT), '\s\S*$', '') || '…' ELSE t END) END
+        FROM (SELECT item_id, l, list_max(list_transform(l, lambda t: length(t))) AS m, list_position(list_transform(l, lambda t: length(t)), list_max(list_transform(l, lambda t: length(t)))) AS p
+          FROM r WHERE list_sum(list_transform(l, lambda t: length(t))) > 5200)),
+      done AS (SELECT item_id, l FROM r WHERE len(l) > 0 AND list_sum(list_transform(l, lambda t: length(t))) <= 5200)
+      SELECT item_id, (generate_subscripts(l, 1) - 1)::INT AS place, unnest(l) AS text FROM done""",
     "ask_passages": r"""WITH t AS (SELECT *, conv_id * 2 + turn // 2 AS d FROM conversations),
       a AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'Bad id ' || d ELSE 'src' || (d % 20) || '#d' || d END AS id FROM t),
       f AS (SELECT conv_id, id, min(turn) AS place FROM a WHERE length(id) <= 160 AND regexp_matches(id, '^[a-z0-9-]+#[A-Za-z0-9._:-]+$') GROUP BY ALL),
