@@ -76,7 +76,8 @@ def milestones(plans: DataFrame, key: str, anchor: str) -> DataFrame:
     ends = F.array(*[dates[i][1] for i, *_ in fixed.MILESTONES])
     df = df.select(key, starts.alias("_s"), ends.alias("_e"))
     order = F.sort_array(F.transform("_s", lambda d, n: F.unix_date(d) * 32 + n))
-    rows = df.select(key, "_s", "_e", F.posexplode(order).alias("place", "_k")).withColumn("seq", F.pmod("_k", F.lit(32)))
+    # The outer form, so that no test for an empty list is pushed through the whole chain of dates.
+    rows = df.select(key, "_s", "_e", F.posexplode_outer(order).alias("place", "_k")).withColumn("seq", F.pmod("_k", F.lit(32)))
     word = lambda n: F.get(F.array(*[F.lit(m[n]) for m in fixed.MILESTONES]), F.col("seq"))
     return rows.select(key, "place", word(0).alias("id"), word(1).alias("label"), F.get("_s", F.col("seq")).alias("start"),
                        F.get("_e", F.col("seq")).alias("end"), word(2).alias("phase"), word(3).alias("kind"), "seq")
@@ -158,7 +159,8 @@ def calendar_quarters(plans: DataFrame, key: str, anchor: str) -> DataFrame:
     a = F.least(*[d[0] for d in shown])
     b = F.date_add(F.greatest(*[d[1] for d in shown], F.add_months(anchor, 30)), 20)
     r = df.select(key, a.alias("a"), b.alias("b"))
-    r = r.select(key, "a", "b", F.explode(F.expr("sequence(cast(trunc(a, 'quarter') as date), b, interval 3 months)")).alias("quarter"))
     # A gridline may stand at most one of the chart's 760 units left of its start.
-    seen = F.datediff("a", "quarter") * 760 <= F.datediff("b", "a")
-    return r.where(seen).select(key, "quarter", (F.month("quarter") == 1).alias("new_year"))
+    seen = F.filter(F.expr("sequence(cast(trunc(a, 'quarter') as date), b, interval 3 months)"),
+                    lambda q: F.datediff(F.col("a"), q) * 760 <= F.datediff(F.col("b"), F.col("a")))
+    r = r.select(key, F.explode_outer(seen).alias("quarter"))
+    return r.select(key, "quarter", (F.month("quarter") == 1).alias("new_year"))
