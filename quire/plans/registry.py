@@ -33,8 +33,10 @@ def _modules():
 
 
 def ship(spark) -> None:
-    """Give the Python workers this package, once per application."""
+    """Give the Python workers this package, once per application; days and instants are UTC."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(quire.__file__)))
