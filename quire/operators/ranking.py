@@ -123,8 +123,8 @@ def field_scores(passages: DataFrame, key: str, expanded: DataFrame) -> DataFram
                        for f, boost in fixed.FIELD_BOOST.items()])
     rows = passages.select(key, F.inline(fields))
     sized = rows.select(key, "field", "boost", F.lower("value").alias("value"), F.size(F.array_distinct(T.tokens(F.col("value")))).alias("len"))
-    raw = sized.select(key, "field", "boost", "len", F.explode(T.tokens(F.col("value"))).alias("term"))
-    kept = raw.withColumn("term", F.when((F.length("term") > 1) & ~F.col("term").isin(fixed.INDEX_STOP), F.col("term")))
+    raw = sized.select(key, "field", "boost", "len", F.explode(F.array_append(T.tokens(F.col("value")), terms.marker(key))).alias("term"))
+    kept = raw.where((F.length("term") > 1) & ~F.col("term").isin(fixed.INDEX_STOP))
     counts = terms.in_vocabulary(kept, expanded.select("term").distinct()).groupBy(key, "field", "boost", "len", "term").agg(F.count("*").alias("tf"))
     postings = written(counts, "field-postings")
     tf = postings.where("term is not null")

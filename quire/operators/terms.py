@@ -30,6 +30,14 @@ def index_rows(df: DataFrame, keys: list[str], text: Column, kept_as: str = "ter
     return raw.where((F.length(kept_as) > 1) & ~F.col(kept_as).isin(fixed.INDEX_STOP))
 
 
+MARK = "\u0000"
+
+
+def marker(key: str) -> Column:
+    """A term no vocabulary holds, one of many, so that every passage leaves a row and none share one join key."""
+    return F.concat(F.lit(MARK), F.pmod(F.xxhash64(key), F.lit(4096)).cast("string"))
+
+
 def in_vocabulary(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Terms outside the vocabulary become null, so that what is counted per passage stays whole."""
     known = vocabulary.select("term", F.lit(True).alias("_in"))
@@ -44,11 +52,14 @@ def weighted_postings(passages: DataFrame, key: str, vocabulary: DataFrame | Non
     without a term before the shuffle; every passage has at least one row.
     """
     sides = F.array(F.struct(F.col("body").alias("side"), F.lit(1).alias("w")), F.struct(F.col("heading").alias("side"), F.lit(fixed.HEADING_WEIGHT).alias("w")))
-    raw = passages.select(key, F.inline(sides)).select(key, "w", F.explode_outer(T.words(F.col("side"))).alias("_w"))
-    keep = F.coalesce((F.length("_w") > 1) & ~F.col("_w").isin(fixed.STEM_STOP), F.lit(False))
-    rows = raw.select(key, F.when(keep, F.col("w")).otherwise(0).alias("weight"), F.when(keep, T.stem(F.col("_w"))).alias("term"))
+    raw = passages.select(key, F.inline(sides)).select(key, "w", F.explode(F.array_append(T.words(F.col("side")), marker(key))).alias("_w"))
+    mark = F.col("_w").startswith(MARK)
+    kept = raw.where(mark | ((F.length("_w") > 1) & ~F.col("_w").isin(fixed.STEM_STOP)))
+    rows = kept.select(key, F.when(mark, 0).otherwise(F.col("w")).alias("weight"), F.when(mark, F.col("_w")).otherwise(T.stem(F.col("_w"))).alias("term"))
     if vocabulary is not None:
         rows = in_vocabulary(rows, vocabulary)
+    else:
+        rows = rows.withColumn("term", F.when(~F.col("term").startswith(MARK), F.col("term")))
     tf = rows.groupBy(key, "term").agg(F.sum("weight").alias("tf"))
     return tf.withColumn("len", F.sum("tf").over(Window.partitionBy(key)))
 
