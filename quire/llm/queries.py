@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from quire.llm.html_extract import extract_text
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix
+from quire.llm.parity_join import similar_documents
+from quire.llm.piece_lattice import decode, encode
+from quire.llm.quality import judge
 from quire.llm.shared import read
+from quire.llm.token_counts import count_tokens
 from quire.llm.url_templates import judge_urls
 from quire.plans.registry import ship
 
@@ -16,14 +22,38 @@ def op1_line_dedup(spark, folder):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_html_text(spark, folder):
+    return extract_text(read(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+def op3_parity_join(spark, folder):
+    return similar_documents(read(spark, folder, "documents"))
+
+
+def op4_token_counts(spark, folder):
+    return count_tokens(read(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 def op5_source_mix(spark, folder):
     return mix(read(spark, folder, "documents").select("doc_id", "source", "text")).drop("source")
 
 
+def op8_quality_rules(spark, folder):
+    return judge(read(spark, folder, "documents").select("doc_id", "lang", "text")).drop("q_row")
+
+
 def op9_url_templates(spark, folder):
     return judge_urls(read(spark, folder, "pages").select("page_id", "url")).drop("url", "purity")
 
 
+def op10_piece_lattice(spark, folder):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode(encode(read(spark, folder, "documents").select("doc_id", "text"), path), path)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), same.alias("round_trip"))
+
+
 def _shipped(fn):
     def run(spark, folder):
         ship(spark)
@@ -32,7 +62,8 @@ def _shipped(fn):
     return run
 
 
-QUERIES = {fn.__name__: _shipped(fn) for fn in (op1_line_dedup, op5_source_mix, op9_url_templates)}
+QUERIES = {fn.__name__: _shipped(fn) for fn in (
+    op1_line_dedup, op2_html_text, op3_parity_join, op4_token_counts, op5_source_mix, op8_quality_rules, op9_url_templates, op10_piece_lattice)}
 
 ORACLES = {
     "op1_line_dedup": """
