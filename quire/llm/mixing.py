@@ -48,7 +48,7 @@ def targets(sizes: DataFrame) -> DataFrame:
             .withColumn("left_weight", F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0))))
     full = F.col("cap") * F.col("left_weight") < F.col("weight") * F.col("left_words")
     rows = rows.withColumn("full", full)
-    level_words = F.min(F.when(~F.col("full"), F.col("left_words"))).over(everyone)
+    level_words = F.max(F.when(~F.col("full"), F.col("left_words"))).over(everyone)
     level_weight = F.max(F.when(~F.col("full"), F.col("left_weight"))).over(everyone)
     share = F.when(F.col("full"), F.col("cap").cast("double")).otherwise((F.col("weight") * level_words).cast("double") / level_weight)
     return rows.withColumn("target", F.coalesce(share, F.lit(0.0))).select("source", "source_size", "weight", "total", "target")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from quire.llm.curve_search import nearest
 from quire.llm.html_extract import extract_text
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix
@@ -38,6 +39,10 @@ def op5_source_mix(spark, folder):
     return mix(read(spark, folder, "documents").select("doc_id", "source", "text")).drop("source")
 
 
+def op6_curve_search(spark, folder):
+    return nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_quality_rules(spark, folder):
     return judge(read(spark, folder, "documents").select("doc_id", "lang", "text")).drop("q_row")
 
@@ -63,7 +68,7 @@ def _shipped(fn):
 
 
 QUERIES = {fn.__name__: _shipped(fn) for fn in (
-    op1_line_dedup, op2_html_text, op3_parity_join, op4_token_counts, op5_source_mix, op8_quality_rules, op9_url_templates, op10_piece_lattice)}
+    op1_line_dedup, op2_html_text, op3_parity_join, op4_token_counts, op5_source_mix, op6_curve_search, op8_quality_rules, op9_url_templates, op10_piece_lattice)}
 
 ORACLES = {
     "op1_line_dedup": """
@@ -81,7 +86,7 @@ c as (select *, source_size * 3 cap, sum(source_size) over () total, sum(weight)
 b as (select *, total - coalesce(sum(cap) over o, 0) left_words, weights - coalesce(sum(weight) over o, 0) left_weight from c
   window o as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 f as (select *, cap * left_weight < weight * left_words as is_full from b),
-g as (select source, source_size, total, coalesce(case when is_full then cap::double else (weight * min(left_words) filter (where not is_full) over ())::double / max(left_weight) filter (where not is_full) over () end, 0) target from f),
+g as (select source, source_size, total, coalesce(case when is_full then cap::double else (weight * max(left_words) filter (where not is_full) over ())::double / max(left_weight) filter (where not is_full) over () end, 0) target from f),
 g1 as (select *, round(total / 16.0)::bigint seats, sum(target) over () votes, count(*) over () n from g),
 g2 as (select *, case when votes > 0 then target / votes else 0 end part from g1),
 g3 as (select *, floor(part * seats + 0.5)::bigint base from g2),
