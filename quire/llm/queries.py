@@ -9,6 +9,7 @@ from quire.llm.curve_search import nearest
 from quire.llm.html_extract import extract_text
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix
+from quire.llm.ngram_trie import is_training, score
 from quire.llm.parity_join import similar_documents
 from quire.llm.piece_lattice import decode, encode
 from quire.llm.quality import judge
@@ -43,6 +44,10 @@ def op6_curve_search(spark, folder):
     return nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_ngram_trie(spark, folder):
+    return score(read(spark, folder, "documents").select("doc_id", "text"), is_training(F.col("doc_id")))
+
+
 def op8_quality_rules(spark, folder):
     return judge(read(spark, folder, "documents").select("doc_id", "lang", "text")).drop("q_row")
 
@@ -68,7 +73,7 @@ def _shipped(fn):
 
 
 QUERIES = {fn.__name__: _shipped(fn) for fn in (
-    op1_line_dedup, op2_html_text, op3_parity_join, op4_token_counts, op5_source_mix, op6_curve_search, op8_quality_rules, op9_url_templates, op10_piece_lattice)}
+    op1_line_dedup, op2_html_text, op3_parity_join, op4_token_counts, op5_source_mix, op6_curve_search, op7_ngram_trie, op8_quality_rules, op9_url_templates, op10_piece_lattice)}
 
 ORACLES = {
     "op1_line_dedup": """

@@ -73,3 +73,25 @@ def quality(text):
     cover = {i + k for at in where.values() if len(at) > 1 for i in at for k in range(5)}
     n = len(w)
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(cover), n < 10 or 100 * len(cover) > 20 * n
+
+
+def bigram_scores(rows, training, mu):
+    """doc_id to (tokens, known, base, score), and the number of training tokens; ``training`` by id."""
+    import math
+    from collections import Counter
+    one, two, begins = Counter(), Counter(), 0
+    for doc, text in rows:
+        if training(doc):
+            seq = [*words(text), None]
+            one.update(seq)
+            two.update(zip(["<begin>", *seq[:-1]], seq, strict=True))
+            begins += 1
+    total = sum(one.values())
+    share = lambda w: (one[w] + 0.1) / (total + 0.1 * (len(one) + 1))
+    out = {}
+    for doc, text in rows:
+        seq = [*words(text), None]
+        base = sum(math.log10(share(w)) for w in seq)
+        score = sum(math.log10((two[h, w] + mu * share(w)) / ((begins if h == "<begin>" else one[h]) + mu)) for h, w in zip(["<begin>", *seq[:-1]], seq, strict=True))
+        out[doc] = (len(seq), sum(one[w] > 0 for w in seq), base, score)
+    return out, total
