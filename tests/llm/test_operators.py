@@ -275,7 +275,8 @@ def test_pieces(spark, odd, rows):
             out = piece_lattice.decode(piece_lattice.encode(df, PIECES, frequent), PIECES)
             got = result(out)
             assert {d: list(r["ids"]) for d, r in got.items()} == {d: plain.encode(t or "") for d, t in table.items()}
-            assert {d: r["decoded"] for d, r in got.items()} == {d: t or "" for d, t in table.items()}
+            assert {d: r["decoded"] for d, r in got.items()} == {d: plain.decode(plain.encode(t or "")) for d, t in table.items()}
+            assert {d: r["decoded"] for d, r in got.items()} == {d: (t or "").replace("▁", " ") for d, t in table.items()}
     assert piece_lattice.encode(odd.limit(0), PIECES).count() == 0
 
 
