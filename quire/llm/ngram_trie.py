@@ -26,7 +26,7 @@ from quire.llm.words import sliced, words_of
 from quire.session import written
 
 #: Weight of the unigram model in words.
-MU = 300.0
+MU = 1000.0
 #: What every unigram count is raised by.
 ADD = 0.1
 #: Bytes of text whose tokens are packed together, and bytes of text per part of the trie.
