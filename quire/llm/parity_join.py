@@ -4,10 +4,10 @@ Sets of similar size share a band. A band cuts a set into parts by hash; a part'
 the sketch is the XOR of the hashes in it. Two sets differ in no more words than they
 differ in elements, so the number of differing words bounds the symmetric difference from
 below. At 0.8 that difference is at most a ninth of both sizes together. By the pigeonhole
-principle a set that sends out one word more than it may differ in, the fullest first in
-an order common to all sets, meets each of its partners in one word at least, and then
-the words are compared in full and the sets verified. Words of empty parts are never sent;
-a set with too few others sends its smallest elements besides, which serve likewise.
+principle similar sets have a word in common, unless one has too few words; such a set
+sends its elements as well, which serve likewise. Words are ordered by how many sets have
+them, so that what many unlike texts share comes last: of a set that may differ in d words,
+the first d + 1 hold one it shares with each partner, and only these are compared.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import small
+from quire.llm.shared import skewed_join, small
 from quire.llm.words import scramble, shingle_set, sliced, words_of
 from quire.session import written
 
@@ -44,28 +44,28 @@ def parts_of(band: int) -> int:
     return max(1, -(-(45 if top <= 64 else 30) * top // 100))
 
 
-def sketch_words(elements: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words of a band's parts that are not empty, and how many elements each holds."""
+def sketch_words(elements: np.ndarray, band: int) -> np.ndarray:
+    """The words of a band's parts that are not empty."""
     parts = parts_of(band)
     where = ((elements >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # elements ascend, so where does
     first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
     words = np.bitwise_xor.reduceat(scramble(elements), first)
-    return scramble(words ^ (where[first].astype(np.uint64) << np.uint64(8)) ^ np.uint64(band)), np.diff(np.r_[first, len(elements)])
+    return scramble(words ^ (where[first].astype(np.uint64) << np.uint64(8)) ^ np.uint64(band))
 
 
-def join_keys(elements: np.ndarray) -> np.ndarray:
-    """The keys a set sends out: of two similar sets at least one is common."""
+def join_keys(elements: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Keys that a set has, in up to four kinds, and how many of each kind need be sent: of two similar sets the first so many in any common order have one in common."""
     n = len(elements)
     own, out = band_of(n), []
     for band, largest in ((own, min((2 << own) - 1, n * DEN // NUM)), (own + 1, n * DEN // NUM)):
         if band > own and largest < (1 << band):
             continue
         most = differ(n, largest) + 1
-        words, load = sketch_words(elements, band)
-        out.append(words[np.lexsort((words, -load))[:most]])
+        words = sketch_words(elements, band)
+        out.append((words, most))
         if len(words) < most:  # too few parts hold anything
-            out.append(scramble(elements[:most] ^ np.uint64(0xABCDEF + band)))
-    return np.concatenate(out)
+            out.append((scramble(elements ^ np.uint64(0xABCDEF + band)), most))
+    return out
 
 
 def parity_sketch(elements: np.ndarray) -> np.ndarray:
@@ -100,17 +100,22 @@ def _describe(batches):
 
 
 def _send(batches):
-    """(key, node) for every key of every distinct set of a partition."""
+    """(key, node, spare) for every key of every distinct set of a partition; spare: 4 * (keys to send - keys of the kind) + kind."""
     seen = set()
     for batch in sliced(batches, 0):
-        keys, nodes = [], []
+        keys, nodes, spares, sizes = [], [], [], []
         for s in _sets(batch.column(0)):
             if len(s) and (node := _signature(s)) not in seen:
                 seen.add(node)
-                keys.append(join_keys(s))
-                nodes.append(np.full(len(keys[-1]), node, np.int64))
+                for kind, (found, most) in enumerate(join_keys(s)):
+                    keys.append(found)
+                    nodes.append(node)
+                    spares.append(4 * (most - len(found)) + kind)
+                    sizes.append(len(found))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes)),
+                pa.array(np.repeat(np.array(spares, np.int32), sizes))], ["key", "node", "spare"])
 
 
 def _verify(block):
@@ -142,22 +147,41 @@ def verified(docs: DataFrame, homes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def shared_keys(docs: DataFrame) -> DataFrame:
-    """(key, node, hub, before): rows of keys that several sets sent; the least node of the key is its hub."""
-    sent = docs.select("text").mapInArrow(_send, "key long, node long")
-    many = sent.repartition("key").groupBy("key", "node").agg(F.lit(1).alias("one"))  # one shuffle for this and the window
+    """(key, node, n, hub): keys that n sets sent, n > 1; the least node of the key is its hub.
+
+    A set's keys that no other set has come first in the order and need no sending; of the
+    others it sends the rarest that its number still asks for.
+    """
+    sent = docs.select("text").mapInArrow(_send, "key long, node long, spare int")
+    rows = sent.repartition("key").groupBy("key", "node", "spare").agg(F.lit(1).alias("one"))  # one shuffle for this and the next
     w = Window.partitionBy("key").orderBy("node")
-    rows = many.select("key", "node", F.first("node").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("hub"),
-                       F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
-    return rows.filter(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("after")
+    first, after = F.first("node").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lead("node").over(w)
+    rows = rows.withColumn("first", first).withColumn("after", after).filter((F.col("first") != F.col("node")) | F.col("after").isNotNull())
+    rows = written(rows.select("key", "node", "spare"), "common")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    counted = skewed_join(rows, counts, ["key"], "n", rows.count())
+    mine = Window.partitionBy("node", "spare")
+    counted = counted.withColumn("place", F.row_number().over(mine.orderBy("n", "key"))).withColumn("held", F.count("*").over(mine))
+    kept = counted.filter(F.col("place") <= F.floor(F.col("spare") / 4) + F.col("held")).select("key", "node").distinct()
+    hubs = kept.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    kept = written(kept, "kept")
+    return skewed_join(kept, written(hubs, "hubs"), ["key"], "n", kept.count())
+
+
+def _unlike(keys: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, node, component) of the keys whose nodes are of several components so far."""
+    placed = keys.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+    return written(placed.join(mixed, "key"), "unlike")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
-    Texts of one set are one node. A key's nodes are verified against the key's least node
-    and each against its neighbour in order; components of these links are contracted, and
-    pairs of nodes of different components that still share a key are verified as well, so
-    no link between components is lost and none within one is listed needlessly.
+    Texts of one set are one node. First each node is verified against the hub of its
+    largest key, then, where a key's nodes are still of several components, against the
+    key's hub, and last each pair of nodes of different components that share a key. So no
+    link between components is lost, and pairs within one are not listed.
 
     A null or empty text, or one of white space, has 0 shingles and is linked with nothing.
     Rows that repeat an id are documents of their own that share its id; a null doc_id stays
@@ -167,20 +191,26 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     rows = written(docs.mapInArrow(_describe, "doc_id long, n_shingles long, node long"), "sets")
     homes = written(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "homes")
     keys = written(shared_keys(docs), "keys")
-    ends = F.explode(F.array(F.col("hub"), F.col("before")))
-    first = keys.select(F.col("node").alias("a"), ends.alias("b")).filter("b is not null and a != b").distinct()
-    links = written(verified(docs, homes, written(first, "pairs")), "links")
+    pairs = keys.filter("node != hub").groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top")).select(F.col("node").alias("a"), F.col("top.hub").alias("b"))
+    pairs = written(pairs, "pairs")
+    links = written(verified(docs, homes, pairs), "links")
     comp = components(links)
-    placed = keys.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    placed = written(placed.join(mixed, "key"), "placed")
-    x, y = placed.alias("x"), placed.alias("y")
+
+    unlike = _unlike(keys, comp)
+    hubs = unlike.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "component")).alias("hub"))
+    more = skewed_join(unlike, written(hubs, "hubs"), ["key"], "n", unlike.count()).filter("component != hub.component")
+    more = written(more.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(written(verified(docs, homes, more), "links"))
+    comp = components(links)
+
+    unlike = _unlike(unlike, comp)
+    x, y = unlike.alias("x"), unlike.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") > F.col("y.node")))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    if rest.take(1):
-        links = links.unionByName(written(verified(docs, homes, rest), "links"))
-        comp = components(links)
+    rest = written(rest.join(pairs, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(written(verified(docs, homes, rest), "links"))
+    comp = components(links)
+
     named = rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "component", "left")

@@ -122,7 +122,11 @@ def shingle_set(hashes: np.ndarray, n: int = 5) -> np.ndarray:
     """A text's set: distinct n-word shingles, or its whole sequence as one if it has fewer words."""
     if not len(hashes):
         return np.zeros(0, np.uint64)
-    return np.unique(shingles(hashes, min(n, len(hashes))))
+    found = np.sort(shingles(hashes, min(n, len(hashes))))
+    first = np.empty(len(found), bool)
+    first[0] = True
+    np.not_equal(found[1:], found[:-1], out=first[1:])
+    return found[first]
 
 
 def sliced(batches, text: int, size: int = 1 << 21):
