@@ -27,7 +27,7 @@ NUM, DEN = 80, 100
 #: Members that are verified against one hub in one call.
 BLOCK = 64
 #: Bits of the sketch that is compared before sets are.
-SKETCH = 4096
+SKETCH = 1024
 
 
 def differ(a: int, b: int) -> int:
@@ -91,12 +91,13 @@ def _signature(elements: np.ndarray) -> int:
 
 
 def _describe(batches):
-    """(doc_id, n_shingles, node): node identifies the set."""
+    """(doc_id, n_shingles, node, bits): node identifies the set, bits are its parity sketch."""
     for batch in sliced(batches, 1):
         sets = _sets(batch.column(1))
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([_signature(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            pa.array([_signature(s) if len(s) else None for s in sets], pa.int64()),
+            pa.array([parity_sketch(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bits"])
 
 
 def _send(batches):
@@ -141,7 +142,7 @@ def verified(docs: DataFrame, homes: DataFrame, pairs: DataFrame) -> DataFrame:
     hubs = pairs.groupBy("b").count().filter(F.col("count") > BLOCK)
     blocks = pairs.join(hubs, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.coalesce("count", F.lit(1)) / BLOCK)))
     asked = blocks.select(F.col("b").alias("hub"), "part", F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = written(asked.join(homes, "node"), "asked")
+    asked = written(asked.join(homes.select("node", "doc_id"), "node"), "asked")
     texts = docs.select("doc_id", "text").join(small(asked, asked.count()), "doc_id")
     return texts.select("hub", "part", "node", "text").groupBy("hub", "part").applyInArrow(_verify, "a long, b long")
 
@@ -180,16 +181,18 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     Texts of one set are one node. First each node is verified against the hub of its
     largest key, then, where a key's nodes are still of several components, against the
-    key's hub, and last each pair of nodes of different components that share a key. So no
-    link between components is lost, and pairs within one are not listed.
+    key's hub, and last each pair of nodes of different components that share a key and whose
+    sketches are near enough. So no link between components is lost, and pairs within one
+    are not listed.
 
     A null or empty text, or one of white space, has 0 shingles and is linked with nothing.
     Rows that repeat an id are documents of their own that share its id; a null doc_id stays
     null unless a linked document has an id. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    rows = written(docs.mapInArrow(_describe, "doc_id long, n_shingles long, node long"), "sets")
-    homes = written(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "homes")
+    rows = written(docs.mapInArrow(_describe, "doc_id long, n_shingles long, node long, bits array<long>"), "sets")
+    homes = rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
+    homes = written(homes, "homes")
     keys = written(shared_keys(docs), "keys")
     pairs = keys.filter("node != hub").groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top")).select(F.col("node").alias("a"), F.col("top.hub").alias("b"))
     pairs = written(pairs, "pairs")
@@ -204,14 +207,18 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     comp = components(links)
 
     unlike = _unlike(unlike, comp)
+    unlike = unlike.join(homes, "node").select("key", "node", "component", "size", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(SKETCH // 64)])
     x, y = unlike.alias("x"), unlike.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") > F.col("y.node")))
+    apart = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(SKETCH // 64)), F.lit(0))
+    both = F.col("x.size") + F.col("y.size")
+    near = (F.least("x.size", "y.size") * DEN >= F.greatest("x.size", "y.size") * NUM) & (apart * (DEN + NUM) <= both * (DEN - NUM))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") > F.col("y.node")) & near)
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(written(verified(docs, homes, rest), "links"))
     comp = components(links)
 
-    named = rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = rows.drop("bits").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "component", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"))
