@@ -25,7 +25,7 @@ from quire.session import written
 
 SPACE = "▁"
 #: Units in the table that is sent to all tasks.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 16
 #: Longest unit that goes into the table, in code points.
 UNIT_CHARS = 24
 #: Encoded units a task keeps besides the table.
@@ -73,22 +73,29 @@ def escaped(text: Column) -> Column:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges): every piece found in a unit as (start, stop, score, id), starts from 1."""
-    spans = units.select("unit", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("start"))
+    """(unit, edges) for each distinct unit: every piece found in it as (start, stop, score, id), starts from 1."""
+    # Short rows, much work: the number of tasks is not left to their size.
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = units.repartition(parts, "unit").select("unit", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("start"))
     spans = spans.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("unit") - F.col("start") + 1))).alias("len"))
     spans = spans.withColumn("piece", F.substring("unit", F.col("start"), F.col("len")))
-    edges = spans.join(F.broadcast(pieces), "piece")  # a model's vocabulary, of fixed size
-    edge = F.struct("start", (F.col("start") + F.col("len")).alias("stop"), "score", "id")
+    edges = spans.join(F.broadcast(pieces), "piece", "left")  # a model's vocabulary, of fixed size
+    edge = F.when(F.col("id").isNotNull(), F.struct("start", (F.col("start") + F.col("len")).alias("stop"), "score", "id"))
     return edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold_merges(unit: Column, edges: Column) -> Column:
     """Cuts of a unit after merging neighbours as long as a piece joins two, the best score first, then the leftmost."""
     def step(cuts, _):
-        joins = F.filter(edges, lambda e: F.array_contains(cuts, e.start) & F.array_contains(cuts, e.stop)
-                         & (F.array_position(cuts, e.stop) - F.array_position(cuts, e.start) == 2))
-        best = F.array_max(F.transform(joins, lambda e: F.struct(e.score.alias("score"), (-e.start).alias("first"), e.stop.alias("stop"))))
-        return F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= -best.first) | (c >= best.stop)))
+        spans = F.zip_with(F.slice(cuts, F.lit(1), F.greatest(F.size(cuts) - 2, F.lit(0))), F.slice(cuts, F.lit(3), F.greatest(F.size(cuts) - 2, F.lit(0))), lambda a, b: a * 65536 + b)
+        return _let(spans, lambda two: _let(F.filter(edges, lambda e: F.array_contains(two, e.start * 65536 + e.stop)), lambda joins: F.when(F.size(joins) == 0, cuts).otherwise(
+            _let(F.array_max(F.transform(joins, lambda e: F.struct(e.score.alias("score"), (-e.start).alias("first"), e.stop.alias("stop")))),
+                 lambda best: F.filter(cuts, lambda c: (c <= -best.first) | (c >= best.stop))))))
 
     n = F.char_length(unit)
     return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(1), n + 1), step)
@@ -102,8 +109,8 @@ def fold_viterbi(unit: Column, edges: Column, unknown: float) -> Column:
         here = F.filter(edges, lambda e: e.stop == stop)
         paths = F.transform(here, lambda e: F.struct((F.get(best, e.start - 1).total + e.score).alias("total"), e.start.alias("start")))
         lone = F.array(F.struct((F.get(best, stop - 2).total + F.lit(unknown)).alias("total"), (stop - 1).alias("start")))
-        top = F.array_max(F.when(F.exists(here, lambda e: e.start == stop - 1), paths).otherwise(F.concat(paths, lone)))
-        return F.concat(best, F.array(F.struct(top.total.alias("total"), F.concat(F.get(best, top.start - 1).cuts, F.array(stop)).alias("cuts"))))
+        return _let(F.array_max(F.when(F.exists(here, lambda e: e.start == stop - 1), paths).otherwise(F.concat(paths, lone))),
+                    lambda top: F.concat(best, F.array(F.struct(top.total.alias("total"), F.concat(F.get(best, top.start - 1).cuts, F.array(stop)).alias("cuts")))))
 
     n = F.char_length(unit)
     return F.element_at(F.aggregate(F.sequence(F.lit(2), n + 1), start, step), -1).cuts
@@ -111,8 +118,7 @@ def fold_viterbi(unit: Column, edges: Column, unknown: float) -> Column:
 
 def encode_units(units: DataFrame, pieces: DataFrame, longest: int, bpe: bool, unknown: float = -20.0) -> DataFrame:
     """(unit, found): the pieces of each unit in order; a code point that is no piece has id null."""
-    edges = lattice(units, pieces, longest)
-    rows = units.select("unit").join(edges, "unit", "left").withColumn("edges", F.coalesce("edges", F.expr("array()").cast("array<struct<start:int,stop:int,score:double,id:int>>")))
+    rows = lattice(units.filter(F.char_length("unit") > 0), pieces, longest)
     cuts = fold_merges(F.col("unit"), F.col("edges")) if bpe else fold_viterbi(F.col("unit"), F.col("edges"), unknown)
     rows = rows.withColumn("cuts", cuts)
     ids = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), lambda c, i: F.struct(
@@ -225,7 +231,7 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     if not model.bpe:
         raise ValueError("texts are encoded with BPE models; encode_units also takes unigram pieces")
     top = written(frequent_units(docs, model, frequent), "units")
-    found = encode_units(top, model.table(spark), model.longest, model.bpe)
+    found = written(encode_units(top, model.table(spark), model.longest, model.bpe), "pieces")
     table = {r.unit: _bytes_of(r.found, model.byte_ids) for r in found.toLocalIterator()}  # at most ``frequent`` short units
     shared = spark.sparkContext.broadcast((table, model.scores, model.byte_ids))
     rest = [c for c in docs.columns if c != "ids"]
