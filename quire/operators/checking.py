@@ -74,7 +74,9 @@ def validate_items(replies: DataFrame, wanted: DataFrame, batch: str, conditions
     parsed = replies.select(batch, F.from_json("reply", ITEM_SCHEMA).alias("r"))
     got = parsed.select(batch, F.posexplode("r.items").alias("place", "e"))
     finding = T.clip_text(F.coalesce("e.finding", F.lit("")), 700)
-    answered = F.size(F.array_distinct(F.transform(F.filter("e.conditions", lambda c: c.answer.isin("yes", "no") & c.n.between(1, conditions)), lambda c: c.n)))
+    given = F.col("e.conditions")  # the first answer to each counts, whatever comes later
+    firsts = F.filter(given, lambda c, i: ~F.exists(F.slice(given, F.lit(1), i), lambda o: o.n == c.n))
+    answered = F.size(F.filter(firsts, lambda c: c.answer.isin("yes", "no") & c.n.between(1, conditions)))
     year = F.col("e.facts.planEnd")
     problem = (F.when(~F.coalesce("e.status", F.lit("")).isin(fixed.STATUSES), "a status that is not allowed")
                .when(finding == "", "no finding").when(answered < conditions, 'every condition needs a "yes" or "no"')
@@ -150,14 +152,14 @@ def presence_rule(entities: DataFrame, doc: str, code: str, order: Column) -> Da
         F.lit("The plan allocates "), T.counted(F.col("n"), "site"), F.lit(": "), T.human_list(F.col("codes")), more, F.lit(".")).alias("finding"))
 
 
-def field_coverage(cells: DataFrame, doc: str, entities: DataFrame, most: int = fixed.MAX_ALLOCATIONS) -> DataFrame:
+def field_coverage(cells: DataFrame, doc: str, entities: DataFrame, fields: list[int], most: int = fixed.MAX_ALLOCATIONS) -> DataFrame:
     """Per field over a document's checked entities: how many give it, and which do not.
 
     `entities` holds (document, entity, label), the first `most` of which are
-    checked; `cells` holds (entity, field, status). Lists are therefore bounded.
+    checked; `cells` holds (entity, field, status); `fields` are the rubric's. Lists are therefore bounded.
     """
     checked = top_k(entities, [doc], [F.asc("entity")], most, "_n")
-    expected = checked.select(doc, "entity", "label", F.explode(F.array(*[F.lit(i) for i in range(1, 8)])).alias("field"))
+    expected = checked.select(doc, "entity", "label", F.explode(F.array(*[F.lit(i) for i in fields])).alias("field"))
     grid = expected.join(cells, ["entity", "field"], "left").withColumn("status", F.coalesce("status", F.lit(ST.NONE)))
     listed = lambda s: T.human_list(F.transform(F.sort_array(F.collect_list(F.when(F.col("status") == s, F.struct("entity", "label")))), lambda x: x.label))
     out = grid.groupBy(doc, "field").agg(
@@ -190,7 +192,7 @@ def entity_findings(clauses: DataFrame, key: str) -> DataFrame:
 
 
 def derived_items(links: DataFrame, key: str, results: DataFrame, source: str, order: str) -> DataFrame:
-    """An item made from others: worst status, first six gaps of those not met, their actions.
+    """An item made from others: worst status, first six gaps of those not met, and all their actions.
 
     `links` holds (item, source item, place); an item is derived from a few named others.
     """
@@ -198,9 +200,10 @@ def derived_items(links: DataFrame, key: str, results: DataFrame, source: str, o
     not_met = F.col("status") != "met"
     worst = rows.groupBy(key).agg(ST.worst(F.col("status")).alias("status"), F.count("*").alias("sources"))
     gaps = top_k(rows.where(not_met), [key], [F.asc(order), F.asc(source)], 6, "_n").groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "gap", "action"))), lambda x: x.gap), "; ").alias("gaps"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "gap", "action"))), lambda x: x.action), " ").alias("actions"))
-    return worst.join(gaps, key, "left").select(key, "status", "sources", F.coalesce("gaps", F.lit("")).alias("gaps"), F.coalesce("actions", F.lit("")).alias("actions"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "gap"))), lambda x: x.gap), "; ").alias("gaps"))
+    placed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(source).alias("s"), "action")))
+    actions = rows.where(not_met).groupBy(key).agg(F.array_join(F.transform(placed, lambda x: x.action), " ").alias("actions"))
+    return worst.join(gaps, key, "left").join(actions, key, "left").select(key, "status", "sources", F.coalesce("gaps", F.lit("")).alias("gaps"), F.coalesce("actions", F.lit("")).alias("actions"))
 
 
 def summarise(items: DataFrame, section: str) -> DataFrame:

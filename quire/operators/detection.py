@@ -119,20 +119,22 @@ def accept_suggestions(suggested: DataFrame, sections: DataFrame, keys: list[str
 
 
 def focus_sections(sections: DataFrame, outcomes: DataFrame, doc: str, most: int = 4) -> DataFrame:
-    """(document, focus, section_no): the first sections about outcomes, the vision and monitoring."""
+    """(document, focus, section_no): the first sections about the vision and monitoring, and those of the lowest outcomes in order of number."""
     h = F.col("heading")
     tagged = sections.select(doc, "section_no", F.explode(F.array_compact(F.array(
         F.when(h.rlike(word("vision")), F.lit("vision")), F.when(h.rlike("(?i)monitor"), F.lit("monitoring"))))).alias("focus"))
-    marked = outcomes.select(doc, "section_no", F.lit("outcomes").alias("focus")).distinct()
-    return top_k(tagged.unionByName(marked), [doc, "focus"], [F.asc("section_no")], most, "place")
+    marked = outcomes.groupBy(doc, "section_no").agg(F.min("n").alias("_n")).withColumn("focus", F.lit("outcomes"))
+    both = tagged.withColumn("_n", F.lit(0)).unionByName(marked)
+    return top_k(both, [doc, "focus"], [F.asc("_n"), F.asc("section_no")], most, "place").drop("_n")
 
 
 def cap_entities(entities: DataFrame, group: list[str], order: Column, most: int) -> DataFrame:
     """Adds `checked`: whether a row is among the first of its group.
 
     Only the last place that counts is looked up per group, so a group of any
-    size is never sorted whole.
+    size is never sorted whole. Ties in `order` go by the other columns; rows that
+    are alike in all of them share their answer.
     """
-    rows = entities.withColumn("_o", order)
+    rows = entities.withColumn("_o", F.struct(order.alias("o"), *[F.col(c) for c in entities.columns]))
     last = top_k(rows, group, [F.asc("_o")], most, "_r").groupBy(*group).agg(F.max("_o").alias("_last"))
     return rows.join(last, group).withColumn("checked", F.col("_o") <= F.col("_last")).drop("_o", "_last")

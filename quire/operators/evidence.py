@@ -30,45 +30,35 @@ def in_order(norm: Column, pieces: Column) -> Column:
     return F.reduce(pieces, F.lit(1), step) > 0
 
 
-def _offsets(text: str) -> tuple[str, list[int]]:
-    """The normal form with the place each of its characters came from."""
-    out, places, space = [], [], True
-    for i, c in enumerate(text):
-        if c in fixed.FOLD_NOTHING:
-            continue
-        if c in fixed.FOLD_APOSTROPHE:
-            c = "'"
-        elif c in fixed.FOLD_QUOTE:
-            c = '"'
-        elif c in fixed.FOLD_DASH:
-            c = "-"
-        elif c in fixed.FOLD_SPACE or c == " ":
-            if space:
-                continue
-            c, space = " ", True
-        if c == fixed.FOLD_ELLIPSIS:
-            c = "..."
-        if c != " ":
-            space = False
-        for ch in c:
-            low = ch.lower()
-            out.append(low if len(low) == 1 else ch)
-            places.append(i)
-    return "".join(out), places
+def _finder(piece: str) -> re.Pattern:
+    """Finds a normalised piece in a text as it was written: each character stands for all that fold to it."""
+    kinds = {"'": fixed.FOLD_APOSTROPHE, '"': fixed.FOLD_QUOTE, "-": fixed.FOLD_DASH}
+    nothing = f"[{re.escape(fixed.FOLD_NOTHING)}]*"
+    out = []
+    for part in re.findall(r"\.\.\.| +|.", piece, re.S):
+        if part == "...":
+            out.append(rf"(?:\.{nothing}\.{nothing}\.|{fixed.FOLD_ELLIPSIS})")
+        elif part[0] == " ":
+            out.append(f"[ {re.escape(fixed.FOLD_SPACE + fixed.FOLD_NOTHING)}]+")
+        else:
+            out.append(f"[{re.escape(part + kinds.get(part, ''))}]")
+    return re.compile(nothing.join(out), re.I)
 
 
 @F.pandas_udf(StringType())
 def own_words(original: pd.Series, pieces: pd.Series) -> pd.Series:
-    """The document's own words at the place of the pieces; elided pieces joined by an ellipsis."""
+    """The document's own words at the place of the pieces; elided pieces joined by an ellipsis.
+
+    Null where a letter changes its length in lower case, which the comparison allows and this does not.
+    """
     def cut(text, parts):
-        norm, places = _offsets(text)
         at, shown = 0, []
         for p in parts:
-            at = norm.find(p, at)
-            if at < 0:
+            hit = _finder(p).search(text, at)
+            if hit is None:
                 return None
-            shown.append(re.sub(r"\s+", " ", text[places[at]: places[at + len(p) - 1] + 1]).strip())
-            at += len(p)
+            shown.append(re.sub(r"\s+", " ", hit[0]).strip())
+            at = hit.end()
         return " … ".join(shown)
 
     return pd.Series([cut(t, p) for t, p in zip(original, pieces)])
@@ -106,6 +96,6 @@ def show_quotes(found: DataFrame, sections: DataFrame, doc: str, section: str) -
 
 def quote_lists(quotes: DataFrame, found: DataFrame, lkey: str, qkey: str) -> DataFrame:
     """Per list: distinct quotes kept, and how many were not found. `found` holds one (quote, shown) per quote."""
-    rows = quotes.join(found, qkey, "left")
-    kept = F.count_distinct(T.normalise(F.col("shown")))
-    return rows.groupBy(lkey).agg(kept.alias("kept"), F.count_if(F.col("shown").isNull()).alias("dropped"))
+    rows = quotes.join(found.withColumn("_found", F.lit(True)), qkey, "left")
+    words = F.when(F.col("_found"), F.coalesce(T.normalise(F.col("shown")), F.concat(F.lit("#"), F.col(qkey).cast("string"))))
+    return rows.groupBy(lkey).agg(F.count_distinct(words).alias("kept"), F.count_if(F.col("_found").isNull()).alias("dropped"))

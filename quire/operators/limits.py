@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import copy
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,78 +12,53 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from quire.functions import text as T
 from quire.operators.ranking import top_k
-from quire.operators.scale import numbered, previous, running_total
-from quire.session import shared_dir
+from quire.operators.scale import HOUR, POSITIONS, greatest_before, numbered, previous, running_total
 
-SEGMENT = 250_000
 
+def fold_in_order(rows: DataFrame, keys: list[str], step: Callable, fresh: Callable) -> DataFrame:
+    """Run a stateful rule over each key's rows (keys, at, id, who, cost) in order of (at, id): adds ok and why.
 
-def fold_in_order(rows: DataFrame, keys: list[str], step: Callable, fresh: Callable, most: int = SEGMENT) -> DataFrame:
-    """Run a stateful rule over each key's rows in order of (at, id): adds ok and why.
-
-    `rows` holds the keys, at, id, who and cost, and `seg`: at most `most` rows of a
-    key share one. Each pass handles one segment of every key and hands the state
-    to the next, so no task ever holds more than a segment; keys that fit in one
-    segment, all but the hottest, are done in the first pass.
-    """
-    schema = StructType([rows.schema[k] for k in keys] + [StructField("at", LongType()), StructField("id", LongType()),
-                        StructField("ok", BooleanType()), StructField("why", StringType()), StructField("state", StringType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"], kind="stable")
-        state = fresh(pdf["state"].iloc[0])
-        said = [step(state, at, who, cost) for at, who, cost in zip(pdf["at"].tolist(), pdf["who"].tolist(), pdf["cost"].tolist())]
-        out = pdf[[*keys, "at", "id"]].copy()
-        out["ok"] = [not w for w in said]
-        out["why"] = said
-        out["state"] = None
-        out.iloc[-1, out.columns.get_loc("state")] = fresh.dump(state)
-        return out
-
-    def one(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).applyInPandas(run, schema)
-
-    last = rows.agg(F.max("seg")).first()[0] or 0
-    none = F.lit(None).cast("string").alias("state")
-    first = one(rows.where("seg = 0").select(*keys, "at", "id", "who", "cost", none))
-    if last == 0:
-        return first.drop("state")
-    shared_dir(rows.sparkSession)
-    done = [first.checkpoint()]
-    for n in range(1, last + 1):
-        held = done[-1].where("state is not null").select(*keys, "state")
-        part = rows.where(F.col("seg") == n).join(held, keys).select(*keys, "at", "id", "who", "cost", "state")
-        done.append(one(part).checkpoint())
-    return reduce(DataFrame.unionByName, done).drop("state")
-
-
-def segmented(rows: DataFrame, keys: list[str], idle: int | None = None, most: int = SEGMENT) -> tuple[DataFrame, list[str]]:
-    """Cuts keys at pauses of `idle` ms, after which the past no longer counts, and numbers segments of the rest.
-
-    Returns the rows with `seg` and the keys that now name an independent run.
+    A task reads its keys' rows one after the other from a sorted shuffle and holds the
+    state of one key and a batch of rows, however many rows the key has.
     """
-    if idle is not None:
-        rows = previous(rows, keys, F.col("at"), ["at", "id"], "at", "_before")
-        fresh = F.when(F.col("_before").isNull() | (F.col("at") - F.col("_before") >= idle), 1).otherwise(0)
-        rows = running_total(rows, keys, F.col("at"), ["at", "id"], fresh, "run").drop("_before")
-        keys = [*keys, "run"]
-    n = numbered(rows, keys, F.col("at"), ["at", "id"], "_n")
-    return n.withColumn("seg", F.floor((F.col("_n") - 1) / most).cast("int")).drop("_n"), keys
+    schema = StructType([rows.schema[k] for k in keys] + [StructField("id", LongType()), StructField("ok", BooleanType()), StructField("why", StringType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf in frames:
+            said = []
+            named = pdf[[*keys, "at", "who", "cost"]].astype(object)
+            for *now, at, who, cost in named.where(named.notna(), None).itertuples(index=False, name=None):
+                if now != key:
+                    key, state = now, fresh()
+                said.append(step(state, at, who, cost))
+            out = pdf[[*keys, "id"]].copy()
+            out["ok"], out["why"] = [not w for w in said], said
+            yield out
+
+    ordered = rows.select(*keys, "at", "id", "who", "cost").repartition(*keys).sortWithinPartitions(*keys, "at", "id")
+    return ordered.mapInPandas(run, schema)
+
+
+def runs(rows: DataFrame, keys: list[str], fresh: Column) -> DataFrame:
+    """Adds `run`: rows from one that is `fresh` (nothing before it counts) up to the next."""
+    return running_total(rows, keys, F.col("at"), ["at", "id"], F.when(fresh, 1).otherwise(0), "run")
+
+
+def cut_at_pauses(rows: DataFrame, keys: list[str], idle: int) -> DataFrame:
+    """Runs that begin after a pause of `idle` ms, after which the past no longer counts."""
+    rows = previous(rows, keys, F.col("at"), ["at", "id"], "at", "_before")
+    return runs(rows, keys, F.col("_before").isNull() | (F.col("at") - F.col("_before") >= idle)).drop("_before")
 
 
 class _State:
-    """How a rule's state is started, read from text and written to text."""
+    """How a rule's state is started."""
 
     def __init__(self, initial: list):
         self.initial = initial
 
-    def __call__(self, held):
-        import json
-        return json.loads(held) if isinstance(held, str) else json.loads(json.dumps(self.initial))
-
-    def dump(self, state) -> str:
-        import json
-        return json.dumps(state)
+    def __call__(self) -> list:
+        return copy.deepcopy(self.initial)
 
 
 def bucket_rule(capacity: int, period: int) -> tuple[Callable, _State]:
@@ -106,11 +81,10 @@ def bucket_rule(capacity: int, period: int) -> tuple[Callable, _State]:
     return step, _State([full, None])
 
 
-def token_bucket(events: DataFrame, key: str, capacity: int = 20, period: int = 60_000, most: int = SEGMENT) -> DataFrame:
+def token_bucket(events: DataFrame, key: str, capacity: int = 20, period: int = 60_000) -> DataFrame:
     """(key, id, ok) for events (key, at ms, id, cost). A pause of a whole period fills the bucket, whatever came before."""
-    rows, keys = segmented(events.withColumn("who", F.lit("")), [key], period, most)
-    step, fresh = bucket_rule(capacity, period)
-    return fold_in_order(rows, keys, step, fresh, most).select(key, "id", "ok")
+    rows = cut_at_pauses(events.withColumn("who", F.lit("")), [key], period)
+    return fold_in_order(rows, [key, "run"], *bucket_rule(capacity, period)).select(key, "id", "ok")
 
 
 def window_rule(limit: int, period: int) -> tuple[Callable, _State]:
@@ -125,10 +99,9 @@ def window_rule(limit: int, period: int) -> tuple[Callable, _State]:
     return step, _State([None, 0])
 
 
-def anchored_window(events: DataFrame, key: str, limit: int = 5, period: int = 900_000, most: int = SEGMENT) -> DataFrame:
-    rows, keys = segmented(events.withColumn("who", F.lit("")).withColumn("cost", F.lit(1)), [key], period + 1, most)
-    step, fresh = window_rule(limit, period)
-    return fold_in_order(rows, keys, step, fresh, most).select(key, "id", "ok")
+def anchored_window(events: DataFrame, key: str, limit: int = 5, period: int = 900_000) -> DataFrame:
+    rows = cut_at_pauses(events.withColumn("who", F.lit("")).withColumn("cost", F.lit(1)), [key], period + 1)
+    return fold_in_order(rows, [key, "run"], *window_rule(limit, period)).select(key, "id", "ok")
 
 
 def daily_cap(events: DataFrame, cap: int) -> DataFrame:
@@ -136,21 +109,23 @@ def daily_cap(events: DataFrame, cap: int) -> DataFrame:
 
     Of one cost only the first cap / cost events of a day can be taken, for once
     one is refused all later ones of that cost are. So a day of any size leaves
-    that many candidates per cost, and the rest is refused unseen.
+    that many candidates per cost, and the rest is refused unseen. An event that costs
+    nothing always passes.
     """
-    near = top_k(events, ["day", "cost"], [F.asc("at"), F.asc("id")], cap, "_n").where(F.col("_n") <= F.floor(F.lit(cap) / F.col("cost")))
+    near = top_k(events.where("cost > 0"), ["day", "cost"], [F.asc("at"), F.asc("id")], cap, "_n").where(F.col("_n") <= F.floor(F.lit(cap) / F.col("cost")))
     days = near.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("at", "id", "cost"))).alias("l"))
     start = F.struct(F.expr("cast(array() as array<bigint>)").alias("ids"), F.lit(0).cast("long").alias("used"))
     step = lambda a, x: F.when(a.used + x.cost <= cap, F.struct(
         F.array_append(a.ids, x.id).alias("ids"), (a.used + x.cost).alias("used"))).otherwise(a)
     taken = days.select("day", F.explode(F.reduce("l", start, step, lambda a: a.ids)).alias("id"), F.lit(True).alias("ok"))
-    return events.join(taken, ["day", "id"], "left").select("day", "id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    return events.join(taken, ["day", "id"], "left").select("day", "id", F.coalesce("ok", F.col("cost") <= 0).alias("ok"))
 
 
 def admission_rule(overall: int, per_hour: int, per_day: int) -> tuple[Callable, _State]:
     """One running check per user, some overall, some a day, and an hourly bucket per user.
 
-    State: running [(user, end)], buckets {user: [tokens, at]}, the day and its count.
+    State: running [(user, end)], buckets {user: [tokens, at]}, the day and its count. A
+    bucket that has filled again is dropped at the first check of a day.
     """
     hour, day_ms = 3_600_000, 86_400_000
     unit = hour // per_hour
@@ -164,6 +139,8 @@ def admission_rule(overall: int, per_hour: int, per_day: int) -> tuple[Callable,
             return "busy"
         if at // day_ms != day:
             state[2], state[3] = day, used = at // day_ms, 0
+            for name in [n for n, (tokens, last) in buckets.items() if tokens + at - last >= hour]:
+                del buckets[name]
         if used >= per_day:
             return "today's allowance used"
         tokens, last = buckets.get(who, (hour, at))
@@ -179,11 +156,18 @@ def admission_rule(overall: int, per_hour: int, per_day: int) -> tuple[Callable,
     return step, _State([[], {}, None, 0])
 
 
-def check_admission(events: DataFrame, service: str, overall: int = 2, per_hour: int = 6, per_day: int = 60, most: int = SEGMENT) -> DataFrame:
-    """(service, id, ok, why) for checks (service, at ms, id, who, cost = duration in ms), one service's checks in order."""
-    rows, keys = segmented(events, [service], None, most)
-    step, fresh = admission_rule(overall, per_hour, per_day)
-    return fold_in_order(rows, keys, step, fresh, most).select(service, "id", "ok", "why")
+def check_admission(events: DataFrame, service: str, overall: int = 2, per_hour: int = 6, per_day: int = 60) -> DataFrame:
+    """(service, id, ok, why) for checks (service, at ms, id, who, cost = duration in ms), one service's checks in order.
+
+    A service's checks are cut where nothing before can count: an hour after the last
+    check all buckets are full, its day is over, and every check asked for has ended.
+    """
+    rows = previous(events, [service], F.col("at"), ["at", "id"], "at", "_before")
+    rows = greatest_before(rows, [service], F.col("at"), ["at", "id"], F.col("at") + F.col("cost"), "_end")
+    at, before = F.col("at"), F.col("_before")
+    fresh = before.isNull() | ((at - before >= HOUR) & (F.floor(at / (24 * HOUR)) != F.floor(before / (24 * HOUR))) & (F.col("_end") <= at))
+    rows = runs(rows, [service], fresh)
+    return fold_in_order(rows, [service, "run"], *admission_rule(overall, per_hour, per_day)).select(service, "id", "ok", "why")
 
 
 def recent_calls(log: DataFrame, order: list[Column], n: int = 200) -> DataFrame:
@@ -219,9 +203,10 @@ def find_tokens(tokens: DataFrame, shares: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame, key: str, gap: int) -> DataFrame:
     """Visits: uses (key, at ms, id) less than `gap` ms apart belong together."""
-    rows = previous(events, [key], F.col("at"), ["at", "id"], "at", "_before")
+    width = max(1, 30 * gap)  # a slice holds some 30 visits at most
+    rows = previous(events, [key], F.col("at"), ["at", "id"], "at", "_before", width)
     fresh = F.when(F.col("_before").isNull() | (F.col("at") - F.col("_before") >= gap), 1).otherwise(0)
-    rows = running_total(rows, [key], F.col("at"), ["at", "id"], fresh, "visit")
+    rows = running_total(rows, [key], F.col("at"), ["at", "id"], fresh, "visit", width)
     return rows.groupBy(key, "visit").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("uses"))
 
 
@@ -233,17 +218,22 @@ def event_frames(chunks: DataFrame, request: str) -> DataFrame:
     of one frame are put together.
     """
     order = ["at"]
+    # A carriage return goes with the line end it stands before, even if a cut fell between the two.
+    chunks = chunks.withColumn("_cr", F.endswith("body", F.lit("\r")))
+    chunks = previous(chunks, [request], F.col("at"), order, "_cr", "_pcr", POSITIONS)
+    whole = F.concat(F.when(F.coalesce("_pcr", F.lit(False)), "\r").otherwise(""), F.when(F.col("_cr"), F.expr("left(body, length(body) - 1)")).otherwise(F.col("body")))
+    chunks = chunks.withColumn("body", F.replace(whole, F.lit("\r\n"), F.lit("\n"))).drop("_cr", "_pcr")
     # A chunk of line ends alone says nothing without what stands before it.
-    solid = running_total(chunks, [request], F.col("at"), order, F.when(F.col("body").rlike(r"[^\n]"), 1).otherwise(0), "_g")
+    solid = running_total(chunks, [request], F.col("at"), order, F.when(F.col("body").rlike(r"[^\n]"), 1).otherwise(0), "_g", POSITIONS)
     merged = solid.groupBy(request, "_g").agg(F.min("at").alias("at"), F.sort_array(F.collect_list(F.struct("at", "body"))).alias("l"))
     merged = merged.select(request, "at", F.array_join("l.body", "").alias("body"))
     tail = F.length(F.regexp_extract("body", r"\n*$", 0)) % 2
     merged = merged.withColumn("odd", tail)
-    joined = previous(merged, [request], F.col("at"), order, "odd", "_odd")
+    joined = previous(merged, [request], F.col("at"), order, "odd", "_odd", POSITIONS)
     kept = F.when(F.col("odd") == 1, F.expr("left(body, length(body) - 1)")).otherwise(F.col("body"))
     body = F.concat(F.when(F.coalesce("_odd", F.lit(0)) == 1, "\n").otherwise(""), kept)
     pieces = joined.select(request, "at", F.split(body, "\n\n").alias("p"))
-    counted = running_total(pieces, [request], F.col("at"), order, F.size("p") - 1, "_n")
+    counted = running_total(pieces, [request], F.col("at"), order, F.size("p") - 1, "_n", POSITIONS)
     rows = counted.select(request, "at", (F.col("_n") - F.size("p") + 1).alias("_before"), F.posexplode("p").alias("i", "piece"))
     frames = rows.groupBy(request, (F.col("_before") + F.col("i")).alias("frame_no")).agg(F.sort_array(F.collect_list(F.struct("at", "i", "piece"))).alias("l"))
     lines = F.filter(F.split(F.array_join("l.piece", ""), "\n"), lambda x: x.startswith("data:"))

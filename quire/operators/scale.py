@@ -1,63 +1,67 @@
 """Ordered work on groups of any size.
 
-A window over one key puts that key's rows in one task. That is right for groups
-of a known size; so each helper first asks how large the largest group is (one
-aggregate, combined before it is shuffled). If a group is larger than `most`,
-groups are cut into slices of their order: many tasks work on a hot key, and
-only one small row per slice is ordered as a whole. Both ways give the same rows.
+A window over one key puts that key's rows in one task. So the order is cut into slices
+of a fixed width (an hour, so many positions): rows are ordered within their slice, one
+small row per slice is ordered within the group, and what the slices before bring is
+joined on. The plan is the same at every size, and a row far off makes one slice more.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST = 1_000_000
-SLICES = 4096
+#: Slice widths: an hour of milliseconds, and positions in a sequence.
+HOUR = 3_600_000
+POSITIONS = 65_536
 
 
-def largest(df: DataFrame, group: list[str]) -> int:
-    """Rows of the largest group."""
-    return df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+def _slice(place: Column, width: int) -> Column:
+    return F.floor(place / width).alias("_slice")
 
 
-def sliced(df: DataFrame, place: Column, slices: int, name: str) -> DataFrame:
-    """Adds the slice of a numeric place, by equal widths between its smallest and largest."""
-    ends = df.agg(F.struct(F.min(place).alias("a"), F.max(place).alias("b")).alias("e")).select("e").scalar()
-    a, b = ends.getField("a"), ends.getField("b")
-    return df.withColumn(name, F.floor((place - a) * F.lit(float(slices)) / (b - a + 1)).cast("int"))
+def _with_earlier(rows: DataFrame, earlier: DataFrame, group: list[str], value: str) -> DataFrame:
+    """`value` of each row's slice; nulls are a group too."""
+    small = earlier.select(*[F.col(c).alias(f"_e{i}") for i, c in enumerate([*group, "_slice"])], value)
+    same = [F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate([*group, "_slice"])]
+    return rows.join(small, functools.reduce(lambda a, b: a & b, same)).drop(*[f"_e{i}" for i in range(len(same))])
 
 
-def numbered(df: DataFrame, group: list[str], place: Column, order: list[str], name: str, most: int = MOST, slices: int = SLICES) -> DataFrame:
-    """row_number within groups of any size. `order` must begin with `place`, which is numeric."""
-    return running_total(df, group, place, order, F.lit(1), name, most, slices)
+def _running(df: DataFrame, group: list[str], place: Column, order: list[str], value: Column, name: str, width: int,
+             fold: Callable, both: Callable, with_row: bool) -> DataFrame:
+    """`fold` (an aggregate) of `value` over the rows of a group up to each row, or before it; `both` combines two results."""
+    rows = df.withColumn("_slice", _slice(place, width)).withColumn("_value", value)
+    inner = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if with_row else -1)
+    outer = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, "_slice").agg(fold("_value").alias("_fold"))
+    earlier = sums.withColumn("_earlier", fold("_fold").over(outer)).drop("_fold")
+    joined = _with_earlier(rows.withColumn("_local", fold("_value").over(inner)), earlier, group, "_earlier")
+    return joined.withColumn(name, both(F.col("_earlier"), F.col("_local"))).drop("_slice", "_value", "_local", "_earlier")
 
 
-def running_total(df: DataFrame, group: list[str], place: Column, order: list[str], amount: Column, name: str,
-                  most: int = MOST, slices: int = SLICES) -> DataFrame:
-    """Sum of `amount` up to and with each row, within groups of any size."""
-    if largest(df, group) <= most:
-        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(amount).over(w))
-    rows = sliced(df, place, slices, "_slice").withColumn("_amount", amount)
-    inner = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.groupBy(*group, "_slice").agg(F.sum("_amount").alias("_sum"))
-    outer = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = sums.withColumn("_earlier", F.coalesce(F.sum("_sum").over(outer), F.lit(0))).drop("_sum")
-    local = rows.withColumn("_local", F.sum("_amount").over(inner))
-    joined = local.join(earlier, [*group, "_slice"])
-    return joined.withColumn(name, F.col("_earlier") + F.col("_local")).drop("_slice", "_amount", "_local", "_earlier")
-
-
-def previous(df: DataFrame, group: list[str], place: Column, order: list[str], value: str, name: str,
-             most: int = MOST, slices: int = SLICES) -> DataFrame:
-    """lag(value) within groups of any size; the value is never null."""
-    if largest(df, group) <= most:
-        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*group).orderBy(*order)))
-    rows = sliced(df, place, slices, "_slice")
+def running_total(df: DataFrame, group: list[str], place: Column, order: list[str], amount: Column, name: str, width: int = HOUR) -> DataFrame:
+    """Sum of `amount` up to and with each row. `order` must begin with `place`, which is numeric."""
+    return _running(df, group, place, order, amount, name, width, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b, True)
+
+
+def numbered(df: DataFrame, group: list[str], place: Column, order: list[str], name: str, width: int = POSITIONS) -> DataFrame:
+    """row_number within groups."""
+    return running_total(df, group, place, order, F.lit(1), name, width)
+
+
+def greatest_before(df: DataFrame, group: list[str], place: Column, order: list[str], value: Column, name: str, width: int = HOUR) -> DataFrame:
+    """The greatest `value` of the rows before each row; null for the first."""
+    return _running(df, group, place, order, value, name, width, F.max, F.greatest, False)
+
+
+def previous(df: DataFrame, group: list[str], place: Column, order: list[str], value: str, name: str, width: int = HOUR) -> DataFrame:
+    """lag(value); the value is never null."""
+    rows = df.withColumn("_slice", _slice(place, width))
     last = rows.groupBy(*group, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    w = Window.partitionBy(*group).orderBy("_slice")
-    carried = last.withColumn("_carried", F.lag("_last").over(w)).drop("_last")
+    carried = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*group).orderBy("_slice"))).drop("_last")
     local = rows.withColumn("_lag", F.lag(value).over(Window.partitionBy(*group, "_slice").orderBy(*order)))
-    joined = local.join(carried, [*group, "_slice"])
+    joined = _with_earlier(local, carried, group, "_carried")
     return joined.withColumn(name, F.coalesce("_lag", "_carried")).drop("_slice", "_lag", "_carried")

@@ -101,7 +101,7 @@ def settle_conditions(spark, sf):
     yes = (F.col("item_id") % 3 != 0) & F.coalesce("found", F.lit(False))
     g = c.groupBy(F.expr("item_id div 4").alias("item")).agg(
         F.count_if(yes).alias("yes"), F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~yes, F.struct("item_id", "text")))), lambda x: F.concat(
-            F.lit("Not shown: "), F.lower(F.left(x.text, F.lit(1))), F.expr("''"), F.substring(x.text, 2, 60))), "; ").alias("gaps"))
+            F.lit("Not shown: "), F.lower(F.left(x.text, F.lit(1))), F.substring(x.text, F.lit(2), F.length(x.text)))), "; ").alias("gaps"))
     return g.select("item", "yes", "n", ST.across_conditions(F.col("yes"), F.col("n")).alias("status"), "gaps")
 
 
@@ -126,7 +126,7 @@ def field_coverage(spark, sf):
     """A customer's orders are allocations, their line numbers the fields."""
     cells = _lines(spark, sf, "l_returnflag", "l_discount").groupBy(F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("field")).agg(ST.worst(_status()).alias("status"))
     entities = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("entity"), F.concat(F.lit("S"), "o_orderkey").alias("label"))
-    return C.field_coverage(cells, "o_custkey", entities)
+    return C.field_coverage(cells, "o_custkey", entities, list(range(1, 8)))
 
 
 def entity_findings(spark, sf):
@@ -284,7 +284,7 @@ ORACLES = {
       SELECT l_orderkey, status, CASE WHEN clash THEN 'inconsistent' WHEN status = 'met' THEN 'adds-local-detail' WHEN status = 'missing' THEN 'restates' ELSE 'partly-restates' END AS finding FROM s""",
     "settle_conditions": f"""WITH {E._SEEN}, f AS (SELECT DISTINCT quote_id // 2 AS item_id FROM seen WHERE quote_id % 2 = 0),
       c AS (SELECT b.item_id, text, b.item_id % 3 <> 0 AND f.item_id IS NOT NULL AS yes FROM benchmark b LEFT JOIN f USING (item_id)), g AS (SELECT item_id // 4 AS item, count(*) FILTER (WHERE yes) AS yes_n, count(*) AS n,
-        coalesce(string_agg('Not shown: ' || lower(left(text, 1)) || substring(text, 2, 60), '; ' ORDER BY item_id) FILTER (WHERE NOT yes), '') AS gaps FROM c GROUP BY ALL)
+        coalesce(string_agg('Not shown: ' || lower(left(text, 1)) || substring(text, 2), '; ' ORDER BY item_id) FILTER (WHERE NOT yes), '') AS gaps FROM c GROUP BY ALL)
       SELECT item, yes_n AS yes, n, CASE WHEN yes_n = n THEN 'met' WHEN yes_n = 0 THEN 'missing' ELSE 'partly' END AS status, gaps FROM g""",
     "count_rule": f"""WITH o AS ({E.ORACLES['detect_outcomes']}), n AS (SELECT doc_id, count(o.n) AS n FROM documents LEFT JOIN o USING (doc_id) GROUP BY ALL)
       SELECT doc_id, n, CASE WHEN n BETWEEN 1 AND 2 THEN 'met' ELSE 'missing' END AS status, CASE WHEN n = 0 THEN 'No measurable outcomes could be found in the plan.' WHEN n = 1 THEN 'The plan sets out 1 measurable outcome, within the limit of 2.'
@@ -307,8 +307,8 @@ ORACLES = {
     "across_status": f"SELECT l_orderkey, {_ACROSS('s')} AS status, count(*) AS n FROM (SELECT l_orderkey, {_ST} AS s FROM lineitem) GROUP BY ALL",
     "worst_status": f"SELECT l_orderkey, {_WORST('s')} AS status FROM (SELECT l_orderkey, {_ST} AS s FROM lineitem) GROUP BY ALL",
     "derived_items": f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_type, CASE p_size % 4 WHEN 0 THEN 'not-assessable' WHEN 1 THEN 'missing' WHEN 2 THEN 'partly' ELSE 'met' END AS s FROM lineitem JOIN part ON p_partkey = l_partkey),
-      w AS (SELECT l_orderkey, {_WORST('s')} AS status, count(*) AS sources FROM r GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM r WHERE s <> 'met' QUALIFY n <= 6),
-      g AS (SELECT l_orderkey, string_agg(p_name, '; ' ORDER BY n) AS gaps, string_agg(p_type, ' ' ORDER BY n) AS actions FROM n GROUP BY ALL)
+      w AS (SELECT l_orderkey, {_WORST('s')} AS status, count(*) AS sources FROM r GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM r WHERE s <> 'met'),
+      g AS (SELECT l_orderkey, string_agg(p_name, '; ' ORDER BY n) FILTER (WHERE n <= 6) AS gaps, string_agg(p_type, ' ' ORDER BY n) AS actions FROM n GROUP BY ALL)
       SELECT l_orderkey, status, sources, coalesce(gaps, '') AS gaps, coalesce(actions, '') AS actions FROM w LEFT JOIN g USING (l_orderkey)""",
     "summarise": f"""WITH {_ORD}, x AS (SELECT s AS status FROM (VALUES ('met'), ('partly'), ('missing'), ('not-assessable')) t(s)), k AS (SELECT DISTINCT o_orderpriority FROM o UNION ALL SELECT '')
       SELECT k.o_orderpriority, x.status, count(o.o_orderkey) AS n FROM k CROSS JOIN x LEFT JOIN o ON o.status = x.status AND (k.o_orderpriority = '' OR k.o_orderpriority = o.o_orderpriority) GROUP BY ALL""",

@@ -194,11 +194,11 @@ ORACLES = {
       FROM lineitem SEMI JOIN sec ON doc_id = l_orderkey AND section_no = l_linenumber QUALIFY rank <= 80""",
     "focus_sections": rf"""WITH {_HEADED}, l AS (SELECT doc_id, section_no, -1 AS i, heading AS line FROM hd UNION ALL SELECT doc_id, section_no, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM hd),
       o AS (SELECT doc_id, section_no, i, regexp_extract(line, '(?i)^(?:measurable\s+)?outcome\s*(\d{{1,2}})\b|^MO\s?(\d{{1,2}})\b|^O(\d{{1,2}})\s*[:.]', ['x', 'y', 'z']) AS m FROM l),
-      f AS (SELECT doc_id, section_no FROM o WHERE m.x || m.y || m.z <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, coalesce(nullif(m.x, ''), nullif(m.y, ''), m.z)::INT ORDER BY section_no, i) = 1),
-      u AS (SELECT doc_id, 'vision' AS focus, section_no FROM hd WHERE regexp_matches(heading, '(?i)\bvision\b') UNION ALL SELECT doc_id, 'monitoring', section_no FROM hd WHERE regexp_matches(heading, '(?i)monitor')
-        UNION ALL SELECT DISTINCT doc_id, 'outcomes', section_no FROM f)
-      SELECT doc_id, focus, section_no, row_number() OVER (PARTITION BY doc_id, focus ORDER BY section_no) AS place FROM u QUALIFY place <= 4""",
-    "cap_entities": "SELECT l_suppkey, l_linestatus, l_orderkey, l_linenumber, l_partkey, rank() OVER (PARTITION BY l_suppkey, l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey) <= 60 AS checked FROM lineitem",
+      f AS (SELECT doc_id, section_no, coalesce(nullif(m.x, ''), nullif(m.y, ''), m.z)::INT AS n FROM o WHERE m.x || m.y || m.z <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY section_no, i) = 1),
+      u AS (SELECT doc_id, 'vision' AS focus, section_no, 0 AS n FROM hd WHERE regexp_matches(heading, '(?i)\bvision\b') UNION ALL SELECT doc_id, 'monitoring', section_no, 0 FROM hd WHERE regexp_matches(heading, '(?i)monitor')
+        UNION ALL SELECT doc_id, 'outcomes', section_no, min(n) FROM f GROUP BY doc_id, section_no)
+      SELECT doc_id, focus, section_no, row_number() OVER (PARTITION BY doc_id, focus ORDER BY n, section_no) AS place FROM u QUALIFY place <= 4""",
+    "cap_entities": "SELECT l_suppkey, l_linestatus, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey, l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey) <= 60 AS checked FROM lineitem",
     "normalise_text": "SELECT doc_id, " + _norm("'  “It’s” a' || chr(8203) || '—B…' || chr(9) || '• ' || text") + " AS norm FROM documents",
     "quote_pieces": f"WITH {_QUOTES} SELECT quote_id, generate_subscripts(pieces, 1) - 1 AS k, unnest(pieces) AS piece FROM qp",
     "verify_quotes": f"WITH {_SEEN} SELECT quote_id, doc_id, section_no, array_to_string(pieces, ' ... ') AS words FROM seen",

@@ -82,9 +82,9 @@ def _required(spark, sf):
 
 
 def merge_passages(spark, sf):
-    """Groups of four queries share one budget."""
-    scored = _sized(spark, sf).select(Q, KEY, "score", "size")
-    lists = R.top_k(scored, [Q], [F.desc("score"), F.asc(KEY)], 10)
+    """Groups of four queries share one budget; each query's passages come in document order, as retrieved."""
+    sizes = documents(spark, sf).select("doc_id", F.length("text").alias("size"))
+    lists = R.budget_retrieve(_sized(spark, sf), Q, KEY).withColumnRenamed("place", "rank").join(sizes, KEY)
     grouped = lists.withColumn("batch", F.expr("item_id div 4"))
     return R.merge_passages(grouped, "batch", Q, KEY)
 
@@ -221,7 +221,10 @@ ORACLES = {
       chosen AS (SELECT item_id, {_fold('l', 12000, _TAKE)} AS ids FROM lists)
       SELECT item_id, (generate_subscripts(ids, 1) - 1)::INT AS place, unnest(ids) AS doc_id FROM chosen""",
     "merge_passages": f"""WITH {S.BM25},
-      ranked AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10),
+      fit AS (SELECT item_id, doc_id, 1 AS tier, score, length(text)::BIGINT AS size, length(source)::BIGINT AS extra FROM scored JOIN documents USING (doc_id)),
+      own AS (SELECT item_id, list({_STATE} ORDER BY tier, score DESC, doc_id) AS l FROM fit GROUP BY ALL),
+      taken AS (SELECT item_id, {_fold('l', 12000, _TAKE)} AS ids FROM own),
+      ranked AS (SELECT item_id, generate_subscripts(ids, 1) - 1 AS rank, unnest(ids) AS doc_id FROM taken),
       items AS (SELECT item_id // 4 AS batch, doc_id, min((rank, item_id)) AS turn FROM ranked GROUP BY ALL),
       lists AS (SELECT batch, list({{'ids': []::BIGINT[], 'used': 0::BIGINT, 'tier': 0, 'id': doc_id, 'size': length(text)::BIGINT, 'extra': 0::BIGINT}} ORDER BY turn) AS l
         FROM items JOIN documents USING (doc_id) GROUP BY ALL),

@@ -331,9 +331,9 @@ _LINES = "(SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) -
 
 ORACLES = {
     "source_catalogue": r"""WITH f AS (SELECT source AS id, arg_min(regexp_extract(text, '^[^\n]*'), doc_id) AS title, arg_min(lang, doc_id) AS publisher, 'https://example.com/' || min(doc_id) AS url FROM documents GROUP BY ALL)
-      SELECT id, n_name AS short, 'guidance' AS kind, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE title END AS title, publisher,
-        CASE WHEN n_regionkey = 1 THEN 'https://example.org/' || n_nationkey ELSE url END AS url, CASE WHEN n_nationkey % 3 = 0 THEN '2026-08-13' ELSE '2026-01-02' END AS updated,
-        '/reference/' || id || '/' AS route FROM nation JOIN f ON id = 'src' || n_nationkey""",
+      SELECT 'src' || n_nationkey AS id, n_name AS short, 'guidance' AS kind, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE title END AS title, publisher,
+        CASE WHEN n_regionkey = 1 THEN 'https://example.org/' || n_nationkey ELSE url END AS url, CASE WHEN n_nationkey % 3 = 0 THEN '2026-08-13' WHEN f.id IS NOT NULL THEN '2026-01-02' END AS updated,
+        '/reference/src' || n_nationkey || '/' AS route FROM nation LEFT JOIN f ON f.id = 'src' || n_nationkey""",
     "document_scan": "SELECT doc_id, length(text) AS characters, sha256(text) AS sha256 FROM documents",
     "front_matter": """SELECT doc_id, 'source' AS key, source AS value FROM documents UNION ALL SELECT doc_id, 'lang', 'again ' || lang FROM documents
       UNION ALL SELECT doc_id, 'url', 'https://x.org/' || doc_id FROM documents""",

@@ -27,7 +27,7 @@ def source_catalogue(catalogue: DataFrame, front: DataFrame) -> DataFrame:
     """The catalogue's own fields, and the file's front matter where it has none."""
     c, f = catalogue.alias("c"), front.alias("f")
     pick = lambda name: F.coalesce(F.col(f"c.{name}"), F.col(f"f.{name}")).alias(name)
-    return c.join(f, "id").select(
+    return c.join(f, "id", "left").select(
         "id", "c.short", "c.kind", pick("title"), pick("publisher"), pick("url"),
         F.substring(F.coalesce("c.updated", "f.updated"), 1, 10).alias("updated"),
         F.concat(F.lit("/reference/"), "id", F.lit("/")).alias("route"))

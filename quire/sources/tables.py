@@ -16,21 +16,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table in one small file over all cores, by its key; a large one is left as it was read.
-
-    A file's single row group is one task however long the work on it. The size
-    is the planner's own estimate, so nothing big is ever moved here.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * 32 * 1024 * 1024 else df
-
-
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents"), "doc_id")
+    return table(spark, folder, "documents")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages"), "page_id")
+    return table(spark, folder, "pages")
