@@ -18,9 +18,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.words import sliced
 from quire.session import written
 
 SPACE = "▁"
@@ -199,7 +201,7 @@ def _encode(shared, key, pattern):
 
     def run(batches):
         get = _encoder(key, shared).__getitem__
-        for batch in batches:
+        for batch in sliced(batches, 1):
             parts = [b"".join(map(get, find(SPACE + t.replace(" ", SPACE)))) if t else b"" for t in batch.column(1).to_pylist()]
             at = np.cumsum([0, *map(len, parts)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
@@ -211,11 +213,15 @@ def _encode(shared, key, pattern):
 def _decode(piece_bytes):
     def run(batches):
         for batch in batches:
-            texts = []
-            for ids in batch.column(1).to_pylist():
-                raw = b"".join([piece_bytes[i] for i in ids or ()])
-                texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["q_row", "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = part.column(1)
+                flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+                texts = []
+                for since, until in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    raw = b"".join([piece_bytes[i] for i in flat[since:until].tolist()])
+                    texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["q_row", "decoded"])
 
     return run
 
