@@ -43,21 +43,24 @@ def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
 def _chapters(rows: DataFrame, titles: DataFrame, doc: str) -> DataFrame:
     """Adds the chapter each line stands in; a heading may be wrapped over two lines."""
     named = F.when(F.col("annex") != "", F.concat(F.lit("Annex "), "annex", F.lit(": "), "title")).otherwise(F.concat("num", F.lit(". "), "title"))
-    heads = titles.select(doc, named.alias("heading"), F.col("num").alias("_num"), F.col("annex").alias("_annex"), F.lit(True).alias("_is")).distinct()
+    # A document's contents list is short: one map per document, joined where its lines already are.
+    heads = titles.select(doc, F.struct(named.alias("key"), F.struct("num", "annex").alias("value")).alias("e")).distinct()
+    heads = heads.groupBy(doc).agg(F.map_from_entries(F.collect_list("e")).alias("_heads"))
     pair = T.squash(F.concat_ws(" ", "line", F.trim("below")))
-    one = rows.withColumn("pair", F.when(F.col("line").rlike(r"^(\d{1,2}\.|Annex [A-F]:)\s"), pair).otherwise(""))
-    hit = one.join(heads.withColumnRenamed("heading", "line"), [doc, "line"], "left")
-    wrapped = heads.select(doc, F.col("heading").alias("pair"), F.col("_num").alias("_num2"), F.col("_annex").alias("_annex2"), F.col("_is").alias("_is2"))
-    hit = hit.join(wrapped, [doc, "pair"], "left")
+    hit = rows.withColumn("pair", F.when(F.col("line").rlike(r"^(\d{1,2}\.|Annex [A-F]:)\s"), pair).otherwise("")).join(heads, doc, "left")
+    hit = hit.withColumn("_h", F.try_element_at("_heads", F.col("line"))).withColumn("_h2", F.try_element_at("_heads", F.col("pair")))
+    hit = hit.withColumns({"_num": F.col("_h.num"), "_annex": F.col("_h.annex"), "_num2": F.col("_h2.num"), "_annex2": F.col("_h2.annex")})
+    last_annex = F.coalesce(F.exists(F.map_values("_heads"), lambda v: v.annex == "F"), F.lit(False))
+    hit = hit.withColumn("_is", F.when(F.col("_h").isNotNull(), True)).withColumn("_is2", F.when(F.col("_h2").isNotNull(), True)).withColumn("_lists_f", last_annex).drop("_h", "_h2", "_heads")
     w = Window.partitionBy(doc).orderBy("no")
     two = F.col("_is").isNull() & F.col("_is2").isNotNull()
     hit = hit.withColumn("starts", F.col("_is").isNotNull() | F.col("_is2").isNotNull()).withColumn("_two", two)
     hit = hit.withColumn("_skip", F.lag("_two", 1, False).over(w)).where(~F.col("_skip"))
     hit = hit.withColumn("_annex", F.coalesce("_annex", "_annex2", F.lit(""))).withColumn("_num", F.coalesce("_num", "_num2", F.lit("")))
-    # The last annex has no heading of its own: its first table marks it.
+    # The last annex, if the contents list it, has no heading of its own: its first table marks it.
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     inside = F.last(F.when(F.col("starts"), F.col("_annex")), True).over(past)
-    hit = hit.withColumn("_table", ~F.col("starts") & (inside == "E") & F.col("line").rlike("(?i)^Table 1: Flood zones"))
+    hit = hit.withColumn("_table", ~F.col("starts") & F.col("_lists_f") & (inside == "E") & F.col("line").rlike("(?i)^Table 1: Flood zones"))
     hit = hit.withColumn("_since", F.last(F.when(F.col("starts"), F.col("no")), True).over(w))
     first = F.row_number().over(Window.partitionBy(doc, "_since", "_table").orderBy("no")) == 1
     hit = hit.withColumn("_f", F.col("_table") & first).withColumn("starts", F.col("starts") | F.col("_f"))
@@ -82,8 +85,8 @@ def blocks(docs: DataFrame, doc: str, text: str) -> DataFrame:
     cand = rows.where("_fn is not null").groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("no", "_fn"))).alias("c"))
     start = F.struct(F.expr("cast(array() as array<int>)").alias("out"), F.lit(0).alias("last"))
     step = lambda a, x: F.when((x["_fn"] > a.last) & (x["_fn"] <= a.last + 20), F.struct(F.array_append(a.out, x.no).alias("out"), x["_fn"].alias("last"))).otherwise(a)
-    good = cand.select(doc, F.explode(F.reduce("c", start, step, lambda a: a.out)).alias("no"), F.lit(True).alias("_good"))
-    rows = rows.join(good, [doc, "no"], "left").withColumn("foot", F.coalesce("_good", F.lit(False)))
+    good = cand.select(doc, F.reduce("c", start, step, lambda a: a.out).alias("_good"))
+    rows = rows.join(good, doc, "left").withColumn("foot", F.coalesce(F.array_contains("_good", F.col("no")), F.lit(False))).drop("_good")
 
     annex = F.col("chapter.annex")
     sub = level0 & ~annex.isin("C", "E", "F") & line.rlike(SUBHEADING) & ~line.endswith(".") & F.col("next").rlike(AFTER_SUBHEADING)
