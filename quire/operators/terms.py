@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed
@@ -51,17 +51,18 @@ def weighted_postings(passages: DataFrame, key: str, vocabulary: DataFrame | Non
     length. With a vocabulary all other terms of a passage fall into one row
     without a term before the shuffle; every passage has at least one row.
     """
-    sides = F.array(F.struct(F.col("body").alias("side"), F.lit(1).alias("w")), F.struct(F.col("heading").alias("side"), F.lit(fixed.HEADING_WEIGHT).alias("w")))
-    raw = passages.select(key, F.inline(sides)).select(key, "w", F.explode(F.array_append(T.words(F.col("side")), marker(key))).alias("_w"))
+    wanted = lambda text: F.filter(T.words(F.col(text)), lambda w: (F.length(w) > 1) & ~w.isin(fixed.STEM_STOP))
+    split = passages.select(key, wanted("body").alias("_b"), wanted("heading").alias("_h"))
+    length = F.size("_b") + F.size("_h") * fixed.HEADING_WEIGHT
+    sides = F.array(F.struct(F.array_append("_b", marker(key)).alias("words"), F.lit(1).alias("w")), F.struct(F.col("_h").alias("words"), F.lit(fixed.HEADING_WEIGHT).alias("w")))
+    raw = split.select(key, length.cast("long").alias("len"), F.inline(sides)).select(key, "len", "w", F.explode("words").alias("_w"))
     mark = F.col("_w").startswith(MARK)
-    kept = raw.where(mark | ((F.length("_w") > 1) & ~F.col("_w").isin(fixed.STEM_STOP)))
-    rows = kept.select(key, F.when(mark, 0).otherwise(F.col("w")).alias("weight"), F.when(mark, F.col("_w")).otherwise(T.stem(F.col("_w"))).alias("term"))
+    rows = raw.select(key, "len", F.when(mark, 0).otherwise(F.col("w")).alias("weight"), F.when(mark, F.col("_w")).otherwise(T.stem(F.col("_w"))).alias("term"))
     if vocabulary is not None:
         rows = in_vocabulary(rows, vocabulary)
     else:
         rows = rows.withColumn("term", F.when(~F.col("term").startswith(MARK), F.col("term")))
-    tf = rows.groupBy(key, "term").agg(F.sum("weight").alias("tf"))
-    return tf.withColumn("len", F.sum("tf").over(Window.partitionBy(key)))
+    return rows.groupBy(key, "len", "term").agg(F.sum("weight").alias("tf"))
 
 
 def query_terms(queries: DataFrame, key: str, text: str = "text") -> DataFrame:
