@@ -15,7 +15,7 @@ def _least(rows: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's least neighbour."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
     return both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
@@ -27,17 +27,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a != b")
 
 
+def _is_done(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, which hangs on none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")), F.struct(F.col("b").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("top")))).alias("e"))
+    seen = ends.groupBy("e.x").agg(F.sum("e.low").alias("low"), F.max("e.top").alias("top"))
+    return not seen.filter("low + top > 1").take(1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); a component is its least node.
 
-    Every step writes its links, at most as many as before, to the shared folder. It ends
-    when a step changes nothing: each node then hangs on its least one.
+    Every step writes its links, at most as many as before, to the shared folder, and it
+    ends when each node but the least of a component hangs on that one alone.
     """
-    edges = written(links.select("a", "b").filter("a != b").distinct(), "edges")
-    mark = None
-    while True:
-        edges = written(_small_star(_large_star(edges).distinct()).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b"))).distinct()
-        mark = now
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    while not _is_done(edges):
+        edges = written(_small_star(_large_star(edges)).distinct(), "edges")
+    return edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("e")).select("e.*").distinct()

@@ -196,14 +196,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     keys = written(shared_keys(docs), "keys")
     pairs = keys.filter("node != hub").groupBy("node").agg(F.max(F.struct("n", "hub")).alias("top")).select(F.col("node").alias("a"), F.col("top.hub").alias("b"))
     pairs = written(pairs, "pairs")
-    links = written(verified(docs, homes, pairs), "links")
-    comp = components(links)
+    comp = components(verified(docs, homes, pairs))
 
     unlike = _unlike(keys, comp)
     hubs = unlike.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "component")).alias("hub"))
     more = skewed_join(unlike, written(hubs, "hubs"), ["key"], "n", unlike.count()).filter("component != hub.component")
     more = written(more.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(written(verified(docs, homes, more), "links"))
+    links = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(docs, homes, more))
     comp = components(links)
 
     unlike = _unlike(unlike, comp)
@@ -215,7 +214,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") > F.col("y.node")) & near)
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti").join(more, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(written(verified(docs, homes, rest), "links"))
+    links = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(docs, homes, rest))
     comp = components(links)
 
     named = rows.drop("bits").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
