@@ -56,18 +56,36 @@ def merge_share_uses(uses: DataFrame, key: str, stored: str, checkpoint: str) ->
     q.awaitTermination()
 
 
-def limited(events: DataFrame, key: str, capacity: int = 20, period: int = 60_000) -> DataFrame:
-    """The token bucket as keyed state. A micro-batch is not in order, so rows are sorted before they are counted."""
+def limited(events: DataFrame, key: str, capacity: int = 20, period: int = 60_000, late: str = "1 minute") -> DataFrame:
+    """The token bucket as keyed state, for events (key, at ms, id, cost) that may come `late` and in any order.
+
+    An event waits in its key's state until the watermark has passed it, so a bucket sees
+    its events in order across micro-batches; events later than that are dropped. A bucket
+    that has had time to fill again leaves the state.
+    """
     step, fresh = bucket_rule(capacity, period)
 
     def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else list(fresh.initial)
-        if held[1] == -1:
-            held[1] = None
-        rows = pd.concat(list(frames)).sort_values(["at", "id"], kind="stable")
-        said = [not step(held, at, "", cost) for at, cost in zip(rows["at"].tolist(), rows["cost"].tolist())]
-        state.update((int(held[0]), -1 if held[1] is None else int(held[1])))
-        yield pd.DataFrame({key: k[0], "id": rows["id"].to_numpy(), "ok": said})
-
-    return events.groupBy(key).applyInPandasWithState(
-        run, f"{key} long, id long, ok boolean", "tokens long, at long", "append", GroupStateTimeout.NoTimeout)
+        tokens, last, *lists = state.get if state.exists else (fresh.initial[0], -1, [], [], [])
+        waiting = list(zip(*lists, strict=True))
+        if not state.hasTimedOut:
+            for pdf in frames:
+                waiting += zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["cost"].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs()
+        waiting.sort()
+        due = [e for e in waiting if e[0] <= mark]
+        waiting = waiting[len(due):]
+        bucket = [tokens, None if last == -1 else last]
+        said = [not step(bucket, at, "", cost) for at, _, cost in due]
+        tokens, last = bucket[0], -1 if bucket[1] is None else bucket[1]
+        if not waiting and last + period <= mark:
+            state.remove()
+        else:
+            state.update((int(tokens), int(last), *([int(e[i]) for e in waiting] for i in range(3))))
+            state.setTimeoutTimestamp(int(max(mark + 1, waiting[0][0] if waiting else last + period)))
+        if due:
+            yield pd.DataFrame({key: k[0], "id": [e[1] for e in due], "ok": said})
+
+    timed = events.withColumn("_ts", F.timestamp_millis("at")).withWatermark("_ts", late)
+    return timed.groupBy(key).applyInPandasWithState(
+        run, f"{key} long, id long, ok boolean", "tokens long, last long, ats array<long>, ids array<long>, costs array<long>", "append", GroupStateTimeout.EventTimeTimeout)
