@@ -30,7 +30,12 @@ MU = 1000.0
 #: What every unigram count is raised by.
 ADD = 0.1
 #: Bytes of text whose tokens are packed together, and bytes of text per part of the trie.
-SLICE, PART_BYTES = 1 << 23, 1 << 26
+SLICE, PART_BYTES = 1 << 22, 1 << 25
+#: Bits of a predecessor's hash that are kept under a word. A pair never seen is taken for one seen with a chance of
+#: (predecessors of the word) / 2^BITS, which matters little: a word with many has a large unigram part.
+BITS = 24
+#: Pairs a task gathers before it sends their counts.
+GATHER = 1 << 21
 #: Codes below this are counts; above, they are steps of 1 % (their error on a log10 is at most 0.0022).
 EXACT = 160
 
@@ -64,8 +69,19 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _short(values: np.ndarray) -> bytes:
+    """Values of BITS bits in three bytes each."""
+    return np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _long(packed: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(packed) // 3, 4), np.uint8)
+    wide[:, :3] = packed.reshape(-1, 3)
+    return wide.view("<u4").ravel()
+
+
 def _tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice of texts: each token's hash, its predecessor's upper 32 bits, and its text's place; END after the words."""
+    """Of a slice of texts: each token's hash, its predecessor's upper BITS bits, and its text's place; END after the words."""
     w = words_of(column, fold=True)
     n = np.diff(w.at)
     place = np.repeat(np.arange(len(n)), n + 1)
@@ -78,7 +94,7 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty(len(place), np.uint64)
     before[1:] = token[:-1]
     before[np.concatenate([[0], last[:-1] + 1])] = BEGIN
-    return token, (before >> np.uint64(32)).astype(np.uint32), place
+    return token, (before >> np.uint64(64 - BITS)).astype(np.uint32), place
 
 
 def _part(token: np.ndarray, parts: int) -> np.ndarray:
@@ -95,18 +111,28 @@ def _by_word(token, before):
 
 
 def _count(parts):
-    """(part, blob) of a slice's training tokens: words, pairs per word, predecessors, counts."""
+    """(part, blob) of a task's training tokens: words, pairs per word, predecessors, counts."""
+    def send(held):
+        t, b, counts = _join_counts(held)
+        word = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        words, sizes = t[word], np.diff(np.append(word, len(t)))
+        edges, at = np.searchsorted(_part(words, parts), np.arange(parts + 1)), np.append(word, len(t))
+        out = [(p, _pack(words[i:j], sizes[i:j].astype(np.uint32), _short(b[at[i]:at[j]]), counts[at[i]:at[j]].astype(np.uint32)))
+               for p, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "blob"])
+
     def run(batches):
+        held, size = [], 0
         for batch in sliced(batches, 0, SLICE):
             token, before, _ = _tokens(batch.column(0))
-            _, t, b, pair, word = _by_word(token, before)
-            counts = np.diff(np.append(pair, len(t)))
-            words, sizes, pairs = t[pair][word], np.diff(np.append(word, len(pair))), b[pair]
-            edges = np.searchsorted(_part(words, parts), np.arange(parts + 1))
-            at = np.append(word, len(pair))
-            out = [(p, _pack(words[i:j], sizes[i:j].astype(np.uint32), pairs[at[i]:at[j]], counts[at[i]:at[j]].astype(np.uint32)))
-                   for p, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "blob"])
+            _, t, b, pair, _ = _by_word(token, before)
+            held.append((t[pair], b[pair], np.diff(np.append(pair, len(t)))))
+            size += len(pair)
+            if size > GATHER:
+                yield send(held)
+                held, size = [], 0
+        if held:
+            yield send(held)
 
     return run
 
@@ -125,7 +151,7 @@ def build_part(words, befores, counts) -> bytes:
     return _pack(
         EliasFano.encode(words[first], 1 << 64), np.add.reduceat(counts, first).astype(np.uint64),
         EliasFano.encode(np.append(first, len(words)), len(words) + 1),
-        EliasFano.encode((rank << np.uint64(32)) | befores.astype(np.uint64), len(first) << 32), code_of(counts))
+        EliasFano.encode((rank << np.uint64(BITS)) | befores.astype(np.uint64), len(first) << BITS), code_of(counts))
 
 
 def _build(batches):
@@ -144,10 +170,10 @@ def _build(batches):
                 if held:
                     yield done()
                 part, held, size = p, [], 0
-            words, sizes, befores, counts = _unpack(blob.as_py(), np.uint64, np.uint32, np.uint32, np.uint32)
-            held.append((np.repeat(words, sizes), befores, counts.astype(np.int64)))
+            words, sizes, befores, counts = _unpack(blob.as_py(), np.uint64, np.uint32, np.uint8, np.uint32)
+            held.append((np.repeat(words, sizes), _long(befores), counts.astype(np.int64)))
             size += len(befores)
-            if size > (1 << 22) and len(held) > 8:
+            if size > GATHER and len(held) > 8:
                 held = [_join_counts(held)]
                 size = 0
     if held:
@@ -169,7 +195,7 @@ class TriePart:
 
     def pairs(self, rank: np.ndarray, befores: np.ndarray) -> np.ndarray:
         """Counts of predecessors under the words of these ranks; 0 if never seen."""
-        at = self.befores.find((np.maximum(rank, 0).astype(np.uint64) << np.uint64(32)) | befores.astype(np.uint64))
+        at = self.befores.find((np.maximum(rank, 0).astype(np.uint64) << np.uint64(BITS)) | befores.astype(np.uint64))
         return np.where((at >= 0) & (rank >= 0), CODES[self.codes[np.maximum(at, 0)]], 0.0)
 
 
@@ -189,7 +215,7 @@ def _ask(parts):
                 words, sizes, pairs, place = t[pair][word], np.diff(np.append(word, len(pair))).astype(np.uint32), b[pair], place[order].astype(np.uint16)
                 edges = np.searchsorted(_part(words, parts), np.arange(parts + 1))
                 at, token_at = np.append(word, len(pair)), np.append(pair, len(t))
-                out = [(p, _pack(words[i:j], sizes[i:j], pairs[at[i]:at[j]], times[at[i]:at[j]], place[token_at[at[i]]:token_at[at[j]]]))
+                out = [(p, _pack(words[i:j], sizes[i:j], _short(pairs[at[i]:at[j]]), times[at[i]:at[j]], place[token_at[at[i]]:token_at[at[j]]]))
                        for p, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
                 ids, held = piece.column(0).to_pylist(), [not x for x in piece.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
@@ -217,7 +243,8 @@ def _score(tokens, types, training_docs):
                 if kind == 0:
                     trie = TriePart(blob.as_py(), tokens, types)
                     continue
-                words, sizes, befores, times, place = _unpack(blob.as_py(), np.uint64, np.uint32, np.uint32, np.uint32, np.uint16)
+                words, sizes, befores, times, place = _unpack(blob.as_py(), np.uint64, np.uint32, np.uint8, np.uint32, np.uint16)
+                befores = _long(befores)
                 total = tokens + ADD * (types + 1)
                 rank, c = trie.look(words) if trie else (np.full(len(words), -1), np.zeros(len(words)))
                 both = trie.pairs(np.repeat(rank, sizes), befores) if trie else np.zeros(len(befores))

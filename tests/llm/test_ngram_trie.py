@@ -69,7 +69,7 @@ def test_odd_rows(spark):
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     words = np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
-    befores = np.sort(rng.integers(0, 1 << 32, 30, dtype=np.uint32))
+    befores = np.sort(rng.integers(0, 1 << ngram_trie.BITS, 30, dtype=np.uint32))
     table = rng.integers(0, 4, (40, 30))
     w, h = np.nonzero(table)
     trie = ngram_trie.TriePart(ngram_trie.build_part(words[w], befores[h], table[w, h].astype(np.int64)), int(table.sum()), len(np.unique(w)))
