@@ -21,7 +21,7 @@ CURVES, DIRECTIONS, BITS = 16, 8, 7
 WINDOW = 0.08
 #: Rows of a block, and queries that are compared with a block in one call.
 BLOCK, CHUNK = 2048, 4096
-#: Rows that the projections' centres and spreads are fitted on, at most.
+#: Rows that the projections' centres and spreads are fitted on, about.
 SAMPLE = 4000
 
 
@@ -152,10 +152,12 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, window: float = WINDOW
     classes = written(least.filter("r = 1").select(F.col("vec_id").alias("cid"), "vector", "h1", "h2"), "classes")
     members = written(least.join(classes.select("cid", "h1", "h2"), ["h1", "h2"]).select("cid", "vec_id"), "members")
     queries = written(rows.filter("asks").join(classes.select("cid", "h1", "h2"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid")), "queries")
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("vector").collect()
+    n = classes.count()
+    picked = F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) <= int(min(1, SAMPLE / n) * (1 << 30))
+    sample = classes.filter(picked).select("vector").collect() or classes.select("vector").take(1)
     curves = Curves(np.array([r["vector"] for r in sample]))
 
-    n, asked = classes.count(), queries.select("qid").distinct().count()
+    asked = queries.select("qid").distinct().count()
     keys = classes.select("cid", "vector").mapInArrow(_order(curves), "curve int, key long, cid long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = ["curve", "key", "cid"]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.words import sliced
 
-#: Labelled pages that the potentials are counted on, at most, and features that are kept.
+#: Labelled pages that the potentials are counted on, about, and features that are kept.
 TRAIN_PAGES, TRAIN_FEATURES = 2000, 2000
 #: Log-odds of an element whose tag or words name its part, and the most other evidence can weigh.
 STRONG, WEAK = 8.0, 1.5
@@ -253,8 +253,9 @@ def _count(batches):
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Tree:
-    """Potentials from the ``most`` pages whose url hashes lowest."""
-    sample = pages.orderBy(F.xxhash64("url"), "url").limit(most).select("html")
+    """Potentials from about ``most`` pages, those whose url hashes lowest."""
+    share = most / max(1, pages.count())
+    sample = pages.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(share * (1 << 30))).select("html")
     counts = sample.mapInArrow(_count, "name string, other long, content long").groupBy("name").agg(F.sum("other").alias("other"), F.sum("content").alias("content"))
     top = counts.orderBy(F.desc(F.col("other") + F.col("content")), "name").limit(TRAIN_FEATURES).collect()
     return Tree({r["name"]: (r["other"], r["content"]) for r in top})

@@ -19,7 +19,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.words import sliced
@@ -130,10 +130,13 @@ def encode_units(units: DataFrame, pieces: DataFrame, longest: int, bpe: bool, u
 
 
 def frequent_units(docs: DataFrame, model: Model, most: int) -> DataFrame:
-    """The ``most`` most frequent units of all texts, ties by code point."""
+    """The most frequent units of all texts: ``most`` of them, less those whose count only some of a tie would reach; none that occur once."""
     units = docs.select(F.explode(F.regexp_extract_all(escaped(F.col("text")), F.lit(model.unit_pattern()), F.lit(0))).alias("unit"))
-    counts = units.groupBy("unit").count().filter(F.char_length("unit") <= UNIT_CHARS)
-    return counts.orderBy(F.desc("count"), "unit").limit(most).select("unit")
+    counts = written(units.groupBy("unit").count().filter((F.char_length("unit") <= UNIT_CHARS) & (F.col("count") > 1)), "counts")
+    steps = counts.groupBy("count").agg(F.count("*").alias("n"))  # a row for each count that occurs
+    so_far = F.sum("n").over(Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    least = steps.withColumn("so_far", so_far).filter(F.col("so_far") <= most).agg(F.min("count")).first()[0]
+    return counts.filter(F.col("count") >= F.lit(least)).select("unit")
 
 
 def _bytes_of(found, byte_ids) -> bytes:
@@ -236,7 +239,7 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     spark, model = docs.sparkSession, Model(path)
     if not model.bpe:
         raise ValueError("texts are encoded with BPE models; encode_units also takes unigram pieces")
-    top = written(frequent_units(docs, model, frequent), "units")
+    top = frequent_units(docs, model, frequent)
     found = written(encode_units(top, model.table(spark), model.longest, model.bpe), "pieces")
     table = {r.unit: _bytes_of(r.found, model.byte_ids) for r in found.toLocalIterator()}  # at most ``frequent`` short units
     shared = spark.sparkContext.broadcast((table, model.scores, model.byte_ids))
