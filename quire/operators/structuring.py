@@ -76,11 +76,9 @@ def _unique(lists: pd.Series) -> pd.Series:
 
 def unique_ids(sections: DataFrame, doc: str, order: str, name: str = "id") -> DataFrame:
     """Repeated ids of one document numbered -2, -3, … past any that are taken."""
-    rest = [c for c in sections.columns if c not in (doc, order, name)]
-    item = F.struct(order, name, *rest)
-    lists = sections.groupBy(doc).agg(F.sort_array(F.collect_list(item)).alias("s"))
-    named = lists.select(doc, F.inline(F.arrays_zip("s", _unique(F.col(f"s.{name}")).alias("anchor"))))
-    return named.select(doc, "s.*", "anchor")
+    lists = sections.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(order, name))).alias("s"))  # names only, no text
+    named = lists.select(doc, F.inline(F.arrays_zip(F.col(f"s.{order}").alias(order), _unique(F.col(f"s.{name}")).alias("anchor"))))
+    return sections.join(named, [doc, order])
 
 
 def units(docs: DataFrame, doc: str, body: str = "md") -> DataFrame:
