@@ -35,21 +35,26 @@ def names_policy(heading: Column) -> Column:
     return heading.rlike(POLICY_HEADING) | heading.rlike(CODE_FIRST)
 
 
-def block_scope(sections: DataFrame, doc: str) -> DataFrame:
-    """Each section with the deeper ones under it: (section_no, last_no, members, block text).
+def block_scope(sections: DataFrame, doc: str, wanted: Column | None = None) -> DataFrame:
+    """Sections (those `wanted` by their heading) with the deeper ones under them: (section_no, members, heading, block).
 
     The block ends before the next section of the same or a higher level, or the
-    next policy heading. A document's sections are one row while this runs.
+    next policy heading. Ends come from a document's levels alone; texts then join
+    the blocks they belong to, at most once for each level above them.
     """
-    item = F.struct("section_no", "level", "heading", "text", names_policy(F.col("heading")).alias("own"))
+    want = F.lit(True) if wanted is None else wanted
+    item = F.struct("section_no", "level", names_policy(F.col("heading")).alias("own"), want.alias("want"))
     lists = sections.groupBy(doc).agg(F.sort_array(F.collect_list(item)).alias("s"))
-    rows = lists.select(doc, "s", F.posexplode("s").alias("i", "x"))
-    rest = F.slice("s", F.col("i") + 2, F.size("s"))
-    stops = F.array_position(F.transform(rest, lambda n: (n.level <= F.col("x.level")) | n.own), True)
-    inner = F.when(stops == 0, rest).otherwise(F.slice(rest, F.lit(1), (stops - 1).cast("int")))
-    texts = F.concat(F.array("x.text"), F.transform(inner, lambda n: F.concat_ws("\n", n.heading, n.text)))
-    return rows.select(doc, F.col("x.section_no").alias("section_no"), (F.size(inner) + 1).alias("members"),
-                       F.col("x.heading").alias("heading"), T.strip(F.array_join(texts, "\n")).alias("block"))
+    rest = lambda i: F.slice("s", i + 2, F.size("s"))
+    stop = lambda x, i: F.array_position(F.transform(rest(i), lambda n: (n.level <= x.level) | n.own), True)
+    inner = lambda x, i: F.when(stop(x, i) == 0, rest(i)).otherwise(F.slice(rest(i), F.lit(1), (stop(x, i) - 1).cast("int")))
+    scopes = F.transform("s", lambda x, i: F.struct(x.section_no.alias("top"), x.want.alias("want"), F.concat(F.array(x.section_no), inner(x, i).section_no).alias("parts")))
+    rows = lists.select(doc, F.explode(F.filter(scopes, lambda x: x.want)).alias("e")).select(doc, F.col("e.top").alias("top"), F.explode("e.parts").alias("section_no"))
+    parts = rows.join(sections.select(doc, "section_no", "heading", "text"), [doc, "section_no"])
+    own = F.col("section_no") == F.col("top")
+    words = F.struct("section_no", F.when(own, F.col("text")).otherwise(F.concat_ws("\n", "heading", "text")).alias("t"))
+    blocks = parts.groupBy(doc, "top").agg(F.count("*").alias("members"), F.max(F.when(own, F.col("heading"))).alias("heading"), F.sort_array(F.collect_list(words)).alias("l"))
+    return blocks.select(doc, F.col("top").alias("section_no"), "members", "heading", T.strip(F.array_join("l.t", "\n")).alias("block"))
 
 
 def detect_policies(sections: DataFrame, doc: str) -> DataFrame:
@@ -60,10 +65,9 @@ def detect_policies(sections: DataFrame, doc: str) -> DataFrame:
     kind = F.when(first, g(POLICY_HEADING, 1)).otherwise("")
     code = F.when(first, g(POLICY_HEADING, 2)).otherwise(g(CODE_FIRST, 1))
     title = F.when(first, g(POLICY_HEADING, 3)).otherwise(g(CODE_FIRST, 2))
-    rows = block_scope(sections, doc).select(
+    rows = block_scope(sections, doc, (code != "") & ~kind.rlike("(?i)^policies$")).select(
         doc, "section_no", "members", "block", code.alias("raw"), kind.alias("kind"),
         T.strip(F.regexp_replace(title, r"^[:–—-]\s*", "")).alias("title"), T.normalise_code(code).alias("key"))
-    rows = rows.where((F.col("raw") != "") & ~F.col("kind").rlike("(?i)^policies$"))
     land = F.col("title").rlike(word(LAND_WORDS)) | F.col("block").rlike(word(ALLOCATION_WORDS))
     is_site = F.col("kind").rlike("(?i)site|allocation") | land
     rows = rows.select(doc, "key", F.struct(
