@@ -1,7 +1,7 @@
 """Quality rules: counts of a text's words, symbols and repeats, and its distance from its language.
 
-A reference per language is the mean share of each character class and of the language's
-most common words over all documents that pass the count rules. A document goes if the
+A reference per language is the share of each character class and of the language's most
+common words in all its documents that pass the count rules. A document goes if the
 Jensen-Shannon distance of its character classes or of its common words to the nearest
 reference is too large; texts too short for a histogram are judged by the counts alone.
 """
