@@ -20,6 +20,7 @@ HEADING_WEIGHT = 3
 PHRASE_BONUS = 2.0
 FIELD_BOOST = {"text": 1.0, "heading": 3.0, "title": 0.5}
 FIELD_K, FIELD_B, FIELD_D = 1.2, 0.4, 0.5
+# FUZZY_MAX is the most edits the search library allows by its own default, however long the term.
 PREFIX_WEIGHT, FUZZY_WEIGHT, FUZZY_FRACTION, FUZZY_MAX = 0.375, 0.45, 0.15, 6
 
 # Sizes in characters and list lengths.

@@ -92,6 +92,7 @@ def escape_html(c: Column) -> Column:
 
 def md_to_plain(c: Column) -> Column:
     """Markdown to words good enough for an index."""
+    # The patterns and their order decide the result.
     steps = (
         (r"!\[[^\]]*\]\([^)]*\)", ""),
         (r"\[([^\]]+)\]\([^)]*\)", "$1"),
@@ -108,6 +109,7 @@ def md_to_plain(c: Column) -> Column:
 
 def strip_inline(c: Column) -> Column:
     """Inline markup out of one line; every repeat is bounded."""
+    # The patterns and their order decide the result.
     steps = (
         (r"!\[([^\]]{0,500})\]\([^)]{0,2000}\)", "$1"),
         (r"\[([^\]]{1,500})\]\([^)]{0,2000}\)", "$1"),

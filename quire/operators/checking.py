@@ -129,6 +129,7 @@ def merge_attempts(answers: DataFrame, keys: list[str], order: Column, tries: in
 
 def count_rule(counts: DataFrame, n: str, most: int = 10) -> DataFrame:
     c = F.col(n)
+    # The findings' words.
     finding = (F.when(c == 0, "No measurable outcomes could be found in the plan.")
                .when(c <= most, F.concat(F.lit("The plan sets out "), T.counted(c, "measurable outcome"), F.lit(f", within the limit of {most}.")))
                .otherwise(F.concat(F.lit("The plan sets out "), c, F.lit(f" outcomes, more than the {most} allowed."))))

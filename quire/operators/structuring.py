@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 from quire import fixed
 from quire.functions import text as T
 
+# Fixed value: what counts as a heading.
 HEADING = r"^(#{1,4})\s+(.+?)\s*$"
 STRINGS = "cast(array() as array<string>)"
 
@@ -227,6 +228,7 @@ def heading_paths(sections: DataFrame, doc: str) -> DataFrame:
         F.size(path) == 0, "Opening text").otherwise(F.array_join(last3, " › ")).alias("locator"))
 
 
+# Fixed value: the rule under a table's head.
 TABLE_RULE = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$"
 
 
