@@ -13,10 +13,9 @@ from quire.llm.ngram_trie import is_training, score
 from quire.llm.parity_join import similar_documents
 from quire.llm.piece_lattice import decode, encode
 from quire.llm.quality import judge
-from quire.llm.shared import read
+from quire.llm.shared import prepare, read
 from quire.llm.token_counts import count_tokens
 from quire.llm.url_templates import judge_urls
-from quire.plans.registry import ship
 
 
 def op1_line_dedup(spark, folder):
@@ -66,7 +65,7 @@ def op10_piece_lattice(spark, folder):
 
 def _shipped(fn):
     def run(spark, folder):
-        ship(spark)
+        prepare(spark)
         return fn(spark, folder)
 
     return run

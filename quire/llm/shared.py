@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.plans.registry import ship
+
 WHITE = " \t\n\x0b\f\r"  # U+0020 and U+0009 to U+000D
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -15,6 +17,16 @@ BROADCAST_ROWS = 400_000
 HEAVY_SHARE = 1e-4
 
 
+#: Rows that go to a Python worker together: whole texts, so fewer than Spark's own 10,000.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give the workers this package and batches of a size that texts allow."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
