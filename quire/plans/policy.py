@@ -1,4 +1,4 @@
-"""Printed policy text: every line of a document is given one of the forms such a text has."""
+"""Printed policy text: every line of a document, whole, is given one of the forms such a text has."""
 
 from __future__ import annotations
 
@@ -13,13 +13,12 @@ from quire.sources.tables import documents
 def _printed(spark, sf):
     """A contents page, two chapters and an annex, with policies, items, footnotes and page numbers."""
     def line(l, i):
-        n, bare = i % 12, F.regexp_replace(l, r"[^A-Za-z ]", "")
-        k = F.floor(i / 12)
+        n, k = i % 12, F.floor(i / 12)
         forms = [
-            (0, F.concat(F.lit("PM"), k % 90 + 1, F.lit(": Policy "), bare)), (1, F.concat(k + 1, F.lit(". First "), bare, F.lit("x"), k + 1, F.lit(", then"))),
-            (2, F.concat(F.lit(" continued "), bare, F.lit(" plan-"))), (3, F.lit(" making at the end")), (4, F.concat(F.lit("  h. Letter "), bare)), (5, F.lit("  i. Letter again")),
-            (6, F.lit("  i. Roman one")), (7, F.concat(F.lit(" • Bullet "), bare)), (8, F.concat(k + 1, F.lit(" Footnote "), bare)), (9, F.lit("  inside the footnote")),
-            (10, F.lit("         12")), (11, F.concat(F.lit("  resumed "), bare)),
+            (0, F.concat(F.lit("PM"), k % 90 + 1, F.lit(": Policy "), l)), (1, F.concat(k + 1, F.lit(". First "), l, F.lit("x"), k + 1, F.lit(", then"))),
+            (2, F.concat(F.lit(" continued "), l, F.lit(" plan-"))), (3, F.concat(F.lit(" making at the end "), l)), (4, F.concat(F.lit("  h. Letter "), l)),
+            (5, F.concat(F.lit("  i. Letter again "), l)), (6, F.concat(F.lit("  i. Roman one "), l)), (7, F.concat(F.lit(" • Bullet "), l)), (8, F.concat(k + 1, F.lit(" Footnote "), l)),
+            (9, F.concat(F.lit("  inside the footnote "), l)), (10, F.concat(F.lit("  still inside "), l, F.lit("\n         12"))), (11, F.concat(F.lit("  resumed "), l)),
         ]
         out = F.when(n == forms[0][0], forms[0][1])
         for f, c in forms[1:]:
