@@ -1,16 +1,19 @@
 """Quality rules: counts of a text's words, symbols and repeats, and its distance from its language.
 
 A reference per language is the share of each character class and of the language's most
-common words in all its documents that pass the count rules. A document goes if the
-Jensen-Shannon distance of its character classes or of its common words to the nearest
-reference is too large; texts too short for a histogram are judged by the counts alone.
+common words in all its documents that pass the count rules. Every language with
+MIN_REFERENCE_WORDS words in those has one. A document goes if the Jensen-Shannon distance
+of its character classes or of its common words to its language's reference is too large,
+or to the nearest of all references if its language is null or has none; texts too short
+for a histogram are judged by the counts alone.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,8 @@ from quire.session import written
 
 #: Common words of a language that have a bin of their own.
 COMMON = 40
-#: Languages (values of ``lang`` with most documents) that get a reference.
-LANGUAGES = 64
+#: Words a language (a value of ``lang``) needs, in documents that pass the count rules, to get a reference.
+MIN_REFERENCE_WORDS = 1000
 #: Words a text needs for its classes, and for its common words, to be compared.
 MIN_CLASS_WORDS, MIN_COMMON_WORDS = 50, 50
 #: Jensen-Shannon distances (square roots, base 2) from which a document goes.
@@ -68,7 +71,7 @@ def _dup_lines(text: str) -> int:
 
 
 def _lang(column):
-    return pc.fill_null(column.cast(pa.string()), "")
+    return np.array(column.cast(pa.string()).to_pylist(), object)
 
 
 def _counts(column, w):
@@ -92,11 +95,11 @@ def _base(column, w):
 def _gather(batches):
     """Of a batch's texts that pass the count rules: class counts per language and word counts per language."""
     for batch in sliced(batches, 1):
-        langs, column = np.array(_lang(batch.column(0)).to_pylist(), object), batch.column(1)
+        langs, column = _lang(batch.column(0)), batch.column(1)
         w = words_of(column, fold=False)
         n, classes, _, _, failed = _base(column, w)
         out = {"lang": [], "kind": [], "word": [], "n": []}
-        for lang in sorted(set(langs)):
+        for lang in sorted(set(langs) - {None}):
             good = np.flatnonzero((langs == lang) & ~failed)
             for k in range(N_CLASS):
                 out["lang"].append(lang), out["kind"].append(k), out["word"].append(None), out["n"].append(int(classes[good, k].sum()))
@@ -112,24 +115,29 @@ def _gather(batches):
 
 
 def references(docs: DataFrame) -> list[dict]:
-    """At most LANGUAGES references: classes (shares), words (hashes, ascending) and their shares."""
+    """A reference per language with MIN_REFERENCE_WORDS words: classes (shares), words (hashes, ascending) and their shares.
+
+    The driver and each task hold COMMON + N_CLASS + 1 numbers for each of them.
+    """
     sums = docs.select("lang", "text").mapInArrow(_gather, "lang string, kind int, word long, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     sums = written(sums, "language")
-    top = sums.filter(F.col("kind") == N_CLASS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    enough = sums.filter((F.col("kind") == N_CLASS) & (F.col("n") >= MIN_REFERENCE_WORDS)).select("lang")
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     common = sums.filter("kind = -1").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= COMMON).drop("r")
-    rows = common.unionByName(sums.filter("kind >= 0")).join(F.broadcast(top), "lang").collect()  # LANGUAGES * (COMMON + 7) rows at most
+    rows = common.unionByName(sums.filter("kind >= 0")).join(enough, "lang").toArrow()
+    own = defaultdict(list)
+    for lang, kind, word, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "kind", "word", "n"))):
+        own[lang].append((kind, word, n))
     found = []
-    for lang in sorted({r.lang for r in rows}):
-        own = [r for r in rows if r.lang == lang]
+    for lang in sorted(own):
         classes = np.zeros(N_CLASS)
         total = 0
-        for r in own:
-            if 0 <= r.kind < N_CLASS:
-                classes[r.kind] = r.n
-            elif r.kind == N_CLASS:
-                total = r.n
-        words = sorted((int(np.int64(r.word).astype(np.uint64)), r.n) for r in own if r.kind == -1)
+        for kind, _, n in own[lang]:
+            if 0 <= kind < N_CLASS:
+                classes[kind] = n
+            elif kind == N_CLASS:
+                total = n
+        words = sorted((int(np.int64(word).astype(np.uint64)), n) for kind, word, n in own[lang] if kind == -1)
         if total and classes.sum():
             found.append({"lang": lang, "classes": classes / classes.sum(), "words": np.array([x for x, _ in words], np.uint64), "shares": np.array([c for _, c in words]) / total})
     return found
@@ -145,30 +153,38 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _judge(refs):
+    named = {ref["lang"] for ref in refs}
+
     def run(batches):
         for batch in sliced(batches, 2):
-            langs, column = np.array(_lang(batch.column(1)).to_pylist(), object), batch.column(2)
+            langs, column = _lang(batch.column(1)), batch.column(2)
             w = words_of(column, fold=False)
             n, classes, dup, rep, failed = _base(column, w)
             d_class, d_common = np.full(len(n), np.inf), np.full(len(n), np.inf)
             shares = classes / np.maximum(1, classes.sum(axis=1))[:, None]
-            named = {r["lang"] for r in refs}
+            whose = defaultdict(list)
+            for i, lang in enumerate(langs):
+                whose[lang if lang in named else None].append(i)
+            owner = np.repeat(np.arange(len(n)), n)
             for ref in refs:
-                mine = np.flatnonzero(np.array([x == ref["lang"] or x not in named for x in langs], bool))
+                mine = np.array(sorted(whose.get(ref["lang"], []) + whose.get(None, [])), np.int64)
                 if not len(mine):
                     continue
                 d_class[mine] = np.minimum(d_class[mine], js_distance(shares[mine], ref["classes"]))
                 if len(ref["words"]):
-                    slot = np.searchsorted(ref["words"], w.hashes)
+                    place = np.full(len(n), -1)
+                    place[mine] = np.arange(len(mine))
+                    at = place[owner]
+                    hashes, at = w.hashes[at >= 0], at[at >= 0]
+                    slot = np.searchsorted(ref["words"], hashes)
                     slot[slot == len(ref["words"])] = 0
-                    hit = ref["words"][slot] == w.hashes
+                    hit = ref["words"][slot] == hashes
                     k = len(ref["words"])
-                    owner = np.repeat(np.arange(len(n)), n)
-                    table = np.bincount(owner[hit] * k + slot[hit], minlength=len(n) * k).reshape(len(n), k)
-                    p = table / np.maximum(1, n)[:, None]
+                    table = np.bincount(at[hit] * k + slot[hit], minlength=len(mine) * k).reshape(len(mine), k)
+                    p = table / np.maximum(1, n[mine])[:, None]
                     p = np.concatenate([p, 1 - p.sum(axis=1, keepdims=True)], axis=1)
                     q = np.append(ref["shares"], max(0.0, 1 - ref["shares"].sum()))
-                    d_common[mine] = np.minimum(d_common[mine], js_distance(p[mine], q))
+                    d_common[mine] = np.minimum(d_common[mine], js_distance(p, q))
             d_class[(n < MIN_CLASS_WORDS) | ~np.isfinite(d_class)] = 0
             d_common[(n < MIN_COMMON_WORDS) | ~np.isfinite(d_common)] = 0
             kept = ~failed & (d_class <= MAX_CLASS) & (d_common <= MAX_COMMON)
@@ -187,9 +203,10 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and both distances for every row of ``docs`` (doc_id, lang, text), and ``q_row`` (all its columns).
 
     base_failed: fewer than 10 words, or over 20 % of them in 5-word windows that repeat.
-    A null or empty text has counts of 0 and fails. A null or rare ``lang`` is compared
-    with every reference and the nearest counts. Rows that repeat are judged alike. An
-    empty table gives an empty result; without references the counts alone decide.
+    A null or empty text has counts of 0 and fails. A null ``lang``, or one with too few
+    words for a reference, is compared with every reference and the nearest counts. Rows
+    that repeat are judged alike. An empty table gives an empty result; without references
+    the counts alone decide.
     """
     refs = references(docs)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.struct(*docs.columns).alias("q_row"))
