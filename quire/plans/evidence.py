@@ -97,17 +97,14 @@ def verify_quotes(spark, sf):
 
 
 def scoped_quotes(spark, sf):
-    """A quote may only stand in the section numbered like the document's quality label."""
-    scope = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("section_no"))
-    ids = _quotes(spark, sf).select("quote_id")
-    hits = _found_anywhere(spark, sf).join(scope, ["doc_id", "section_no"]).select("quote_id", "doc_id", "section_no")
-    return _found(spark, sf, scope=hits.join(ids, "quote_id", "left_semi")).select("quote_id", "doc_id", "section_no")
-
+    """A quote may only stand in the section numbered like the document's quality label, and like its own parity.
 
-def _found_anywhere(spark, sf):
-    """Every section that could be a quote's scope: those that share the label's section number."""
-    s = _passages(spark, sf).select("doc_id", "section_no")
-    return s.join(_quotes(spark, sf).select("quote_id", (F.col("quote_id") % 2).alias("section_no")), "section_no")
+    Quotes are found in all sections first, each section on its own; the scope then keeps some of the hits.
+    """
+    scope = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("section_no"))
+    sections = _passages(spark, sf).withColumn("place", F.struct("doc_id", "section_no"))
+    hits = E.verify_quotes(sections, "place", "section_no", _quotes(spark, sf), "quote_id").select("quote_id", "place.doc_id", "section_no")
+    return hits.where(F.col("section_no") == F.col("quote_id") % 2).join(scope, ["doc_id", "section_no"], "left_semi").select("quote_id", "doc_id", "section_no")
 
 
 def verify_quote_lists(spark, sf):
