@@ -14,6 +14,8 @@ from quire.llm.parity_join import similar_documents
 from quire.llm.piece_lattice import decode, encode
 from quire.llm.quality import judge
 from quire.llm.shared import prepare, read
+from quire.llm.spelling import variants
+from quire.llm.sql import ORACLES as NEWER
 from quire.llm.token_counts import count_tokens
 from quire.llm.url_templates import judge_urls
 
@@ -63,6 +65,10 @@ def op10_piece_lattice(spark, folder):
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), same.alias("round_trip"))
 
 
+def op11_spelling_variants(spark, folder):
+    return variants(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def _shipped(fn):
     def run(spark, folder):
         prepare(spark)
@@ -72,7 +78,8 @@ def _shipped(fn):
 
 
 QUERIES = {fn.__name__: _shipped(fn) for fn in (
-    op1_line_dedup, op2_html_text, op3_parity_join, op4_token_counts, op5_source_mix, op6_curve_search, op7_ngram_trie, op8_quality_rules, op9_url_templates, op10_piece_lattice)}
+    op1_line_dedup, op2_html_text, op3_parity_join, op4_token_counts, op5_source_mix, op6_curve_search, op7_ngram_trie, op8_quality_rules, op9_url_templates, op10_piece_lattice,
+    op11_spelling_variants)}
 
 ORACLES = {
     "op1_line_dedup": """
@@ -151,3 +158,5 @@ p as (select case when sum(allowed + blocked) > 0 then sum(blocked) / sum(allowe
 d as (select v3.host, s1, s2, s3, '/' || t1 || '/' || t2 || '/' || t3 as template, (bb + 4.0::double * p0) / (aa + bb + 4.0::double) purity from v3 join z using (host, t1, t2, t3), p)
 select page_id, a.host, path, rule, coalesce(label, case when purity >= 0.8 then 'block' else 'allow' end) verdict, template
 from a join d on a.host = d.host and a.s1 = d.s1 and a.s2 = d.s2 and a.s3 = d.s3"""
+
+ORACLES |= NEWER
