@@ -40,8 +40,8 @@ class Grams:
                 reach = to
         return out
 
-    def affected(self, word: str, found: list[tuple[int, str]]) -> int:
-        """The most of the word's grams ``found`` that one edit can change."""
+    def affected(self, word: str, found: list[tuple[int, str]]) -> tuple[int, int]:
+        """The most of the word's grams ``found`` that one code point more, and one replaced or deleted, can change."""
         s = BEGIN + word + END
         n = len(s)
         starts, ends = [p for p, _ in found], [p + len(g) for p, g in found]
@@ -55,10 +55,10 @@ class Grams:
                 if s[cut:e] in self.tails:
                     last[cut] = e
                     break
-        worst = 0
+        more = other = 0
         for cut in range(1, n):  # starts and ends ascend, so the changed grams are neighbours
             low = min(bisect_left(starts, first[cut]), bisect_right(ends, cut))
-            worst = max(worst, bisect_left(starts, cut) - low, bisect_right(ends, last[cut]) - low)  # insert before s[cut]
+            more = max(more, bisect_left(starts, cut) - low, bisect_right(ends, last[cut]) - low)  # insert before s[cut]
             if cut < n - 1:  # replace or delete s[cut]
-                worst = max(worst, bisect_right(starts, cut) - low, bisect_right(ends, last[cut + 1]) - low)
-        return worst
+                other = max(other, bisect_right(starts, cut) - low, bisect_right(ends, last[cut + 1]) - low)
+        return more, other

@@ -36,7 +36,7 @@ FORM_RATIO = 5
 FREQUENT = 1e-3
 #: Grams that two words must share to meet, where one of them surely keeps so many.
 SHARED = 3
-_LISTS = "word string, n long, key long, place int, way byte, level byte"
+_LISTS = "word string, key long, place byte, way byte"
 
 
 def damaged_words(docs: DataFrame) -> DataFrame:
@@ -71,103 +71,91 @@ def dictionary(counts: dict[str, int], n_words: int) -> Grams:
 
 
 def _lists(grams: Grams, counts: dict[str, int]):
-    """Of batches (word, n): a row for each list that a word goes to or looks into.
+    """Of batches (word): a row for each list that a word goes to or looks into.
 
-    level: how many grams a list is of, or 0 for a word that needs halves. way: 0 for the
-    list of the grams as they are, i for that with the i-th distance one more.
+    way: 0 for the list of the grams as they are, i for that with the i-th distance one more,
+    -1 for a word that needs halves. place: the first gram's, up to 127 (a row is only looked at for it).
     """
     rank = {g: i for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}
 
     def run(batches):
         for batch in batches:
             words = batch.column(0).to_pylist()
-            chosen = {SHARED: [], 2: [], 0: []}  # level: word, its rarest grams' ranks and places, by place
+            chosen = []  # word, grams of a list, ways, the rarest grams' ranks and places
             for i, word in enumerate(words):
                 found = grams.split(word)
-                changed = grams.affected(word, found)
+                more, other = grams.affected(word, found)
                 rare = sorted((rank[g], p) for p, g in found)
-                kept = len(found) - changed
-                chosen[SHARED].append((i, rare[:changed + SHARED]))
-                if kept < SHARED:
-                    chosen[2].append((i, rare[:changed + 2]))
+                kept = len(found) - max(more, other)
+                for level in (SHARED, 2) if kept < SHARED else (SHARED,):
+                    chosen.append((i, level, (0,), rare[:max(more, other) + level]))
+                    chosen.append((i, level, range(1, level), rare[:more + level]))
                 if kept < 2:
-                    chosen[0].append((i, []))
+                    chosen.append((i, 0, (-1,), []))
             yield _rows(batch, chosen)
 
     return run
 
 
-def _rows(batch: pa.RecordBatch, chosen: dict) -> pa.RecordBatch:
-    whose, keys, places, ways, levels = [], [], [], [], []
-
-    def add(level, way, index, key, place):
-        whose.append(index), keys.append(key.view(np.int64)), places.append(place)
-        ways.append(np.full(len(index), way, np.int8)), levels.append(np.full(len(index), level, np.int8))
-
-    for level, found in chosen.items():
-        by_size = defaultdict(list)
-        for i, rare in found:
-            by_size[len(rare)].append((i, sorted(rare, key=lambda x: x[1])))
-        for size, same in by_size.items():
-            index = np.array([i for i, _ in same])
-            if not level:
-                add(0, 0, index, np.zeros(len(index), np.uint64), np.zeros(len(index), np.int32))
-                continue
-            both = np.array([rare for _, rare in same], np.int64).reshape(len(same), size, 2)
-            for picked in itertools.combinations(range(size), level):
-                ranks, at = both[:, picked, 0].astype(np.uint64), both[:, picked, 1]
-                apart = np.diff(at, axis=1).astype(np.uint64)
-                for way in range(level):
-                    key = np.full(len(index), level, np.uint64)
-                    for j in range(level):
-                        key = scramble(key + ranks[:, j])
-                        if j:
-                            key = scramble(key + apart[:, j - 1] + np.uint64(j == way))
-                    add(level, way, index, key, at[:, 0].astype(np.int32))
+def _rows(batch: pa.RecordBatch, chosen: list) -> pa.RecordBatch:
+    whose, keys, places, every = [], [], [], []
+    alike = defaultdict(list)
+    for i, level, ways, rare in chosen:
+        alike[level, tuple(ways), len(rare)].append((i, sorted(rare, key=lambda x: x[1])))
+
+    for (level, ways, size), same in alike.items():
+        index = np.array([i for i, _ in same])
+        both = np.array([rare for _, rare in same], np.int64).reshape(len(same), size, 2)
+        for picked in itertools.combinations(range(size), level):
+            ranks, at = both[:, picked, 0].astype(np.uint64), both[:, picked, 1]
+            apart = np.diff(at, axis=1).astype(np.uint64)
+            for way in ways:
+                key = np.full(len(index), level, np.uint64)
+                for j in range(level):
+                    key = scramble(key + ranks[:, j])
+                    if j:
+                        key = scramble(key + apart[:, j - 1] + np.uint64(j == way))
+                whose.append(index), keys.append(key.view(np.int64)), every.append(np.full(len(index), way, np.int8))
+                places.append(np.minimum(at[:, 0], 127).astype(np.int8) if level else np.zeros(len(index), np.int8))
     whose = pa.array(np.concatenate(whose) if whose else np.zeros(0, np.int64))
-    parts = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.int64), (places, np.int32), (ways, np.int8), (levels, np.int8))]
-    return pa.RecordBatch.from_arrays([batch.column(0).take(whose), batch.column(1).take(whose), *map(pa.array, parts)], ["word", "n", "key", "place", "way", "level"])
+    parts = [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.int64), (places, np.int8), (every, np.int8))]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(whose), *map(pa.array, parts)], ["word", "key", "place", "way"])
 
 
 def _meet(rows: DataFrame) -> DataFrame:
     """Pairs that meet in a list of grams, at places that one edit allows; verified."""
-    size = F.char_length("word")
-    lists = rows.filter("way = 0").select("key", "level", F.col("word").alias("b"), F.col("n").alias("n_b"), size.alias("size_b"), F.col("place").alias("at_b"))
+    lists = rows.filter("way = 0").select("key", F.col("word").alias("b"), F.col("place").alias("at_b"))
     # One code point more lies before or behind all of the grams, which keeps the distances, or widens one.
-    probes = rows.select("key", "level", F.col("word").alias("a"), F.col("n").alias("n_a"), size.alias("size_a"), F.col("place").alias("at_a"), "way")
-    more, on = F.col("size_b") - F.col("size_a"), F.col("at_b") - F.col("at_a")
+    probes = rows.select("key", F.col("word").alias("a"), F.col("place").alias("at_a"), "way")
+    more, on = F.char_length("b") - F.char_length("a"), F.col("at_b") - F.col("at_a")
     same = (F.col("way") == 0) & (more == 0) & (on == 0) & (F.col("a") < F.col("b"))
-    return _near(probes.join(lists, ["key", "level"]).filter(same | ((more == 1) & on.between(0, 1))))
+    return _near(probes.join(lists, "key").filter(same | ((more == 1) & on.between(0, 1))))
 
 
 def _meet_on_halves(words: DataFrame) -> DataFrame:
     """Pairs whose first half, or the rest, is the same: one edit leaves one of them as it is."""
-    def keys(size: Column) -> Column:
+    size, end = F.char_length("word"), F.lit(1 << 30)
+
+    def keys(size: Column, skipped: int) -> Column:
         half = F.floor(size / 2).cast("int")
-        return F.array(F.xxhash64(size, F.lit(0), F.substring("word", F.lit(1), half)),
-                       F.xxhash64(size, F.lit(1), F.substring("word", half + 1, F.char_length("word"))))
+        return F.array(F.xxhash64(size, F.lit(0), F.substring("word", F.lit(1), half)), F.xxhash64(size, F.lit(1), F.substring("word", half + 1 + skipped, end)))
 
     # The halves are those of the shorter word; the longer one has the second behind one code point more.
-    lists = words.select(F.explode(keys(F.col("size"))).alias("key"), F.col("word").alias("a"), F.col("n").alias("n_a"))
-    half = F.floor((F.col("size") - 1) / 2).cast("int")
-    less = F.array(F.xxhash64(F.col("size") - 1, F.lit(0), F.substring("word", F.lit(1), half)),
-                   F.xxhash64(F.col("size") - 1, F.lit(1), F.substring("word", half + 2, F.char_length("word"))))
-    probes = words.select(F.explode(F.concat(keys(F.col("size")), less)).alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"))
+    lists = words.select(F.explode(keys(size, 0)).alias("key"), F.col("word").alias("a"))
+    probes = words.select(F.explode(F.concat(keys(size, 0), keys(size - 1, 1))).alias("key"), F.col("word").alias("b"))
     return _near(lists.join(probes, "key").filter((F.char_length("a") < F.char_length("b")) | (F.col("a") < F.col("b"))))
 
 
 def _near(met: DataFrame) -> DataFrame:
-    return met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "b", "n_a", "n_b")
+    return met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "b")
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """a, b, n_a, n_b: every two of ``words`` (word, n) that differ by one inserted, deleted or replaced code point, once."""
+    """a, b: every two of ``words`` (word) that differ by one inserted, deleted or replaced code point, once."""
     counts = gram_counts(words)
-    rows = words.select("word", "n").mapInArrow(_lists(dictionary(counts, words.count()), counts), _LISTS)
+    rows = words.select("word").mapInArrow(_lists(dictionary(counts, words.count()), counts), _LISTS)
     rows = written(rows, "lists")
-    thin = rows.filter("level = 0").withColumn("size", F.char_length("word"))
-    pairs = _meet(rows.filter("level > 0")).unionByName(_meet_on_halves(thin))
-    return pairs.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return _meet(rows.filter("way >= 0")).unionByName(_meet_on_halves(rows.filter("way < 0").select("word"))).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -192,12 +180,13 @@ def variants(docs: DataFrame) -> DataFrame:
     words gives an empty result; further columns are not looked at.
     """
     words = written(damaged_words(docs.select("doc_id", "text")), "words")
-    pairs = near_words(words)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b")))
+    pairs = written(near_words(words), "pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counted = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
     best = F.min(F.struct((-F.col("n_b")).alias("less"), F.col("b").alias("form")))
-    near = written(both.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), best.alias("best"), F.first("n_a").alias("n_a")), "near")
-    near = near.withColumn("form_n", F.when(-F.col("best.less") >= FORM_RATIO * F.col("n_a"), -F.col("best.less")))
-    near = near.select("word", "n_near", F.when(F.col("form_n").isNotNull(), F.col("best.form")).alias("form"), "form_n")
+    near = counted.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), best.alias("best"))
+    near = words.join(near, "word").withColumn("form_n", F.when(-F.col("best.less") >= FORM_RATIO * F.col("n"), -F.col("best.less")))
+    near = written(near.select("word", "n_near", F.when(F.col("form_n").isNotNull(), F.col("best.form")).alias("form"), "form_n"), "near")
     ends = roots(near.filter("form is not null"))
     out = words.join(near, "word", "left").join(ends, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
