@@ -17,6 +17,7 @@ from quire.llm.shared import prepare, read
 from quire.llm.spelling import variants
 from quire.llm.sql import ORACLES as NEWER
 from quire.llm.token_counts import count_tokens
+from quire.llm.turn_repair import report
 from quire.llm.url_templates import judge_urls
 
 
@@ -69,6 +70,10 @@ def op11_spelling_variants(spark, folder):
     return variants(read(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op12_turn_repair(spark, folder):
+    return report(read(spark, folder, "conversations"))
+
+
 def _shipped(fn):
     def run(spark, folder):
         prepare(spark)
@@ -79,7 +84,7 @@ def _shipped(fn):
 
 QUERIES = {fn.__name__: _shipped(fn) for fn in (
     op1_line_dedup, op2_html_text, op3_parity_join, op4_token_counts, op5_source_mix, op6_curve_search, op7_ngram_trie, op8_quality_rules, op9_url_templates, op10_piece_lattice,
-    op11_spelling_variants)}
+    op11_spelling_variants, op12_turn_repair)}
 
 ORACLES = {
     "op1_line_dedup": """
