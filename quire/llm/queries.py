@@ -13,6 +13,7 @@ from quire.llm.ngram_trie import is_training, score
 from quire.llm.parity_join import similar_documents
 from quire.llm.piece_lattice import decode, encode
 from quire.llm.quality import judge
+from quire.llm.quality_model import score_quality
 from quire.llm.shared import prepare, read
 from quire.llm.spelling import variants
 from quire.llm.sql import ORACLES as NEWER
@@ -74,6 +75,10 @@ def op12_turn_repair(spark, folder):
     return report(read(spark, folder, "conversations"))
 
 
+def op13_quality_model(spark, folder):
+    return score_quality(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "labels"))
+
+
 def _shipped(fn):
     def run(spark, folder):
         prepare(spark)
@@ -84,7 +89,8 @@ def _shipped(fn):
 
 QUERIES = {fn.__name__: _shipped(fn) for fn in (
     op1_line_dedup, op2_html_text, op3_parity_join, op4_token_counts, op5_source_mix, op6_curve_search, op7_ngram_trie, op8_quality_rules, op9_url_templates, op10_piece_lattice,
-    op11_spelling_variants, op12_turn_repair)}
+    op11_spelling_variants, op12_turn_repair,
+    op13_quality_model)}
 
 ORACLES = {
     "op1_line_dedup": """
