@@ -238,20 +238,22 @@ def split_row(line: Column) -> Column:
 
 
 def table_rows(docs: DataFrame, doc: str, body: str) -> DataFrame:
-    """Pipe tables: (table_no, row_no, cells); row 0 is the header, the rule line is left out."""
-    lines = T.lines(F.col(body))
-    paired = F.transform(lines, lambda l, i: F.struct(l.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
+    """Pipe tables: (table_no, row_no, cells); row 0 is the header, the rule line is left out, and code and comments have none."""
+    lines = T.lines(F.regexp_replace(F.col(body), r"(?s)<!--.*?-->", ""))
+    paired = F.transform(lines, lambda l, i: F.struct(l.alias("line"), T.strip(l).alias("bare"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
     out = "cast(array() as array<struct<table_no:int,row_no:int,line:string>>)"
-    start = F.struct(F.expr(out).alias("out"), F.lit(0).alias("mode"), F.lit(0).alias("t"), F.lit(0).alias("r"))
+    start = F.struct(F.expr(out).alias("out"), F.lit(0).alias("mode"), F.lit(0).alias("t"), F.lit(0).alias("r"), F.lit("").alias("fence"))
 
-    def step(acc, x):
+    def step(acc, x):  # modes: outside, at the rule, within a table, within code
         piped = x.line.contains("|")
         row = lambda t, r: F.array_append(acc.out, F.struct(t.alias("table_no"), r.alias("row_no"), x.line.alias("line")))
-        state = lambda o, m, t, r: F.struct(o.alias("out"), F.lit(m).alias("mode"), t.alias("t"), r.alias("r"))
+        state = lambda o, m, t, r, fence=acc.fence: F.struct(o.alias("out"), F.lit(m).alias("mode"), t.alias("t"), r.alias("r"), fence.alias("fence"))
         return (
             F.when(acc.mode == 1, state(acc.out, 2, acc.t, acc.r))
             .when((acc.mode == 2) & piped, state(row(acc.t, acc.r + 1), 2, acc.t, acc.r + 1))
-            .when(piped & x.next.rlike(TABLE_RULE), state(row(acc.t + 1, F.lit(0)), 1, acc.t + 1, F.lit(0)))
+            .when((acc.mode == 3) & ~x.bare.startswith(acc.fence), acc)
+            .when((acc.mode != 3) & x.bare.rlike("^(```|~~~)"), state(acc.out, 3, acc.t, acc.r, F.substring(x.bare, 1, 3)))
+            .when((acc.mode != 3) & piped & x.next.rlike(TABLE_RULE), state(row(acc.t + 1, F.lit(0)), 1, acc.t + 1, F.lit(0)))
             .otherwise(state(acc.out, 0, acc.t, acc.r))
         )
 
@@ -279,32 +281,19 @@ def heading_level(line: Column) -> Column:
     )
 
 
-def paragraph_groups(text: Column) -> Column:
-    """Groups of lines: one per line in a long text with hardly a blank line, else between blank lines."""
-    flat = F.regexp_replace(text, r"\r\n?", "\n")
+def line_groups(flat: Column) -> Column:
+    """The lines of a text as groups, each a text of its own."""
     lines = T.lines(flat)
     blanks = F.size(F.filter(lines, T.blank))
     per_line = (F.size(lines) > 20) & (blanks / F.size(lines) < 0.05)
-    groups = F.when(per_line, lines).otherwise(F.split(flat, r"\n(?:[^\S\n]*\n)+"))
-    joined = F.transform(groups, lambda g: T.strip(F.regexp_replace(g, r"\s*\n\s*", " ")))
-    return F.filter(joined, lambda g: g != "")
+    return F.when(per_line, lines).otherwise(F.split(flat, r"\n(?:[^\S\n]*\n)+"))
 
 
-def html_blocks(pages: DataFrame, page: str, html: str = "html") -> DataFrame:
-    """Headings, paragraphs and list items of a page, in order, as plain text."""
-    bare = F.col(html)
-    for tag in ("script", "style", "nav", "footer"):
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", "")
-    cut = F.split(F.regexp_replace(bare, r"(?i)(</?(?:h[1-6]|p|li|ul|ol|article|div)\b[^>]*>)", "\u0001$1"), "\u0001")
-    rows = pages.select(page, F.posexplode(cut).alias("at", "piece"))
-    tag = F.lower(F.regexp_extract("piece", r"(?i)^<(h[1-6]|p|li)\b", 1))
-    text = F.regexp_replace("piece", r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    kind = F.when(tag == "p", "para").when(tag == "li", "item").otherwise("heading")
-    level = F.when(tag.rlike("^h"), F.substring(tag, 2, 1).cast("int")).otherwise(0)
-    return rows.where(tag != "").select(page, "at", kind.alias("kind"), level.alias("level"), T.squash(text).alias("text")).where("text <> ''")
+def paragraph_groups(text: Column) -> Column:
+    """Groups of lines: one per line in a long text with hardly a blank line, else between blank lines."""
+    groups = line_groups(F.regexp_replace(text, r"\r\n?", "\n"))
+    joined = F.transform(groups, lambda g: T.strip(F.regexp_replace(g, r"\s*\n\s*", " ")))
+    return F.filter(joined, lambda g: g != "")
 
 
 def section_select(md: Column, keep: list[str], drop: str | None) -> Column:

@@ -148,7 +148,7 @@ _DETECTED = rf"""{_BLOCKS},
    CASE WHEN regexp_matches(kind, '(?i)site|allocation') OR regexp_matches({P._STRIP("regexp_replace(t, '^[:–—-]\\s*', '')")}, '(?i)\b({D.LAND_WORDS})\b') OR regexp_matches(block, '(?i)\b({D.ALLOCATION_WORDS})\b') THEN 'allocation' ELSE 'policy' END AS entity
    FROM cand WHERE kind <> 'Policies'),
  det AS (SELECT * FROM ent QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY section_no) = 1)"""
-_LISTED = rf"""(SELECT doc_id, 1 AS table_no, i + 1 AS row_no, 'NW/H' || i AS ref, trim(left({P._BARE}, 40)) AS name FROM {P._LINES})"""
+_LISTED = rf"""(SELECT doc_id, 1 AS table_no, i + 1 AS row_no, 'NW/H' || i AS ref, trim({P._BARE}) AS name FROM {P._LINES})"""
 
 
 

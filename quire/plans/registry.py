@@ -10,13 +10,13 @@ import tempfile
 
 import quire
 
-MODULES = ["ranking", "structuring", "evidence", "checking", "timetables", "graphs", "evaluation", "logs", "helpers", "policy"]
+MODULES = ["ranking", "structuring", "evidence", "checking", "timetables", "graphs", "evaluation", "logs", "helpers", "policy", "uploads"]
 _SHIPPED = set()
 # Places and counts that come out as 64-bit numbers, as in the SQL twins.
 LONGS = {
     "rank_passages": "rank", "and_or_topup": "rank", "doc_filter": "rank", "unique_anchor": "rank", "ask_passages": "n", "citation_map": "n page_n",
     "nearest_sections": "first_rank place", "hit_at_k": "rank", "document_scan": "characters", "chunk_pack": "k", "toc_titles": "line_no", "footnote_sequence": "place",
-    "footnote_attach": "n block_no", "heading_level": "line_no", "html_blocks": "at", "doc_stats": "characters words sections", "file_inventory": "lines",
+    "footnote_attach": "n block_no", "heading_level": "line_no", "html_blocks": "at", "upload_blocks": "block_no", "text_upload_blocks": "block_no", "doc_stats": "characters words sections", "file_inventory": "lines",
     "table_extract": "row_no", "strip_inline": "line_no", "block_scope": "members", "table_allocations": "row_no", "accept_suggestions": "rank", "focus_sections": "place",
     "quote_pieces": "k", "verify_quotes": "section_no", "scoped_quotes": "section_no", "page_links": "at", "broken_links": "at", "stage_neighbours": "place",
     "citations_in": "place",

@@ -182,7 +182,7 @@ def _bare(line):
 
 def _tabled(spark, sf):
     def row(l, i):
-        return F.concat(F.lit("| NW/H"), i, F.lit(" | "), F.replace(F.substring(_bare(l), 1, 40), F.lit("|"), F.lit("\\|")), F.lit(" |  "), F.length(l), F.lit(" |"))
+        return F.concat(F.lit("| NW/H"), i, F.lit(" | "), F.replace(_bare(l), F.lit("|"), F.lit("\\|")), F.lit(" |  "), F.length(l), F.lit(" |"))
 
     rows = F.array_join(F.transform(T.lines(F.col("text")), row), "\n")
     md = F.concat("text", F.lit("\n\n| Ref | Site name | Area |\n|---|:---:|---|\n"), rows, F.lit("\n\nEnd of schedule.\n"))
@@ -203,8 +203,8 @@ def strip_inline(spark, sf):
 
 def heading_level(spark, sf):
     def vary(l, i):
-        return F.when(i % 5 == 1, F.concat(F.lit("Chapter "), F.substring(l, 1, 20))).when(i % 5 == 2, F.concat(i, F.lit(".2 Then "), F.substring(l, 1, 9))).when(
-            i % 5 == 3, F.upper(F.substring(l, 1, 30))).when(i % 5 == 4, F.initcap(F.substring(l, 1, 40))).otherwise(l)
+        return F.when(i % 5 == 1, F.concat(F.lit("Chapter "), l)).when(i % 5 == 2, F.concat(i, F.lit(".2 Then "), l)).when(
+            i % 5 == 3, F.upper(l)).when(i % 5 == 4, F.initcap(l)).otherwise(l)
 
     docs = documents(spark, sf).select("doc_id", F.posexplode(F.transform(T.lines(F.col("text")), vary)).alias("line_no", "line"))
     return docs.select("doc_id", "line_no", S.heading_level(F.col("line")).alias("level"))
@@ -216,10 +216,6 @@ def paragraph_groups(spark, sf):
     return documents(spark, sf).select("doc_id", F.posexplode(S.paragraph_groups(text)).alias("place", "para"))
 
 
-def html_blocks(spark, sf):
-    return S.html_blocks(pages(spark, sf), "page_id")
-
-
 def section_select(spark, sf):
     md = S.section_select(F.col("md"), ["the", "le", "der", "un", "a", "e"], r"^[A-M]")
     return _markdown(spark, sf).select("doc_id", md.alias("kept"))
@@ -272,7 +268,7 @@ QUERIES = {f.__name__: f for f in (
     source_catalogue, document_scan, front_matter, content_json, admission, charset_decode, usage_log_source, corpus_sink,
     snapshot_diff, sectionise, section_ids, unique_section_ids, unit_split, md_to_plain, chunk_pack, corpus_chunks, anchor_map,
     toc_titles, footnote_sequence, footnote_attach, heading_paths, table_extract, strip_inline, heading_level, paragraph_groups,
-    html_blocks, section_select, provision_slice, prospective_mark, link_absolutise, doc_stats, heading_outline, file_inventory)}
+    section_select, provision_slice, prospective_mark, link_absolutise, doc_stats, heading_outline, file_inventory)}
 
 _MD = r"""
 md_lines AS (SELECT doc_id, source, i - 1 AS i, l FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
@@ -326,6 +322,19 @@ _CHUNKS = f"""WITH {_MD},
  chunks AS (SELECT doc_id, anchor, route, heading, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS text FROM lists),
  ch AS (SELECT doc_id || '#' || anchor || CASE WHEN k > 0 THEN ':' || k ELSE '' END AS id, doc_id, anchor, route, heading, text FROM chunks)"""
 
+
+
+def level_sql(c: str) -> str:
+    """A plain line's rank as a heading."""
+    words, letters = rf"regexp_split_to_array({c}, '\s+')", f"regexp_replace({c}, '[^A-Za-z]', '', 'g')"
+    long = f"list_filter({words}, lambda w: length(w) > 3)"
+    return rf"""(CASE WHEN length({c}) > 120 OR NOT regexp_matches({c}, '[A-Za-z]') OR regexp_matches({c}, '[.,;:]$') THEN 0
+        WHEN regexp_matches({c}, '(?i)^(chapter|part|appendix|annex|schedule)\s+\w') THEN 1 WHEN regexp_matches({c}, '(?i)^(strategic\s+)?policy\s+[A-Z]{{0,6}}[\s/-]?\d') THEN 3
+        WHEN regexp_matches({c}, '^(\d{{1,2}}(?:\.\d{{1,2}}){{0,3}})\.?\s+[A-Z]') THEN least(4, len(string_split(regexp_extract({c}, '^(\d{{1,2}}(?:\.\d{{1,2}}){{0,3}})', 1), '.')))
+        WHEN length({letters}) >= 4 AND {letters} = upper({letters}) THEN 1
+        WHEN len({words}) <= 10 AND regexp_matches({c}, '^[A-Z]') AND len({long}) > 0 AND len(list_filter({long}, lambda w: regexp_matches(w, '^[A-Z]'))) / len({long}) >= 0.6 THEN 2 ELSE 0 END)::INT"""
+
+
 _BARE = r"regexp_replace(l, '[*_`~<>\[\]\\]', '', 'g')"
 _LINES = "(SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS l FROM documents)"
 
@@ -380,26 +389,15 @@ ORACLES = {
         CASE WHEN level > 3 AND s3 > greatest(coalesce(s1, -1), coalesce(s2, -1)) THEN h3 END, CASE WHEN level > 0 THEN heading END], lambda h: h IS NOT NULL) AS path FROM w),
       q AS (SELECT doc_id, section_no, CASE WHEN l1 = 1 AND ones = 1 AND rn > 1 AND path[1] = t1 THEN path[2:] ELSE path END AS path FROM p)
       SELECT doc_id, section_no, len(path)::INT AS depth, CASE WHEN len(path) = 0 THEN 'Opening text' ELSE array_to_string(list_slice(path, greatest(1, len(path) - 2), len(path)), ' › ') END AS locator FROM q""",
-    "heading_level": rf"""WITH v AS (SELECT doc_id, i, CASE i % 5 WHEN 1 THEN 'Chapter ' || left(l, 20) WHEN 2 THEN i || '.2 Then ' || left(l, 9) WHEN 3 THEN upper(left(l, 30))
-        WHEN 4 THEN array_to_string(list_transform(string_split(left(l, 40), ' '), lambda w: upper(left(w, 1)) || lower(substring(w, 2))), ' ') ELSE l END AS line FROM {_LINES}),
-      w AS (SELECT *, regexp_split_to_array(line, '\s+') AS ws, regexp_replace(line, '[^A-Za-z]', '', 'g') AS letters FROM v), x AS (SELECT *, list_filter(ws, lambda w: length(w) > 3) AS long FROM w)
-      SELECT doc_id, i AS line_no, CASE WHEN length(line) > 120 OR NOT regexp_matches(line, '[A-Za-z]') OR regexp_matches(line, '[.,;:]$') THEN 0
-        WHEN regexp_matches(line, '(?i)^(chapter|part|appendix|annex|schedule)\s+\w') THEN 1 WHEN regexp_matches(line, '(?i)^(strategic\s+)?policy\s+[A-Z]{{0,6}}[\s/-]?\d') THEN 3
-        WHEN regexp_matches(line, '^(\d{{1,2}}(?:\.\d{{1,2}}){{0,3}})\.?\s+[A-Z]') THEN least(4, len(string_split(regexp_extract(line, '^(\d{{1,2}}(?:\.\d{{1,2}}){{0,3}})', 1), '.')))
-        WHEN length(letters) >= 4 AND letters = upper(letters) THEN 1
-        WHEN len(ws) <= 10 AND regexp_matches(line, '^[A-Z]') AND len(long) > 0 AND len(list_filter(long, lambda w: regexp_matches(w, '^[A-Z]'))) / len(long) >= 0.6 THEN 2 ELSE 0 END::INT AS level FROM x""",
+    "heading_level": rf"""WITH v AS (SELECT doc_id, i, CASE i % 5 WHEN 1 THEN 'Chapter ' || l WHEN 2 THEN i || '.2 Then ' || l WHEN 3 THEN upper(l)
+        WHEN 4 THEN array_to_string(list_transform(string_split(l, ' '), lambda w: upper(left(w, 1)) || lower(substring(w, 2))), ' ') ELSE l END AS line FROM {_LINES})
+      SELECT doc_id, i AS line_no, {level_sql("line")} AS level FROM v""",
     "paragraph_groups": rf"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), chr(10) || ' ' || chr(10)) ELSE text END AS t FROM documents),
       l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM t),
       b AS (SELECT *, NOT regexp_matches(l, '\S') AS blank FROM l),
       c AS (SELECT *, count(*) OVER d > 20 AND (count(*) FILTER (WHERE blank) OVER d) / (count(*) OVER d) < 0.05 AS per, sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b WINDOW d AS (PARTITION BY doc_id)),
       g AS (SELECT doc_id, CASE WHEN per THEN i ELSE g END AS g, min(i) AS i, {_STRIP("string_agg(" + _STRIP("l") + ", ' ' ORDER BY i)")} AS para FROM c WHERE NOT blank GROUP BY ALL)
       SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS place, para FROM g WHERE para <> ''""",
-    "html_blocks": r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'),
-        '(?is)<nav\b[^>]*>.*?</nav>', ' ', 'g'), '(?is)<footer\b[^>]*>.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
-      c AS (SELECT page_id, string_split(regexp_replace(h, '(?i)(</?(?:h[1-6]|p|li|ul|ol|article|div)\b[^>]*>)', chr(1) || '\1', 'g'), chr(1)) AS l FROM b),
-      r AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS at_, unnest(l) AS piece FROM c), t AS (SELECT *, lower(regexp_extract(piece, '(?i)^<(h[1-6]|p|li)\b', 1)) AS tag FROM r),
-      x AS (SELECT page_id, at_, tag, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(piece, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM t WHERE tag <> '')
-      SELECT page_id, at_ AS "at", CASE tag WHEN 'p' THEN 'para' WHEN 'li' THEN 'item' ELSE 'heading' END AS kind, CASE WHEN tag LIKE 'h%' THEN substring(tag, 2, 1)::INT ELSE 0 END AS level, text FROM x WHERE text <> ''""",
     "section_select": rf"""WITH {_MD}, m AS (SELECT doc_id, i, line, regexp_extract(line, '^(#{{2,3}}) (.*?)\s*$', ['h', 't']) AS m FROM marked),
       a AS (SELECT *, last_value(CASE WHEN m.h = '##' THEN regexp_matches(lower(m.t), '^(the|le|der|un|a|e)') END IGNORE NULLS) OVER w AS on_,
         last_value(CASE WHEN m.h = '##' THEN false WHEN m.h = '###' THEN regexp_matches(m.t, '^[A-M]') END IGNORE NULLS) OVER w AS skip_ FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i))
@@ -420,7 +418,7 @@ ORACLES = {
       s AS (SELECT doc_id, t, CASE WHEN doc_id % 2 = 0 THEN substring(coalesce(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\S') AND NOT starts_with(l, '#'))[1], ''), 1, 200)
         ELSE substring(array_to_string(list_slice(string_split(regexp_replace(flat, '\.\s', '.' || chr(1), 'g'), chr(1)), 1, 2), ' '), 1, 260) END AS summary FROM f)
       SELECT doc_id, len(string_split(t, chr(10))) AS lines, summary, (SELECT sum(len(string_split(t, chr(10)))) FROM t)::BIGINT AS total_lines FROM s""",
-    "table_extract": rf"""WITH r AS (SELECT doc_id, i + 1 AS row_no, '| NW/H' || i || ' | ' || replace(left({_BARE}, 40), '|', '\|') || ' |  ' || length(l) || ' |' AS line FROM {_LINES}),
+    "table_extract": rf"""WITH r AS (SELECT doc_id, i + 1 AS row_no, '| NW/H' || i || ' | ' || replace({_BARE}, '|', '\|') || ' |  ' || length(l) || ' |' AS line FROM {_LINES}),
       c AS (SELECT doc_id, row_no, list_transform(string_split(replace(regexp_replace(regexp_replace(trim(line), '^\|', ''), '\|$', ''), '\|', chr(1)), '|'), lambda c: trim(replace(c, chr(1), '|'))) AS cells FROM r)
       SELECT doc_id, 1 AS table_no, row_no, array_to_string(cells, ' | ') AS flat FROM c UNION ALL SELECT doc_id, 1, 0, 'Ref | Site name | Area' FROM documents""",
     "strip_inline": f"SELECT doc_id, i AS line_no, 'pic link bold code gone tag * ' || {_BARE} AS text FROM {_LINES}",

@@ -4,6 +4,7 @@ import re
 
 from quire.plans import evidence as PE
 from quire.plans import policy as PP
+from quire.plans import structuring as PS
 
 
 def documents_of(spark, tmp_path, rows, schema="doc_id long, text string"):
@@ -32,3 +33,13 @@ def test_scoped_quotes_meet_no_group_of_all_sections(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [(2, 1, 0)]
     joins = re.findall(r"Join \w+.*", df._jdf.queryExecution().optimizedPlan().toString())
     assert joins and not [j for j in joins if "section_no" in j and "doc_id" not in j]
+
+
+def test_cells_and_headings_hold_whole_lines(spark, tmp_path):
+    said = [f"line {i} " + "word" * 120 + f" END{i}" for i in range(10)]
+    folder = documents_of(spark, tmp_path, [(1, "\n".join(said))])
+    rows = PS.table_extract(spark, folder).collect()
+    assert [l for l in said if not any(l in r.flat for r in rows)] == []
+    named = PE.table_allocations(spark, folder).collect()
+    assert sorted(r.name for r in named) == sorted(said)
+    assert {r.level for r in PS.heading_level(spark, folder).collect()} == {0}  # 500 characters are no heading in any form
