@@ -99,3 +99,8 @@ MILESTONES = [
     ("next-plan", "Latest date to pass Gateway 1 for the next plan", "monitor", "deadline"),
 ]
 PHASES = ["get-ready", "prepare", "examine", "adopt"]
+
+# What a report says of itself (the name is this library's own), and the types of document it may be about.
+REPORT_SCHEMA = "plan-check-report"
+REPORT_VERSION = 1
+DOCUMENT_TYPES = ["docx", "pptx", "md", "txt"]

@@ -280,23 +280,6 @@ def call_stats(calls: DataFrame, run: str) -> DataFrame:
                                   F.count_if("unanswered").alias("unanswered"), F.max("ms").alias("slowest"))
 
 
-HREF = r"^/reference/[a-z0-9/-]+#[A-Za-z0-9._:-]+$"
-
-
-def report_problems(items: DataFrame, key: str) -> DataFrame:
-    """(path, problem) for report items (id, title, status, finding, evidence, gaps, href)."""
-    text = lambda c, most: F.col(c).isNull() | (F.length(c) > most)
-    return violations(items, key, [
-        ("id: expected text of at most 12 characters", text("id", 12)),
-        ("title: expected text of at most 300 characters", text("title", 300)),
-        ("status: unknown status", ~F.coalesce("status", F.lit("")).isin(fixed.STATUSES)),
-        ("finding: expected text of at most 4000 characters", text("finding", 4000)),
-        ("evidence: expected a list of at most 20", F.col("evidence") > 20),
-        ("gaps: expected a list of at most 20", F.col("gaps") > 20),
-        ("citations: not a reference link", F.col("href").isNotNull() & ~F.col("href").rlike(HREF)),
-    ])
-
-
 def report_rows(sections: DataFrame, items: DataFrame, evidence: DataFrame, gaps: DataFrame) -> DataFrame:
     """A report as lines with their reading order: (section, item, kind, place, line).
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire import fixed
 from quire.functions import status as ST
 from quire.operators import checking as C
 from quire.operators import detection as D
+from quire.operators import reports as R
 from quire.plans import evidence as E
 from quire.sources import files
 from quire.sources.tables import documents, table
@@ -190,14 +192,38 @@ def evidence_base(spark, sf):
     return C.evidence_base(e, "user_id", "event_id")
 
 
+def _reports(spark, sf):
+    """An order as a report: its lines are the items; some of its parts are missing, too long or of another kind."""
+    k, p = F.col("o_orderkey"), F.col("l_partkey")
+    lit = lambda v, name: F.lit(v).alias(name)
+    gone = lambda broken, value: F.when(~broken, value)
+    quote = F.struct(F.repeat(F.lit("q"), (p % 1600).cast("int")).alias("quote"), lit("p. 1", "locator"))
+    instance = lambda label, status: F.struct(lit(label, "label"), status.alias("status"))
+    item = F.struct(
+        F.concat(F.when(p % 23 == 0, "Line number ").otherwise("L"), p).alias("id"), gone(p % 29 == 0, F.concat(F.lit("Part "), p)).alias("title"),
+        F.when(F.col("l_returnflag") == "A", "met").when(F.col("l_returnflag") == "N", "partly").otherwise("dear").alias("status"),
+        F.repeat(F.lit("finding "), (p % 600).cast("int")).alias("finding"), lit("r", "requirement"), F.array_repeat(quote, F.col("l_quantity").cast("int")).alias("evidence"),
+        F.array(F.repeat(F.lit("g"), (p * 7 % 1100).cast("int"))).alias("gaps"),
+        F.array(F.struct(F.col("l_linestatus").alias("label"), F.when(p % 2 == 0, F.concat(F.lit("/reference/d/#p"), p)).otherwise("http://x").alias("href"))).alias("citations"),
+        F.when(p % 3 == 0, F.array(instance("i", F.lit("met")), instance("j", F.when(p % 5 == 0, "bad").otherwise("partly")))).alias("instances"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(  # an order has few lines
+        F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus", item.alias("item")))), lambda x: x["item"]).alias("items"))
+    entry = [lit("1", "id"), lit("t", "title"), lit("met", "status"), F.repeat(F.lit("s"), (k % 4500).cast("int")).alias("shows"), F.expr("cast(array() as array<string>)").alias("evidence"),
+             F.expr("cast(array() as array<string>)").alias("gaps")]
+    compliance = F.struct(lit("c", "title"), F.array(F.struct(lit("h", "heading"), F.array(F.struct(*entry)).alias("entries"))).alias("parts"))
+    soundness = F.struct(lit("s", "title"), F.array(F.struct(*entry, F.array_repeat(F.lit("q"), (k % 9).cast("int")).alias("questions"))).alias("entries"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("docx", "pptx", "md", "pdf")]), (k % 4 + 1).cast("int"))
+    document = F.struct(F.col("o_orderpriority").alias("name"), kind.alias("type"), F.when(k % 9 == 0, -1 - k).otherwise(k).alias("bytes"), F.when(k % 2 == 1, k + 0.5).otherwise(k.cast("double")).alias("characters"), lit(7, "words"))
+    section = F.struct(lit("s1", "id"), lit("Lines", "title"), F.when(k % 17 == 0, "ABC").otherwise("A").alias("letter"), F.col("items"))
+    report = F.struct(
+        F.when(k % 11 == 0, "other").otherwise(fixed.REPORT_SCHEMA).alias("schema"), F.when(k % 13 == 0, 2).otherwise(1).alias("version"), lit("2026-01-01", "generatedAt"),
+        F.repeat("o_orderpriority", (k % 300).cast("int")).alias("notice"), document.alias("document"), F.array(section).alias("sections"),
+        gone(k % 19 == 0, F.struct(compliance.alias("compliance"), soundness.alias("soundness"))).alias("statements"), gone(k % 21 == 0, F.struct(F.struct(k.alias("met")).alias("counts"))).alias("summary"))
+    return table(spark, sf, "orders").join(lines, "o_orderkey").select("o_orderkey", F.to_json(report).alias("report"))
+
+
 def report_problems(spark, sf):
-    counts = _lines(spark, sf).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    o = _orders(spark, sf).join(counts, "o_orderkey", "left")
-    items = o.select("o_orderkey", F.concat(F.lit("Order"), F.col("o_orderkey") * 1000).alias("id"), F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderpriority")).alias("title"),
-                     F.when(F.col("o_totalprice") > 400000, "dear").otherwise(F.col("status")).alias("status"), F.repeat("o_orderpriority", (F.col("o_orderkey") % 500).cast("int")).alias("finding"),
-                     (F.coalesce("n", F.lit(0)) * 3).alias("evidence"), (F.col("o_orderkey") % 23).alias("gaps"),
-                     F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("/reference/d/#"), "o_orderpriority")).alias("href"))
-    return C.report_problems(items, "o_orderkey")
+    return R.problems_of(_reports(spark, sf), "o_orderkey", "report")
 
 
 def _report(spark, sf):
@@ -322,11 +348,23 @@ ORACLES = {
         CASE WHEN i < 14 THEN 'E' || (i + 1) WHEN i = 14 THEN 'A9' ELSE 'F' || (i - 14) END AS item FROM r WHERE i < 20)
       SELECT o_custkey, part, place::INT AS place, item, status, CASE WHEN item = 'A9' AND status <> 'met' THEN 'If the plan supersedes no existing policy, explain here why.' ELSE '' END AS note FROM y""",
     "evidence_base": "SELECT user_id, arg_max(CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END, event_id) AS name, min(event_id) AS place FROM events GROUP BY user_id, event_type",
-    "report_problems": f"""WITH {_ORD}, n AS (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY ALL), j AS (SELECT o.*, coalesce(n, 0) * 3 AS ev FROM o LEFT JOIN n USING (o_orderkey))
-      SELECT o_orderkey, 'id: expected text of at most 12 characters' AS problem FROM j WHERE length('Order' || (o_orderkey * 1000)) > 12 UNION ALL SELECT o_orderkey, 'title: expected text of at most 300 characters' FROM j WHERE o_orderkey % 17 = 0
-      UNION ALL SELECT o_orderkey, 'status: unknown status' FROM j WHERE o_totalprice > 400000 UNION ALL SELECT o_orderkey, 'finding: expected text of at most 4000 characters' FROM j WHERE length(o_orderpriority) * (o_orderkey % 500) > 4000
-      UNION ALL SELECT o_orderkey, 'evidence: expected a list of at most 20' FROM j WHERE ev > 20 UNION ALL SELECT o_orderkey, 'gaps: expected a list of at most 20' FROM j WHERE o_orderkey % 23 > 20
-      UNION ALL SELECT o_orderkey, 'citations: not a reference link' FROM j WHERE o_orderkey % 2 = 0 AND contains(o_orderpriority, ' ')""",
+    "report_problems": """WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, l_quantity AS q, l_returnflag AS f, 'sections[0].items[' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus) - 1) || ']' AS w
+        FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+      o AS (SELECT o_orderkey AS k, o_orderpriority AS pr FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+      found(k, path, problem) AS (
+      SELECT k, w || '.id', 'expected text of at most 12 characters' FROM l WHERE p % 23 = 0 UNION ALL SELECT k, w || '.title', 'expected text of at most 300 characters' FROM l WHERE p % 29 = 0
+      UNION ALL SELECT k, w || '.status', 'unknown status' FROM l WHERE f NOT IN ('A', 'N') UNION ALL SELECT k, w || '.finding', 'expected text of at most 4000 characters' FROM l WHERE p % 600 > 500
+      UNION ALL SELECT k, w || '.evidence', 'expected a list of at most 20' FROM l WHERE q::INT > 20 UNION ALL SELECT k, w || '.evidence[' || i || '].quote', 'expected text of at most 1500 characters'
+        FROM (SELECT *, unnest(range(q::INT)) AS i FROM l WHERE q::INT <= 20 AND p % 1600 > 1500)
+      UNION ALL SELECT k, w || '.gaps[0]', 'expected text of at most 1000 characters' FROM l WHERE p * 7 % 1100 > 1000 UNION ALL SELECT k, w || '.citations[0].href', 'not a reference link' FROM l WHERE p % 2 = 1
+      UNION ALL SELECT k, w || '.instances[1].status', 'unknown status' FROM l WHERE p % 15 = 0
+      UNION ALL SELECT k, 'schema', 'not a plan check report' FROM o WHERE k % 11 = 0 UNION ALL SELECT k, 'version', 'expected 1' FROM o WHERE k % 13 = 0
+      UNION ALL SELECT k, 'notice', 'expected text of at most 2000 characters' FROM o WHERE length(pr) * (k % 300) > 2000 UNION ALL SELECT k, 'document.type', 'unknown' FROM o WHERE k % 4 = 3
+      UNION ALL SELECT k, 'document.bytes', 'expected a whole number' FROM o WHERE k % 9 = 0 UNION ALL SELECT k, 'document.characters', 'expected a whole number' FROM o WHERE k % 2 = 1
+      UNION ALL SELECT k, 'sections[0].letter', 'expected text of at most 2 characters' FROM o WHERE k % 17 = 0 UNION ALL SELECT k, 'statements', 'missing' FROM o WHERE k % 19 = 0
+      UNION ALL SELECT k, unnest(['statements.compliance.parts[0].entries[0].shows', 'statements.soundness.entries[0].shows']), 'expected text of at most 4000 characters' FROM o WHERE k % 19 <> 0 AND k % 4500 > 4000
+      UNION ALL SELECT k, 'statements.soundness.entries[0].questions', 'expected a list of at most 6' FROM o WHERE k % 19 <> 0 AND k % 9 > 6 UNION ALL SELECT k, 'summary', 'missing' FROM o WHERE k % 21 = 0)
+      SELECT k AS o_orderkey, path, problem FROM found""",
     "report_rows": f"{_REPORT} FROM r",
     "report_sink": f"{_REPORT} SELECT section, kind, count(*) AS n FROM r GROUP BY ALL",
     "work_batches": "SELECT p_type, p_partkey, (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1) // 4 AS batch FROM part",
