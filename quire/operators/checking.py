@@ -262,7 +262,7 @@ def evidence_base(named: DataFrame, group: str, place: str) -> DataFrame:
 
 def work_batches(items: DataFrame, section: str, key: str, size: int) -> DataFrame:
     """Batches of a fixed size within each section, in key order."""
-    n = numbered(items, [section], F.col(key), [key], "_n")
+    n = numbered(items, [section], F.col(key), [key], "_n", cheap=True)
     return n.withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 

@@ -139,6 +139,7 @@ def cap_entities(entities: DataFrame, group: list[str], order: Column, most: int
     size is never sorted whole. Ties in `order` go by the other columns; rows that
     are alike in all of them share their answer.
     """
-    rows = entities.withColumn("_o", F.struct(order.alias("o"), *[F.col(c) for c in entities.columns]))
-    last = top_k(rows, group, [F.asc("_o")], most, "_r").groupBy(*group).agg(F.max("_o").alias("_last"))
-    return rows.join(last, group).withColumn("checked", F.col("_o") <= F.col("_last")).drop("_o", "_last")
+    named = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)])  # never null, so rows of a null group meet their own
+    rows = entities.withColumns({"_o": F.struct(order.alias("o"), *[F.col(c) for c in entities.columns]), "_g": named})
+    last = top_k(rows, ["_g"], [F.asc("_o")], most, "_r").groupBy("_g").agg(F.max("_o").alias("_last"))
+    return rows.join(last, "_g").withColumn("checked", F.col("_o") <= F.col("_last")).drop("_o", "_last", "_g")

@@ -47,7 +47,7 @@ def runs(rows: DataFrame, keys: list[str], fresh: Column) -> DataFrame:
 
 def cut_at_pauses(rows: DataFrame, keys: list[str], idle: int) -> DataFrame:
     """Runs that begin after a pause of `idle` ms, after which the past no longer counts."""
-    rows = previous(rows, keys, F.col("at"), ["at", "id"], "at", "_before")
+    rows = previous(rows, keys, F.col("at"), ["at", "id"], "at", "_before", cheap=True)
     return runs(rows, keys, F.col("_before").isNull() | (F.col("at") - F.col("_before") >= idle)).drop("_before")
 
 
@@ -162,7 +162,7 @@ def check_admission(events: DataFrame, service: str, overall: int = 2, per_hour:
     A service's checks are cut where nothing before can count: an hour after the last
     check all buckets are full, its day is over, and every check asked for has ended.
     """
-    rows = previous(events, [service], F.col("at"), ["at", "id"], "at", "_before")
+    rows = previous(events, [service], F.col("at"), ["at", "id"], "at", "_before", cheap=True)
     rows = greatest_before(rows, [service], F.col("at"), ["at", "id"], F.col("at") + F.col("cost"), "_end")
     at, before = F.col("at"), F.col("_before")
     fresh = before.isNull() | ((at - before >= HOUR) & (F.floor(at / (24 * HOUR)) != F.floor(before / (24 * HOUR))) & (F.col("_end") <= at))
@@ -204,7 +204,7 @@ def find_tokens(tokens: DataFrame, shares: DataFrame) -> DataFrame:
 def sessions(events: DataFrame, key: str, gap: int) -> DataFrame:
     """Visits: uses (key, at ms, id) less than `gap` ms apart belong together."""
     width = max(1, 30 * gap)  # a slice holds some 30 visits at most
-    rows = previous(events, [key], F.col("at"), ["at", "id"], "at", "_before", width)
+    rows = previous(events, [key], F.col("at"), ["at", "id"], "at", "_before", width, cheap=True)
     fresh = F.when(F.col("_before").isNull() | (F.col("at") - F.col("_before") >= gap), 1).otherwise(0)
     rows = running_total(rows, [key], F.col("at"), ["at", "id"], fresh, "visit", width)
     return rows.groupBy(key, "visit").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("uses"))
@@ -220,7 +220,7 @@ def event_frames(chunks: DataFrame, request: str) -> DataFrame:
     order = ["at"]
     # A carriage return goes with the line end it stands before, even if a cut fell between the two.
     chunks = chunks.withColumn("_cr", F.endswith("body", F.lit("\r")))
-    chunks = previous(chunks, [request], F.col("at"), order, "_cr", "_pcr", POSITIONS)
+    chunks = previous(chunks, [request], F.col("at"), order, "_cr", "_pcr", POSITIONS, cheap=True)
     whole = F.concat(F.when(F.coalesce("_pcr", F.lit(False)), "\r").otherwise(""), F.when(F.col("_cr"), F.expr("left(body, length(body) - 1)")).otherwise(F.col("body")))
     chunks = chunks.withColumn("body", F.replace(whole, F.lit("\r\n"), F.lit("\n"))).drop("_cr", "_pcr")
     # A chunk of line ends alone says nothing without what stands before it.
