@@ -105,19 +105,24 @@ def validate_grid(entities: DataFrame, key: str, fields: list[int], got: DataFra
     return absent.unionByName(grid.select(key, "field", F.explode(said).alias("problem")))
 
 
-def validate_clauses(clauses: DataFrame, key: str, order: Column, codes: DataFrame) -> DataFrame:
-    """(policy, reason): empty where the first sixteen clauses of the answer are all sound.
+def validate_clauses(policies: DataFrame, clauses: DataFrame, key: str, order: Column, codes: DataFrame) -> DataFrame:
+    """(policy, reason) for every policy asked about: empty where the answer is usable.
 
-    `clauses` holds quote, local, national and relation; one that names a code
-    outside `codes` makes the whole answer unusable.
+    `policies` holds (key, answered, local_issue), `clauses` quote, local, national and relation.
+    Only the first sixteen clauses count. A code is compared in capitals and without white space; an
+    empty one is none; one outside `codes` makes the whole answer unusable.
     """
     first = top_k(clauses.withColumn("_o", order), [key], [F.asc("_o")], 16, "_n")
+    code = F.upper(F.regexp_replace("national", r"\s+", ""))
+    first = first.withColumn("national", F.when(F.col("national") != "", code))
     named = first.join(codes.select(F.col("code").alias("national"), F.lit(True).alias("known")), "national", "left")
-    reason = (F.when((F.coalesce("quote", F.lit("")) == "") | F.col("local").isNull(), "a clause without a quote or a local flag")
+    reason = (F.when((T.squash(F.coalesce("quote", F.lit(""))) == "") | F.col("local").isNull(), "a clause without a quote or a local flag")
               .when(F.col("national").isNotNull() & F.col("known").isNull(), "a clause names an unknown code")
               .when(F.col("national").isNotNull() & ~F.coalesce("relation", F.lit("")).isin(RELATIONS), "a clause needs a relation"))
-    why = named.withColumn("_why", reason)
-    return why.groupBy(key).agg(F.coalesce(F.min_by(F.when(F.col("_why").isNotNull(), F.col("_why")), F.when(F.col("_why").isNotNull(), F.col("_n"))), F.lit("")).alias("reason"))
+    why = named.withColumn("_why", reason).groupBy(key).agg(F.min_by(F.when(F.col("_why").isNotNull(), F.col("_why")), F.when(F.col("_why").isNotNull(), F.col("_n"))).alias("_why"), F.lit(True).alias("_any"))
+    known = F.coalesce("local_issue", F.lit("")).isin(*fixed.STATUS_RANK)
+    said = F.when(~F.coalesce("answered", F.lit(False)), "missing").when(~known, "localIssue not allowed").when(F.col("_any").isNull(), "no clauses").otherwise(F.coalesce("_why", F.lit("")))
+    return policies.join(why, key, "left").select(key, said.alias("reason"))
 
 
 def merge_attempts(answers: DataFrame, keys: list[str], order: Column, tries: int = 2) -> DataFrame:
@@ -143,14 +148,19 @@ def period_rule(facts: DataFrame, check_year: Column, years: int = 10) -> DataFr
     return facts.withColumn("span", F.coalesce(span, F.lit(0))).withColumn("status", status)
 
 
-def presence_rule(entities: DataFrame, doc: str, code: str, order: Column) -> DataFrame:
-    """How many entities a document has and the codes of the first twelve."""
+# Fixed value: what is said of a document without entities.
+NO_SITES = "No site allocations could be identified from the plan's headings or tables."
+
+
+def presence_rule(docs: DataFrame, entities: DataFrame, doc: str, code: str, order: Column) -> DataFrame:
+    """For every document: how many entities it has, its status, and the codes of the first twelve."""
     total = entities.groupBy(doc).agg(F.count("*").alias("n"))
     first = top_k(entities.withColumn("_o", order), [doc], [F.asc("_o")], 12, "_n")
     names = first.groupBy(doc).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", code))), lambda x: x[code]).alias("codes"))
     more = F.when(F.col("n") > 12, " and others").otherwise("")
-    return total.join(names, doc).select(doc, "n", F.concat(
-        F.lit("The plan allocates "), T.counted(F.col("n"), "site"), F.lit(": "), T.human_list(F.col("codes")), more, F.lit(".")).alias("finding"))
+    found = F.concat(F.lit("The plan allocates "), T.counted(F.col("n"), "site"), F.lit(": "), T.human_list(F.col("codes")), more, F.lit("."))
+    rows = docs.select(doc).join(total.join(names, doc), doc, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return rows.select(doc, "n", F.when(F.col("n") > 0, "met").otherwise("missing").alias("status"), F.coalesce(found, F.lit(NO_SITES)).alias("finding"))
 
 
 def field_coverage(cells: DataFrame, doc: str, entities: DataFrame, fields: list[int], most: int = fixed.MAX_ALLOCATIONS) -> DataFrame:

@@ -81,8 +81,14 @@ def _clauses(spark, sf):
 
 
 def validate_clauses(spark, sf):
+    """Orders are the policies asked about; a third of the codes are written in small letters with a space."""
     codes = table(spark, sf, "nation").select(F.concat(F.lit("P"), "n_nationkey").alias("code"))
-    return C.validate_clauses(_clauses(spark, sf), "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey"), codes)
+    k = F.col("o_orderkey")
+    issue = F.when(k % 37 == 0, "odd").when(k % 41 != 0, FLAG(F.translate("o_orderstatus", "FOP", "ANR")))
+    policies = table(spark, sf, "orders").select(k.alias("l_orderkey"), (k % 31 != 0).alias("answered"), issue.alias("local_issue"))
+    loose = F.when(F.col("l_partkey") % 3 == 0, F.regexp_replace(F.lower("national"), "^p", "p ")).otherwise(F.col("national"))
+    clauses = _clauses(spark, sf).withColumn("national", F.coalesce(loose, F.when(F.col("l_partkey") % 2 == 0, "")))
+    return C.validate_clauses(policies, clauses, "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey"), codes)
 
 
 def merge_attempts(spark, sf):
@@ -121,7 +127,8 @@ def period_rule(spark, sf):
 
 def presence_rule(spark, sf):
     lines = _lines(spark, sf).withColumn("code", F.concat(F.lit("P"), "l_partkey"))
-    return C.presence_rule(lines, "l_suppkey", "code", F.struct("l_orderkey", "l_linenumber", "l_partkey"))
+    docs = table(spark, sf, "part").select(F.col("p_partkey").alias("l_suppkey"))  # most have no lines
+    return C.presence_rule(docs, lines, "l_suppkey", "code", F.struct("l_orderkey", "l_linenumber", "l_partkey"))
 
 
 def field_coverage(spark, sf):
@@ -301,8 +308,10 @@ ORACLES = {
       UNION ALL SELECT o_orderkey, 0, 'missing' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
     "validate_clauses": f"""WITH {_CL}, f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM cl QUALIFY n <= 16),
       w AS (SELECT l_orderkey, n, CASE WHEN quote = '' THEN 'a clause without a quote or a local flag' WHEN national IS NOT NULL AND national NOT IN (SELECT 'P' || n_nationkey FROM nation) THEN 'a clause names an unknown code'
-        WHEN national IS NOT NULL AND coalesce(relation, '') NOT IN ('repeats', 'contradicts') THEN 'a clause needs a relation' END AS why FROM f)
-      SELECT l_orderkey, coalesce(arg_min(why, n) FILTER (WHERE why IS NOT NULL), '') AS reason FROM w GROUP BY ALL""",
+        WHEN national IS NOT NULL AND coalesce(relation, '') NOT IN ('repeats', 'contradicts') THEN 'a clause needs a relation' END AS why FROM f),
+      g AS (SELECT l_orderkey, arg_min(why, n) FILTER (WHERE why IS NOT NULL) AS why FROM w GROUP BY ALL)
+      SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderkey % 31 = 0 THEN 'missing' WHEN o_orderkey % 37 = 0 OR o_orderkey % 41 = 0 THEN 'localIssue not allowed' WHEN g.l_orderkey IS NULL THEN 'no clauses' ELSE coalesce(why, '') END AS reason
+      FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""",
     "merge_attempts": """WITH e AS (SELECT user_id, json_extract(props, '$.k')::BIGINT AS k, event_type, value, row_number() OVER (PARTITION BY user_id, json_extract(props, '$.k')::BIGINT ORDER BY event_id)::INT AS attempt FROM events QUALIFY attempt <= 2)
       SELECT user_id, k, arg_max(value, attempt) FILTER (WHERE event_type <> 'error') AS answer, max(attempt) AS tries FROM e GROUP BY ALL HAVING answer IS NOT NULL""",
     "judge_clauses": f"""WITH {_CL}, g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE local OR national IS NULL) AS own, coalesce(bool_or(relation = 'contradicts'), false) AS clash FROM cl GROUP BY ALL),
@@ -318,7 +327,7 @@ ORACLES = {
     "period_rule": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN year(o_orderdate) + o_orderkey % 25 END AS e, CASE WHEN o_orderkey % 3 <> 0 THEN year(o_orderdate) + 1 END AS a FROM orders)
       SELECT o_orderkey, coalesce(e - coalesce(a, 1998), 0)::INT AS span, CASE WHEN e IS NULL THEN 'missing' WHEN e - coalesce(a, 1998) >= 10 THEN 'met' ELSE 'partly' END AS status FROM o""",
     "presence_rule": f"""WITH r AS (SELECT l_suppkey, 'P' || l_partkey AS code, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem), g AS (SELECT l_suppkey, count(*) AS n, list(code ORDER BY n) FILTER (WHERE n <= 12) AS c FROM r GROUP BY ALL)
-      SELECT l_suppkey, n, 'The plan allocates ' || n || CASE WHEN n = 1 THEN ' site: ' ELSE ' sites: ' END || {_HUMAN('c')} || CASE WHEN n > 12 THEN ' and others' ELSE '' END || '.' AS finding FROM g""",
+      SELECT p_partkey AS l_suppkey, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'met' ELSE 'missing' END AS status, CASE WHEN n IS NULL THEN 'No site allocations could be identified from the plan''s headings or tables.' ELSE 'The plan allocates ' || n || CASE WHEN n = 1 THEN ' site: ' ELSE ' sites: ' END || {_HUMAN('c')} || CASE WHEN n > 12 THEN ' and others' ELSE '' END || '.' END AS finding FROM part LEFT JOIN g ON l_suppkey = p_partkey""",
     "field_coverage": f"""WITH e AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders QUALIFY n <= 40), x AS (SELECT o_custkey, o_orderkey, unnest(range(1, 8))::INT AS field FROM e),
       c AS (SELECT l_orderkey AS o_orderkey, l_linenumber AS field, {_WORST(_ST)} AS status FROM lineitem GROUP BY ALL), j AS (SELECT o_custkey, o_orderkey, field, coalesce(status, 'not-assessable') AS status FROM x LEFT JOIN c USING (o_orderkey, field)),
       g AS (SELECT o_custkey, field, count(*) AS n, count(*) FILTER (WHERE status = 'met') AS met, list('S' || o_orderkey ORDER BY o_orderkey) FILTER (WHERE status = 'partly') AS p, list('S' || o_orderkey ORDER BY o_orderkey) FILTER (WHERE status = 'missing') AS m,
