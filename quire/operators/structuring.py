@@ -234,7 +234,9 @@ TABLE_RULE = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$"
 
 def split_row(line: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(T.strip(line), r"^\|", ""), r"\|$", "")
-    return F.transform(F.split(bare, r"(?<!\\)\|"), lambda c: T.strip(T.strip_inline(T.strip(c))))
+    cells = F.transform(F.split(bare, r"(?<!\\)\|"), T.strip)
+    # All inline marks hold one of these characters; most cells have none and need no more looking at.
+    return F.transform(cells, lambda c: F.when(c.rlike(r"[\[<`*_~\\]"), T.strip(T.strip_inline(c))).otherwise(c))
 
 
 def table_rows(docs: DataFrame, doc: str, body: str) -> DataFrame:
