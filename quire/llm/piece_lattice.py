@@ -15,6 +15,7 @@ import functools
 import hashlib
 import heapq
 import re
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ FREQUENT = 1 << 16
 UNIT_CHARS = 24
 #: Encoded units a task keeps besides the table.
 KEPT = 200_000
+#: Longest unit that is merged over a plain list, and the cost of a pair that is no piece.
+SHORT, NEVER = 64, float("inf")
 
 
 class Model:
@@ -146,16 +149,37 @@ def _bytes_of(found, byte_ids) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
 
-def merge(symbols: list[str], scores: dict) -> list[str]:
-    """The merges of fold_merges for one unit of any length, with a heap."""
+def merge(symbols, costs: dict) -> list[str]:
+    """The merges of fold_merges for one unit of any length; ``costs``: piece to its negated score.
+
+    Over a list of the pairs' costs if the unit is short, else with a heap.
+    """
+    return _merge_short(list(symbols), costs.get) if len(symbols) <= SHORT else _merge_long(symbols, costs)
+
+
+def _merge_short(parts: list[str], cost) -> list[str]:
+    pairs = [cost(a + b, NEVER) for a, b in pairwise(parts)]
+    pairs.append(NEVER)
+    while (least := min(pairs)) < NEVER:
+        i = pairs.index(least)
+        parts[i] = joined = parts[i] + parts.pop(i + 1)
+        del pairs[i]
+        if i + 1 < len(parts):
+            pairs[i] = cost(joined + parts[i + 1], NEVER)
+        if i:
+            pairs[i - 1] = cost(parts[i - 1] + joined, NEVER)
+    return parts
+
+
+def _merge_long(symbols, costs: dict) -> list[str]:
     n = len(symbols)
     symbols, before, after = list(symbols), list(range(-1, n - 1)), list(range(1, n + 1))
     heap = []
 
     def look(i):
         j = after[i]
-        if j < n and (hit := scores.get(symbols[i] + symbols[j])):
-            heapq.heappush(heap, (-hit[0], i, len(symbols[i]), len(symbols[j])))
+        if j < n and (cost := costs.get(symbols[i] + symbols[j])) is not None:
+            heapq.heappush(heap, (cost, i, len(symbols[i]), len(symbols[j])))
 
     for i in range(n - 1):
         look(i)
@@ -176,22 +200,23 @@ def merge(symbols: list[str], scores: dict) -> list[str]:
 
 
 class Encoder(dict):
-    """Units to the bytes of their ids; a unit that is not in the table is folded when met."""
+    """Units to the bytes of their ids; a unit that is not in the table is folded when met. Units and pieces hold plain spaces."""
 
     def __init__(self, table, scores, byte_ids):
-        super().__init__(table)
-        self.scores, self.byte_ids, self.most = scores, byte_ids, len(table) + KEPT
+        super().__init__((u.replace(SPACE, " "), ids) for u, ids in table.items())
+        self.costs = {p.replace(SPACE, " "): -s for p, (s, _) in scores.items()}
+        self.ids = {p.replace(SPACE, " "): np.int32(i).tobytes() for p, (_, i) in scores.items()}
+        self.byte_ids, self.most = [np.int32(i).tobytes() for i in byte_ids], len(table) + KEPT
 
     def __missing__(self, unit):
-        ids = []
-        for s in merge(unit, self.scores):
-            hit = self.scores.get(s)
-            ids += [hit[1]] if hit else [self.byte_ids[b] for b in s.encode()]
-        out = np.array(ids, np.int32).tobytes()
+        out = b"".join([self.ids.get(s) or self._spelled(s) for s in merge(unit, self.costs)])
         if len(self) < self.most:
             self[unit] = out
         return out
 
+    def _spelled(self, char: str) -> bytes:
+        return b"".join([self.byte_ids[b] for b in char.replace(" ", SPACE).encode()])
+
 
 @functools.lru_cache(maxsize=1)
 def _encoder(key, shared):
@@ -200,12 +225,12 @@ def _encoder(key, shared):
 
 
 def _encode(shared, key, pattern):
-    find = re.compile(pattern).findall
+    find = re.compile(pattern.replace(SPACE, " ")).findall
 
     def run(batches):
         get = _encoder(key, shared).__getitem__
         for batch in sliced(batches, 1):
-            parts = [b"".join(map(get, find(SPACE + t.replace(" ", SPACE)))) if t else b"" for t in batch.column(1).to_pylist()]
+            parts = [b"".join(map(get, find(" " + t.replace(SPACE, " ")))) if t else b"" for t in batch.column(1).to_pylist()]
             at = np.cumsum([0, *map(len, parts)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["q_row", "ids"])
