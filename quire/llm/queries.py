@@ -140,20 +140,8 @@ from m""",
 }
 
 
-def _level(i: int) -> str:
-    over = ", ".join(["host", *[f"t{k}" for k in range(1, i)]])
-    mark = f"""case when s{i} = '' or starts_with(s{i}, '*') then s{i}
-  when not (n >= 20 and n * 100 >= sum(n) over p) then '*'
-  when allowed + blocked > 0 and abs(blocked / (allowed + blocked) - sum(blocked) over p / sum(allowed + blocked) over p)
-    <= 1.96 * sqrt(sum(blocked) over p / sum(allowed + blocked) over p * (1 - sum(blocked) over p / sum(allowed + blocked) over p) / (allowed + blocked)) then '+'
-  else s{i} end"""
-    return f"""b{i} as (select {over}, s{i}, sum(n) n, sum(allowed) allowed, sum(blocked) blocked from v{i - 1} group by {over}, s{i}),
-m{i} as (select {over}, s{i}, {mark} t{i} from b{i} window p as (partition by {over})),
-v{i} as (select * from v{i - 1} join m{i} using ({over}, s{i}))"""
-
-
 ORACLES["op9_url_templates"] = rf"""
-with u as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+with recursive u as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages),
 r as (select *, case when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
   when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
@@ -161,13 +149,23 @@ r as (select *, case when (host = 'www.example.com' or ends_with(host, '.www.exa
   when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
   when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule from u),
 g as (select *, case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' end label from r),
-a as (select *, {", ".join(f"case when regexp_matches(coalesce(string_split(path, '/')[{i + 1}], ''), '[0-9]') then '*' || regexp_extract(string_split(path, '/')[{i + 1}], '([.][A-Za-z]+)$', 1) else coalesce(string_split(path, '/')[{i + 1}], '') end s{i}" for i in (1, 2, 3))} from g),
-v0 as (select host, s1, s2, s3, count(*) n, count(*) filter (where label = 'allow') allowed, count(*) filter (where label = 'block') blocked from a group by all),
-{", ".join(_level(i) for i in (1, 2, 3))},
-z as (select host, t1, t2, t3, sum(allowed) aa, sum(blocked) bb from v3 group by all),
-p as (select case when sum(allowed + blocked) > 0 then sum(blocked) / sum(allowed + blocked) else 0.5 end p0 from v0),
-d as (select v3.host, s1, s2, s3, '/' || t1 || '/' || t2 || '/' || t3 as template, (bb + 4.0::double * p0) / (aa + bb + 4.0::double) purity from v3 join z using (host, t1, t2, t3), p)
+a as (select *, list_transform(string_split(path, '/')[2:], lambda s: case when regexp_matches(s, '[0-9]') then '*' || regexp_extract(s, '([.][A-Za-z]+)$', 1) else s end) segments from g),
+v as (select host, segments, count(*)::bigint n, count(*) filter (where label = 'allow')::bigint allowed, count(*) filter (where label = 'block')::bigint blocked from a group by all),
+tree as (
+  select host, segments, n, allowed, blocked, 0 as level, '' as template from v
+  union all
+  select host, segments, n, allowed, blocked, level + 1, template || '/' || case when s = '' or starts_with(s, '*') then s
+    when not (bn >= 20 and bn * 100 >= pn) then '*'
+    when ba + bb > 0 and abs(bb / (ba + bb) - pb / (pa + pb)) <= 1.96 * sqrt(pb / (pa + pb) * (1 - pb / (pa + pb)) / (ba + bb)) then '+'
+    else s end
+  from (select *, segments[level + 1] s, sum(n) over p pn, sum(allowed) over p pa, sum(blocked) over p pb, sum(n) over b bn, sum(allowed) over b ba, sum(blocked) over b bb
+    from tree where len(segments) >= level window p as (partition by host, template), b as (partition by host, template, segments[level + 1]))
+  where s is not null),
+ends as (select * from tree where level = len(segments)),
+z as (select host, template, sum(allowed) aa, sum(blocked) bb from ends group by all),
+p as (select case when sum(allowed + blocked) > 0 then sum(blocked) / sum(allowed + blocked) else 0.5 end p0 from v),
+d as (select host, segments, template, (bb + 4.0::double * p0) / (aa + bb + 4.0::double) purity from ends join z using (host, template), p)
 select page_id, a.host, path, rule, coalesce(label, case when purity >= 0.8 then 'block' else 'allow' end) verdict, template
-from a join d on a.host = d.host and a.s1 = d.s1 and a.s2 = d.s2 and a.s3 = d.s3"""
+from a join d on a.host = d.host and a.segments = d.segments"""
 
 ORACLES |= NEWER

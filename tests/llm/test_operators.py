@@ -226,6 +226,16 @@ def test_url_templates_reject_by_label(spark):
     assert got[7]["rule"] is None and got[7]["verdict"] == "block" and got[67]["verdict"] == "allow"
 
 
+def test_url_templates_of_any_depth(spark):
+    urls = [f"http://h.org/a/b/c/d/{w}/x/{i}" for w in ("bad", "good") for i in range(60)] + [f"http://h.org/r{'/s' * 40}/{w}" for w in "uv"] + ["http://h.org/a/b", "http://h.org"]
+    df = spark.createDataFrame([(i, u, "t") for i, u in enumerate(urls)], "page_id long, url string, segments string")
+    rules_ = [("h.org", f"/a/b/c/d/{w}/x/{d}", v) for w, v in (("bad", "block"), ("good", "allow")) for d in "12345"]
+    got = result(url_templates.judge_urls(df, rules_), "page_id")
+    assert got[7]["rule"] is None and got[7]["verdict"] == "block" and got[67]["verdict"] == "allow"
+    assert got[7]["template"].endswith("/bad/+/*") and got[120]["template"] == got[121]["template"] == "/*" * 42
+    assert got[122]["template"].count("/") == 2 and got[123]["template"] == "" and got[7]["segments"] == "t"
+
+
 PAGES = [
     ("<html><body><nav><a href=x>Menu</a></nav><article><h1>A &amp; B</h1><p>One\n two<b> three<br>four<p>Five &lt;six&gt;</article><footer>Foot</footer></body></html>", "A & B\nOne two three four\nFive <six>"),
     ("<article><header>no</header><p>yes</p><aside>no</aside><div class='ad'>no</div><form><p>no</p></form><ul><li>one<li>two</ul><script>if (a < b) '</p>'</script><div id=comments><p>no, a long comment of a reader that goes on and on</p></div><p>end</article>", "yes\none\ntwo\nend"),
