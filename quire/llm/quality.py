@@ -4,8 +4,8 @@ A reference per language is the share of each character class and of the languag
 common words in all its documents that pass the count rules. Every language with
 MIN_REFERENCE_WORDS words in those has one. A document goes if the Jensen-Shannon distance
 of its character classes or of its common words to its language's reference is too large,
-or to the nearest of all references if its language is null or has none; texts too short
-for a histogram are judged by the counts alone.
+or to the nearest of all references if its language is null; texts too short for a histogram,
+and those of a language without a reference, are judged by the counts alone.
 """
 
 from __future__ import annotations
@@ -164,7 +164,8 @@ def _judge(refs):
             shares = classes / np.maximum(1, classes.sum(axis=1))[:, None]
             whose = defaultdict(list)
             for i, lang in enumerate(langs):
-                whose[lang if lang in named else None].append(i)
+                if lang is None or lang in named:  # others have no reference, so no verdict
+                    whose[lang].append(i)
             owner = np.repeat(np.arange(len(n)), n)
             for ref in refs:
                 mine = np.array(sorted(whose.get(ref["lang"], []) + whose.get(None, [])), np.int64)
@@ -203,9 +204,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and both distances for every row of ``docs`` (doc_id, lang, text), and ``q_row`` (all its columns).
 
     base_failed: fewer than 10 words, or over 20 % of them in 5-word windows that repeat.
-    A null or empty text has counts of 0 and fails. A null ``lang``, or one with too few
-    words for a reference, is compared with every reference and the nearest counts. Rows
-    that repeat are judged alike. An empty table gives an empty result; without references
+    A null or empty text has counts of 0 and fails. A null ``lang`` is compared with every reference and the nearest counts; for one
+    with too few words for a reference the counts alone decide. Rows that repeat are judged alike. An empty table gives an empty result; without references
     the counts alone decide.
     """
     refs = references(docs)

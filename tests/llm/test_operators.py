@@ -347,3 +347,12 @@ def test_viterbi_finds_the_best_path(spark):
     for r in got:
         assert "".join(x.piece for x in r.found) == r.unit
         assert sum(table[x.piece] if x.id is not None else -20.0 for x in r.found) == pytest.approx(best(r.unit))
+
+
+def test_columns_that_clash_stay(spark):
+    """A document's own columns with the names that the operators use within."""
+    df = spark.createDataFrame([(1, "some words", 7, "r"), (2, None, 8, "s")], "doc_id long, text string, n_bytes long, ids string")
+    got = result(token_counts.count_tokens(df, WORDS))
+    assert got[1]["n_bytes"] == 10 and got[2]["n_bytes"] == 0 and got[1]["ids"] == "r"
+    got = result(piece_lattice.decode(piece_lattice.encode(df, PIECES), PIECES))
+    assert got[1]["decoded"] == "some words" and got[2]["ids"] == [] and got[1]["n_bytes"] == 7
