@@ -10,7 +10,7 @@ import tempfile
 
 import quire
 
-MODULES = ["ranking", "structuring", "evidence", "checking", "timetables", "graphs", "evaluation", "logs", "helpers", "policy", "uploads"]
+MODULES = ["ranking", "structuring", "evidence", "checking", "timetables", "graphs", "evaluation", "logs", "helpers", "policy", "uploads", "findings"]
 _SHIPPED = set()
 # Places and counts that come out as 64-bit numbers, as in the SQL twins.
 LONGS = {
