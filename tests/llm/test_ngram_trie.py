@@ -82,3 +82,36 @@ def test_probabilities_sum_to_one():
         known = rank >= 0
         p = ((both + ngram_trie.MU * unigram) / (table[:, k].sum() + ngram_trie.MU))[known].sum() + ngram_trie.MU * unseen / (table[:, k].sum() + ngram_trie.MU)
         assert p == pytest.approx(1)
+
+
+def test_predecessors_have_more_bits_in_larger_corpora():
+    assert [ngram_trie.bits_for(n) for n in (0, 1, 1 << 24, (1 << 24) + 1, 30 * 10**9, 10**14)] == [24, 24, 24, 32, 40, 48]
+    rng = np.random.default_rng(5)
+    words = np.arange(1, 4, dtype=np.uint64) << np.uint64(50)
+    for bits in (24, 40, 48):
+        befores = np.unique(rng.integers(0, 1 << bits, 500, dtype=np.uint64))
+        assert (ngram_trie._long(np.frombuffer(ngram_trie._short(befores, bits), np.uint8), bits) == befores).all()
+        trie = ngram_trie.TriePart(ngram_trie.build_part(np.repeat(words, len(befores)), np.tile(befores, 3), np.full(3 * len(befores), 2), bits), 6 * len(befores), 3)
+        rank, _ = trie.look(words)
+        assert (trie.pairs(np.repeat(rank, len(befores)), np.tile(befores, 3)) == 2).all()
+        others = np.setdiff1d(befores ^ np.uint64(1 << (bits - 1)), befores)  # alike in all but one bit
+        assert len(others) and (trie.pairs(np.zeros(len(others), int), others) == 0).all()
+
+
+def test_a_word_that_holds_half_of_all_tokens_is_dealt_over_copies(spark):
+    table = [(i, " ".join(f"hot w{i * j % 97}" for j in range(1, 40))) for i in range(240)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(16, "doc_id")
+    trie = ngram_trie.train(docs, 8)
+    tokens = trie.agg(F.sum("tokens")).first()[0]
+    asks = docs.select("doc_id", "text", F.lit(True)).mapInArrow(ngram_trie._ask(8, 24), "part int, slice long, blob binary, ids array<long>, held array<boolean>")
+    rows = ngram_trie._salted(asks, trie, 8, tokens).groupBy("part", "salt").agg(F.count_if(F.col("kind") == 0).alias("tries"), F.count_if(F.col("kind") == 1).alias("asks")).collect()
+    assert {r.tries for r in rows} == {1} and sum(r.asks for r in rows) == asks.count()
+    hot = {r.salt: r.asks for r in rows if r.part == max(rows, key=lambda r: r.salt).part}
+    assert len(hot) >= 4 and max(hot.values()) < 16
+    want, total = bigram_scores(table, lambda d: d % 5 != 0, ngram_trie.MU)
+    got = ngram_trie.score(docs, F.col("doc_id") % 5 != 0).collect()
+    assert len(got) == len(table)
+    for r in got:
+        n, known, b, s = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert r.base_score == pytest.approx(b, rel=1e-9) and abs(r.score - s) <= 0.0025 * n
