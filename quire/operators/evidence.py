@@ -30,35 +30,32 @@ def in_order(norm: Column, pieces: Column) -> Column:
     return F.reduce(pieces, F.lit(1), step) > 0
 
 
-def _finder(piece: str) -> re.Pattern:
-    """Finds a normalised piece in a text as it was written: each character stands for all that fold to it."""
-    kinds = {"'": fixed.FOLD_APOSTROPHE, '"': fixed.FOLD_QUOTE, "-": fixed.FOLD_DASH}
-    nothing = f"[{re.escape(fixed.FOLD_NOTHING)}]*"
-    out = []
-    for part in re.findall(r"\.\.\.| +|.", piece, re.S):
-        if part == "...":
-            out.append(rf"(?:\.{nothing}\.{nothing}\.|{fixed.FOLD_ELLIPSIS})")
-        elif part[0] == " ":
-            out.append(f"[ {re.escape(fixed.FOLD_SPACE + fixed.FOLD_NOTHING)}]+")
-        else:
-            out.append(f"[{re.escape(part + kinds.get(part, ''))}]")
-    return re.compile(nothing.join(out), re.I)
+# What a character folds to before lower case, as in T.normalise.
+_FOLDS = (dict.fromkeys(fixed.FOLD_APOSTROPHE, "'") | dict.fromkeys(fixed.FOLD_QUOTE, '"') | dict.fromkeys(fixed.FOLD_DASH, "-")
+          | dict.fromkeys(fixed.FOLD_NOTHING, "") | dict.fromkeys(fixed.FOLD_SPACE, " ") | {fixed.FOLD_ELLIPSIS: "..."})
+
+
+def _folded(text: str) -> tuple[str, list[int]]:
+    """A text folded, lowered and squeezed as the comparison does, and where each character of it came from."""
+    kept = [(x, i) for i, c in enumerate(text) for x in _FOLDS.get(c, c)]
+    places = [i for x, i in kept for _ in x.lower()]
+    low = "".join([x for x, _ in kept]).lower()  # as a whole: what a letter becomes can depend on its neighbours, how long it gets cannot
+    stays = [k for k, x in enumerate(low) if x != " " or (k and low[k - 1] != " ")]
+    return "".join([low[k] for k in stays]), [places[k] for k in stays]
 
 
 @F.pandas_udf(StringType())
 def own_words(original: pd.Series, pieces: pd.Series) -> pd.Series:
-    """The document's own words at the place of the pieces; elided pieces joined by an ellipsis.
-
-    Null where a letter changes its length in lower case, which the comparison allows and this does not.
-    """
+    """The document's own words at the place of the pieces; elided pieces joined by an ellipsis."""
     def cut(text, parts):
+        folded, places = _folded(text)
         at, shown = 0, []
         for p in parts:
-            hit = _finder(p).search(text, at)
-            if hit is None:
+            here = folded.find(p, at)
+            if here < 0:
                 return None
-            shown.append(re.sub(r"\s+", " ", hit[0]).strip())
-            at = hit.end()
+            at = here + len(p)
+            shown.append(re.sub(r"\s+", " ", text[places[here]:places[at - 1] + 1]).strip())
         return " … ".join(shown)
 
     return pd.Series([cut(t, p) for t, p in zip(original, pieces)])

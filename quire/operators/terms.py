@@ -142,15 +142,15 @@ def candidate_pairs(hay: DataFrame, key: str, body: str, needles: DataFrame, nke
     rare = inner.join(df, "word", "left").groupBy(nkey).agg(
         F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     pairs = places.join(rare, "word").select(key, nkey)
-    sizes = [r[0] for r in edge.select(F.length("sub")).distinct().collect()]  # a few word lengths, none in most runs
-    if sizes:
-        vocabulary = words.select("word").distinct()
-        subs = vocabulary.select("word", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("k")).where(F.col("k") <= F.length("word"))
-        subs = subs.select("word", "k", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("k") + 1)).alias("at"))
-        subs = subs.select("word", F.substring("word", F.col("at"), F.col("k")).alias("sub")).distinct()
-        within = words.join(subs.join(edge, "sub").select(nkey, "word").distinct(), "word").select(key, nkey)
-        pairs = pairs.unionByName(within.distinct())
-    return pairs
+    # Needles without an inner word are few; while there are none, no body is read for them.
+    sizes = edge.agg(F.collect_set(F.length("sub")).alias("k")).scalar()
+    some = hay.where(F.size(sizes) > 0)
+    words = some.select(key, F.explode(F.array_distinct(F.split(F.col(body), r"\s+"))).alias("word"))
+    subs = words.select("word").distinct().select("word", F.explode(sizes).alias("k")).where(F.col("k") <= F.length("word"))
+    subs = subs.select("word", "k", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("k") + 1)).alias("at"))
+    subs = subs.select("word", F.substring("word", F.col("at"), F.col("k")).alias("sub")).distinct()
+    within = words.join(subs.join(edge, "sub").select(nkey, "word").distinct(), "word").select(key, nkey)
+    return pairs.unionByName(within.distinct())
 
 
 def contains_pairs(hay: DataFrame, key: str, body: str, needles: DataFrame, nkey: str, needle: str) -> DataFrame:

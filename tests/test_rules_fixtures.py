@@ -66,3 +66,29 @@ def test_a_source_without_front_matter_stays(spark):
     cat = spark.createDataFrame([("a", "A", "k", "t", None, "u", "2026-01-01T00"), ("b", "B", "k", None, None, None, None)], "id string, short string, kind string, title string, publisher string, url string, updated string")
     front = spark.createDataFrame([("a", "x", "p", "y", "z")], "id string, title string, publisher string, url string, updated string")
     assert {r.id: r.publisher for r in files.source_catalogue(cat, front).collect()} == {"a": "p", "b": None}
+
+
+def test_own_words_where_lower_case_is_longer(spark):
+    s = spark.createDataFrame([(1, 0, "  At the  İzmir­li  Ofİs…“Dİ” and ΟΔΟΣ. İ")], "doc_id long, section_no int, text string")
+    q = spark.createDataFrame([(1, "İzmirli ofİs"), (2, "the İzmirli … Dİ\" AND οδος")], "quote_id long, quote string")
+    shown = E.show_quotes(E.verify_quotes(s, "doc_id", "section_no", q, "quote_id"), s, "doc_id", "section_no")
+    assert {r.quote_id: r.shown for r in shown.collect()} == {1: "İzmir­li Ofİs", 2: "the İzmir­li … Dİ” and ΟΔΟΣ"}
+
+
+def test_quotes_without_an_inner_word(spark):
+    s = spark.createDataFrame([(1, 0, "some planning words"), (1, 1, "replanned wording"), (2, 0, "nothing here")], "doc_id long, section_no int, text string")
+    q = spark.createDataFrame([(1, "plann"), (2, "planning words"), (3, "absent"), (4, "some planning words")], "quote_id long, quote string")
+    found = lambda q: {(r.quote_id, r.doc_id, r.section_no) for r in E.verify_quotes(s, "doc_id", "section_no", q, "quote_id").collect()}
+    assert found(q) == {(1, 1, 0), (2, 1, 0), (4, 1, 0)}
+    assert found(q.where("quote_id = 4")) == {(4, 1, 0)} and found(q.where("quote_id = 0")) == set()
+
+
+def test_percentile_of_calls_with_ties_and_nulls(spark):
+    import numpy as np
+    ms = {"a": [5], "b": [3] * 19 + [9, 100], "c": list(range(1, 42)), "d": [None, 4, None, 8], "e": [None]}
+    log = spark.createDataFrame([(f, "c", "m", True, x, 1) for f, all_ in ms.items() for x in all_], "feature string, connection string, model string, ok boolean, ms long, tokensIn int")
+    got = {r.feature: r for r in L.usage_rollup(log, F.lit("p")).collect()}
+    for f, all_ in ms.items():
+        given = [x for x in all_ if x is not None]
+        assert got[f].calls == len(all_) == got[f].tokens and got[f].slowest == max(given, default=None)
+        assert got[f].p95 == (round(float(np.percentile(given, 95)), 4) if given else None)
