@@ -307,7 +307,7 @@ def train(docs: DataFrame, parts: int, bits: int = BITS) -> DataFrame:
     spark = docs.sparkSession
     tasks = min(parts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
     runs = docs.select("text").mapInArrow(_count(parts, bits), "part int, blob binary")
-    runs = runs.repartition(tasks, "part").sortWithinPartitions("part")
+    runs = runs.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")  # a hash would pile parts up
     return written(runs.mapInArrow(_build(bits), "part int, tokens long, types long, pairs long, blob binary"), "trie")
 
 
@@ -346,7 +346,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     extra = "ids array<long>, held array<boolean>"
     asks = docs.select("doc_id", "text", training.alias("training")).mapInArrow(_ask(parts, bits), f"part int, slice long, blob binary, {extra}")
     tasks = min(parts, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    rows = _salted(asks, trie, parts, tokens).repartition(tasks, "part", "salt").sortWithinPartitions("part", "salt", "kind")
+    rows = _salted(asks, trie, parts, tokens).repartitionById(tasks, (F.col("part") + F.col("salt")) % tasks).sortWithinPartitions("part", "salt", "kind")
     sums = rows.mapInArrow(_score(tokens, types, learned, bits), f"slice long, blob binary, {extra}")
     per_text = sums.groupBy("slice").applyInArrow(_sum, "doc_id long, held_out boolean, n long, known long, base double, score double")
     return per_text.select("doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
