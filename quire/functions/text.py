@@ -24,6 +24,13 @@ def squash(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
+def upper(c: Column) -> Column:
+    """Upper case letter by letter: a letter that would become several (ß, ŉ) keeps one, so the length stays."""
+    whole = F.upper(c)
+    one = lambda x: F.when(F.length(F.upper(x)) == 1, F.upper(x)).when(x == "ß", "ẞ").when(F.length(F.initcap(x)) == 1, F.initcap(x)).otherwise(x)
+    return F.when(F.length(whole) == F.length(c), whole).otherwise(F.array_join(F.transform(F.split(c, ""), one), ""))
+
+
 def lines(c: Column) -> Column:
     return F.split(c, "\n")
 

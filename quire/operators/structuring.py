@@ -272,7 +272,7 @@ def heading_level(line: Column) -> Column:
     long = F.filter(words, lambda w: F.length(w) > 3)
     capital = F.filter(long, lambda w: w.rlike("^[A-Z]"))
     return (
-        F.when((F.length(line) > 120) | ~line.rlike("[A-Za-z]") | line.rlike("[.,;:]$"), 0)
+        F.when((F.length(line) > 120) | ~line.rlike("[A-Za-z]") | line.rlike(r"[.,;:]\z"), 0)
         .when(line.rlike(r"(?i)^(chapter|part|appendix|annex|schedule)\s+[A-Za-z0-9_]"), 1)
         .when(line.rlike(r"(?i)^(strategic\s+)?policy\s+[A-Z]{0,6}[\s/-]?\d"), 3)
         .when(line.rlike(numbered), F.least(F.lit(4), F.size(F.split(F.regexp_extract(line, numbered, 1), r"\."))))

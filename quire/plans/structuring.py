@@ -204,7 +204,7 @@ def strip_inline(spark, sf):
 def heading_level(spark, sf):
     def vary(l, i):
         return F.when(i % 5 == 1, F.concat(F.lit("Chapter "), l)).when(i % 5 == 2, F.concat(i, F.lit(".2 Then "), l)).when(
-            i % 5 == 3, F.upper(l)).when(i % 5 == 4, F.initcap(l)).otherwise(l)
+            i % 5 == 3, T.upper(l)).when(i % 5 == 4, F.initcap(l)).otherwise(l)
 
     docs = documents(spark, sf).select("doc_id", F.posexplode(F.transform(T.lines(F.col("text")), vary)).alias("line_no", "line"))
     return docs.select("doc_id", "line_no", S.heading_level(F.col("line")).alias("level"))

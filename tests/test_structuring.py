@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import policy as PO
 from quire.operators import structuring as S
 
@@ -144,3 +145,9 @@ def test_policy_text(spark):
     chunks = {r.anchor: (r.heading, r.text) for r in PO.chunks(found, "doc").collect()}
     assert chunks["fn-9"] == ("2. Making › PM1: Local plans › footnote 9 on “land allocations”", "Footnote 9 to policy PM1(1)(a), on “land allocations”: Second footnote")
     assert chunks["PM1"][1].startswith("1. They should set out:\na. land allocations9, and\nh. eighth")
+
+
+def test_heading_of_120_letters_in_capitals(ask):
+    line = "aß" * 60
+    assert ask(lambda t: S.heading_level(T.upper(t)), t=line) == 1  # with SS for ß it would have 180
+    assert ask(S.heading_level, t="SITES OF THE PLAN.\r") == 1  # ends in a carriage return, not in the stop before it
