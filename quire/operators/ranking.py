@@ -187,7 +187,7 @@ def unique_anchor(found: DataFrame, qkey: str, key: str, anchor: list[str], limi
 
 
 def snippet(text: Column, found_terms: Column, width: int = 320) -> Column:
-    """The text around the first matched term, cut at blanks, with ellipses."""
+    """The text around the first matched term, cut at blanks, with ellipses. Its end is the very end: a `$` would also stand before a last line break."""
     low = F.lower(text)
     places = F.filter(F.transform(found_terms, lambda t: F.instr(low, t) - 1), lambda i: i >= 0)
     at = F.coalesce(F.array_min(places), F.lit(0))
@@ -197,7 +197,7 @@ def snippet(text: Column, found_terms: Column, width: int = 320) -> Column:
     has = F.contains(before, F.lit(" ")) & (space > 0) & (start > 0)
     start = F.when(has, space + 1).otherwise(start)
     piece = F.substring(text, start + 1, F.lit(width))
-    cut = F.when(start + width < F.length(text), F.concat(F.regexp_replace(piece, r"\s\S*$", ""), F.lit("…"))).otherwise(piece)
+    cut = F.when(start + width < F.length(text), F.concat(F.regexp_replace(piece, r"[\t\n\f\r ][^\t\n\f\r ]*\z", ""), F.lit("…"))).otherwise(piece)
     return F.when(start > 0, F.concat(F.lit("…"), cut)).otherwise(cut)
 
 

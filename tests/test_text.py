@@ -59,6 +59,16 @@ def test_snippet(ask):
     assert ask(R.snippet, t="short text", w=["none"]) == "short text"
 
 
+def test_snippet_ends_at_the_very_end(ask):
+    text = "x " * 156 + "threha.\n" + "more " * 40  # the 320th letter is a line break: only that goes
+    assert ask(R.snippet, t=text, w=["none"]) == text[:319] + "…"
+
+
+def test_upper_keeps_the_length(ask):
+    assert ask(T.upper, t="straße, ŉ ᾀ é") == "STRAẞE, ŉ ᾈ É"
+    assert ask(T.upper, t="plain é") == "PLAIN É"
+
+
 def test_csv_form(spark, tmp_path):
     rows = spark.createDataFrame([("LP-1", 'Adopted by "full" council, 3 Jan', "")], "plan string, notes string, actual string").coalesce(1)
     files.write_timetable_csv(rows, str(tmp_path / "a"))
