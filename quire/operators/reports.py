@@ -1,12 +1,15 @@
 """A report against its schema: every departure with the JSON path where it stands.
 
 A report is one row, a JSON text read as a variant. The rules follow the report's own shape, so
-all of them are checked in one pass inside the row; nothing is shuffled.
+all of them are checked in one pass inside the row; nothing is shuffled. A check names the type it
+wants, and those of fields and lists are put together, so that one reading of the variant takes the
+whole report apart and no text is copied from level to level. What is of another kind is null there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,21 +19,27 @@ from quire import fixed
 # Fixed value: a link to a place in the reference.
 HREF = r"^/reference/[a-z0-9/-]+#[A-Za-z0-9._:-]+$"
 _NONE = "cast(array() as array<string>)"
-Check = Callable[[Column, Column], Column]
 
 
-def _at(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "variant")
+class Check(NamedTuple):
+    """The problems of a value at a place, which is read as ``kind``."""
+
+    problems: Callable[[Column, Column], Column]
+    kind: str = "variant"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _kind(v: Column) -> Column:
-    """STRING, BIGINT, OBJECT<…>, …; VOID for null and for what is not there."""
+    """STRING, BIGINT, OBJECT<…>, …; VOID for null and for what is not there. It walks all that lies below."""
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _is_object(v: Column) -> Column:
-    """Whether it has fields or elements."""
-    return _kind(v).rlike("^(OBJECT|ARRAY)")
+def _is_list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def _said(broken: Column, where: Column, problem: str) -> Column:
@@ -48,19 +57,22 @@ def words(most: int, optional: bool = False) -> Check:
         bad = (kind != "STRING") | (F.char_length(F.try_variant_get(v, "$", "string")) > most)
         return _said((kind != "VOID") & bad if optional else bad, where, f"expected text of at most {most} characters")
 
-    return check
+    return Check(check)
 
 
+@Check
 def status(v: Column, where: Column) -> Column:
     return _said((_kind(v) != "STRING") | ~F.try_variant_get(v, "$", "string").isin(fixed.STATUSES), where, "unknown status")
 
 
+@Check
 def whole(v: Column, where: Column) -> Column:
     number = F.try_variant_get(v, "$", "double")
     numeric = _kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE)")
     return _said(~(numeric & (number == F.floor(number)) & (number >= 0)), where, "expected a whole number")
 
 
+@Check
 def link(v: Column, where: Column) -> Column:
     bad = (_kind(v) != "STRING") | ~F.try_variant_get(v, "$", "string").rlike(HREF)
     return _said((_kind(v) != "VOID") & bad, where, "not a reference link")
@@ -68,46 +80,49 @@ def link(v: Column, where: Column) -> Column:
 
 def items(most: int, each: Check, optional: bool = False) -> Check:
     """A list of at most so many, each checked; one that is too long is not looked into."""
-    def check(v, where):
-        found = F.try_variant_get(v, "$", "array<variant>")
-        inner = F.flatten(F.transform(found, lambda x, i: each(x, F.concat(where, F.lit("["), i.cast("string"), F.lit("]")))))
-        bad = F.when(found.isNull() | (F.size(found) > most), F.array(F.concat(where, F.lit(f": expected a list of at most {most}")))).otherwise(inner)
-        return F.when(_kind(v) == "VOID", F.expr(_NONE)).otherwise(bad) if optional else bad
+    kind = f"array<{each.kind}>"
 
-    return check
+    def check(found, where):
+        inner = F.flatten(F.transform(found, lambda x, i: each.problems(x, F.concat(where, F.lit("["), i.cast("string"), F.lit("]")))))
+        return F.when(found.isNotNull() & (F.size(found) <= most), inner).otherwise(F.array(F.concat(where, F.lit(f": expected a list of at most {most}"))))
 
+    def if_there(v, where):
+        return F.when(_kind(v) == "VOID", F.expr(_NONE)).otherwise(_let(F.try_variant_get(v, "$", kind), lambda found: check(found, where)))
 
-def fields(**checks: Check) -> Check:
-    """Named fields, in order. What has no fields lacks them all."""
-    return lambda v, where: F.concat(*[check(_at(v, key), _under(where, key)) for key, check in checks.items()])
-
+    return Check(if_there) if optional else Check(check, kind)
 
-def every(*checks: Check) -> Check:
-    return lambda v, where: F.concat(*[check(v, where) for check in checks])
 
+def fields(**checks: Check) -> Check:
+    """Named fields, in order. What has no fields lacks them all."""
+    kind = ", ".join(f"`{key}` {check.kind}" for key, check in checks.items())
+    return Check(lambda v, where: F.concat(*[check.problems(v[key], _under(where, key)) for key, check in checks.items()]), f"struct<{kind}>")
 
-def evidence(v: Column, where: Column) -> Column:
-    return F.when(~_is_object(v), F.array(F.concat(where, F.lit(": not an object")))).otherwise(fields(quote=words(1500), locator=words(500))(v, where))
 
+def _object(check: Check, problem: str) -> Check:
+    """Something with fields or elements, then checked; a list lacks all fields."""
+    def found(v, where):
+        return _let(F.try_variant_get(v, "$", check.kind), lambda x: F.when(
+            x.isNotNull() | _is_list(v), check.problems(x, where)).otherwise(F.array(F.concat(where, F.lit(f": {problem}")))))
 
-def _present(check: Check) -> Check:
-    return lambda v, where: F.when(_is_object(v), check(v, where)).otherwise(F.array(F.concat(where, F.lit(": missing"))))
+    return Check(found)
 
 
 # The fields of a report, their order and limits.
 CITATION = fields(label=words(200), href=link)
 INSTANCE = fields(label=words(400), status=status)
+EVIDENCE = _object(fields(quote=words(1500), locator=words(500)), "not an object")
 ITEM = fields(
-    id=words(12), title=words(300), status=status, finding=words(4000), action=words(2000, True), requirement=words(2000), evidence=items(20, evidence),
+    id=words(12), title=words(300), status=status, finding=words(4000), action=words(2000, True), requirement=words(2000), evidence=items(20, EVIDENCE),
     gaps=items(20, words(1000)), citations=items(10, CITATION), instances=items(120, INSTANCE, True))
 SECTION = fields(id=words(40), title=words(200), letter=words(2), items=items(40, ITEM))
-ENTRY = fields(id=words(12), title=words(300), status=status, shows=words(4000), evidence=items(20, evidence), gaps=items(20, words(1000)), action=words(2000, True))
-PART = fields(heading=words(300), entries=items(20, ENTRY))
-STATEMENTS = every(
-    fields(compliance=fields(title=words(200), parts=items(8, PART))),
-    fields(soundness=fields(title=words(200), entries=items(10, every(ENTRY, fields(questions=items(6, words(600))))))))
+_ENTRY = dict(id=words(12), title=words(300), status=status, shows=words(4000), evidence=items(20, EVIDENCE), gaps=items(20, words(1000)), action=words(2000, True))
+PART = fields(heading=words(300), entries=items(20, fields(**_ENTRY)))
+STATEMENTS = fields(
+    compliance=fields(title=words(200), parts=items(8, PART)),
+    soundness=fields(title=words(200), entries=items(10, fields(**_ENTRY, questions=items(6, words(600))))))
 
 
+@Check
 def _document_type(v: Column, where: Column) -> Column:
     return _said((_kind(v) != "STRING") | ~F.try_variant_get(v, "$", "string").isin(fixed.DOCUMENT_TYPES), where, "unknown")
 
@@ -117,19 +132,25 @@ DOCUMENT = fields(name=words(200), type=_document_type, bytes=whole, characters=
 
 def report_problems(report: Column, schema: str, version: int) -> Column:
     """array<string> of "path: problem" for a report as a variant; null is no object. ``schema`` and ``version`` are those it must name."""
-    top = lambda key: (_at(report, key), F.lit(key))
-    named = F.coalesce(F.try_variant_get(report, "$.schema", "string"), F.lit(""))
-    number = F.try_variant_get(report, "$.version", "double")
-    numeric = _kind(_at(report, "version")).rlike("^(BIGINT|DECIMAL|DOUBLE)")
-    counts = _at(_at(report, "summary"), "counts")
-    none = (_kind(counts) == "VOID") | ((_kind(counts) == "BOOLEAN") & ~F.try_variant_get(counts, "$", "boolean")) | (
-        (_kind(counts) == "STRING") & (F.try_variant_get(counts, "$", "string") == "")) | (F.coalesce(F.try_variant_get(counts, "$", "double"), F.lit(1.0)) == 0)
-    found = F.concat(
-        _said((_kind(_at(report, "schema")) != "STRING") | (named != schema), F.lit("schema"), "not a plan check report"),
-        _said(~numeric | F.coalesce(number != version, F.lit(True)), F.lit("version"), f"expected {version}"),
-        words(40)(*top("generatedAt")), words(2000)(*top("notice")), _present(DOCUMENT)(*top("document")), items(12, SECTION)(*top("sections")),
-        _present(STATEMENTS)(*top("statements")), _said(~_is_object(_at(report, "summary")) | none, F.lit("summary"), "missing"))
-    return F.when(_kind(report).startswith("OBJECT"), found).otherwise(F.array(F.lit("the report is not an object")))
+    def named(v, where):
+        return _said((_kind(v) != "STRING") | (F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")) != schema), where, "not a plan check report")
+
+    def numbered(v, where):
+        numeric = _kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+        return _said(~numeric | F.coalesce(F.try_variant_get(v, "$", "double") != version, F.lit(True)), where, f"expected {version}")
+
+    def summed(v, where):
+        counts = F.try_variant_get(v, "$.counts", "variant")
+        none = (_kind(counts) == "VOID") | ((_kind(counts) == "BOOLEAN") & ~F.try_variant_get(counts, "$", "boolean")) | (
+            (_kind(counts) == "STRING") & (F.try_variant_get(counts, "$", "string") == "")) | (F.coalesce(F.try_variant_get(counts, "$", "double"), F.lit(1.0)) == 0)
+        return _said(~_kind(v).rlike("^(OBJECT|ARRAY)") | none, where, "missing")
+
+    top = dict(
+        schema=Check(named), version=Check(numbered), generatedAt=words(40), notice=words(2000), document=_object(DOCUMENT, "missing"),
+        sections=items(12, SECTION), statements=_object(STATEMENTS, "missing"), summary=Check(summed))
+    found = lambda x: F.concat(*[check.problems(x[key], F.lit(key)) for key, check in top.items()])
+    whole_report = F.try_variant_get(report, "$", fields(**top).kind)
+    return _let(whole_report, lambda x: F.when(x.isNotNull(), found(x)).otherwise(F.array(F.lit("the report is not an object"))))
 
 
 def problems_of(reports: DataFrame, key: str, json: str, schema: str = fixed.REPORT_SCHEMA, version: int = fixed.REPORT_VERSION) -> DataFrame:

@@ -73,3 +73,12 @@ def test_what_is_not_there_lacks_its_fields(found):
     said = found[1005]
     assert [p for p, _ in said if p.startswith("sections[0]")] == ["sections[0].id", "sections[0].title", "sections[0].letter", "sections[0].items"]
     assert ("sections[1].items", "expected a list of at most 40") in said and ("statements.compliance.parts", "expected a list of at most 8") in said and ("statements.soundness.title", "expected text of at most 200 characters") in said
+
+
+def test_only_columns_travel_to_an_order(spark):
+    """The texts of a report are made after its lines have met, not shuffled with them."""
+    from quire.plans import checking
+
+    plan = checking.report_problems(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lists = [line for line in plan.splitlines() if "collect_list(" in line]
+    assert lists and not any("repeat(" in line for line in lists)
