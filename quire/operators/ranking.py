@@ -10,13 +10,14 @@ from pyspark.sql.types import ArrayType, StringType
 from quire import fixed
 from quire.functions import text as T
 from quire.operators import terms
+from quire.operators.scale import small
 from quire.session import written
 
 PLACES = 4
 
 
-def bm25(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
-    """(query, passage, score), unrounded. Passage text never enters a shuffle."""
+def _bm25_parts(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: str) -> DataFrame:
+    """(query, passage, score) for every term they share. Postings go to their passage's task, the terms' figures to all, so a frequent term meets in no one task."""
     q = terms.query_terms(queries, qkey, text)
     postings = written(terms.weighted_postings(passages, key, q.select("term").distinct()), "postings")
     tf = postings.where("term is not null")
@@ -27,8 +28,13 @@ def bm25(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: str
     idf = F.ln(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     k1, b = fixed.BM25_K1, fixed.BM25_B
     part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * ((1 - b) + b * F.col("len") / avg))
-    rows = tf.join(df, "term").join(q, "term")
-    return rows.groupBy(qkey, key).agg(F.sum(part).alias("score"))
+    asked = small(written(df.join(q, "term"), "asked-terms"))
+    return tf.repartition(key).join(asked, "term").select(qkey, key, part.alias("score"))
+
+
+def bm25(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
+    """(query, passage, score), unrounded. Passage text never enters a shuffle."""
+    return _bm25_parts(passages, key, queries, qkey, text).groupBy(qkey, key).agg(F.sum("score").alias("score"))
 
 
 def phrase_bonus(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
@@ -41,7 +47,7 @@ def phrase_bonus(passages: DataFrame, key: str, queries: DataFrame, qkey: str, t
 
 def scores(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
     """BM25 plus phrase bonus, rounded so that ties are the same on every run."""
-    both = bm25(passages, key, queries, qkey, text).unionByName(phrase_bonus(passages, key, queries, qkey, text))
+    both = _bm25_parts(passages, key, queries, qkey, text).unionByName(phrase_bonus(passages, key, queries, qkey, text))
     total = both.groupBy(qkey, key).agg(F.round(F.sum("score"), PLACES).alias("score"))
     return total.where("score > 0")
 
@@ -133,7 +139,9 @@ def field_scores(passages: DataFrame, key: str, expanded: DataFrame) -> DataFram
     average = per_field.groupBy("field").agg(F.avg("len").alias("avg"), F.count("*").alias("n"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = d + F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / F.col("avg")))
-    joined = tf.join(df, ["field", "term"]).join(average, "field").join(expanded, "term")
+    # A field is a row and three fields are all: no passage is dealt by its field, nor by a frequent term.
+    asked = small(written(df.join(F.broadcast(average), "field").join(expanded, "term"), "asked-terms"))
+    joined = tf.repartition(key).join(asked, ["field", "term"])
     return joined.groupBy(key, "qterm").agg(F.sum(F.col("weight") * F.col("boost") * idf * gain).alias("score"))
 
 

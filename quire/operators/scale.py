@@ -69,3 +69,12 @@ def previous(df: DataFrame, group: list[str], place: Column, order: list[str], v
     carried = last.withColumn("_carried", F.lag("_last").over(_over_slices(group))).drop("_last")
     local = rows.join(carried, "_slice").withColumn("_lag", F.lag("_value").over(Window.partitionBy("_slice").orderBy(*order)))
     return local.withColumn(name, F.coalesce("_lag", "_carried")).drop("_slice", "_value", "_lag", "_carried")
+
+
+#: Rows below which a side may be broadcast once it has been counted.
+BROADCAST_ROWS = 400_000
+
+
+def small(written: DataFrame) -> DataFrame:
+    """A written side, counted: to broadcast if its rows are few, else left to the planner."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written

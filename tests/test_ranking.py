@@ -113,3 +113,12 @@ def test_merge_takes_turns(spark):
     df = spark.createDataFrame(lists, "g int, list_no int, rank int, p int, size int")
     assert [r.p for r in R.merge_passages(df, "g", "list_no", "p", 100).orderBy("place").collect()] == [9, 10, 12]
     assert df.select(F.count("*")).first()[0] == 5
+
+
+def test_scores_are_dealt_by_passage(spark):
+    """No exchange by a field, which has three values, or by a term, which may be in every passage."""
+    passages = spark.createDataFrame([(i, "plan homes", "head", f"t{i % 3}", "plan homes by the road") for i in range(30)], "p int, text string, heading string, title string, body string")
+    asked = spark.createDataFrame([(1, "plan roads"), (2, "homes")], "q int, text string")
+    for df in (R.search(passages, "p", asked, "q", expand=False), R.scores(passages, "p", asked, "q")):
+        plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(field#" not in plan and "hashpartitioning(term#" not in plan
