@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, StringType
 from quire import fixed
 from quire.functions import text as T
 from quire.operators import terms
-from quire.operators.scale import small
+from quire.operators.scale import BROADCAST_ROWS, small
 from quire.session import written
 
 PLACES = 4
@@ -118,11 +118,12 @@ def merge_passages(lists: DataFrame, gkey: str, list_no: str, key: str, budget:
     return queues.select(gkey, F.posexplode(F.sort_array(F.reduce("items", start, step).ids)).alias("place", key))
 
 
-def field_scores(passages: DataFrame, key: str, expanded: DataFrame) -> DataFrame:
+def field_scores(passages: DataFrame, key: str, expanded: DataFrame, many: bool = False) -> DataFrame:
     """(passage, qterm, score) of the fielded search, once for all queries that share a term.
 
     `passages` holds text, heading and title; `expanded` (qterm, term, weight). Each field has its own lengths and document counts. The score of a
-    match is weight x boost x idf x (d + tf (k + 1) / (tf + k (1 - b + b len / avg))).
+    match is weight x boost x idf x (d + tf (k + 1) / (tf + k (1 - b + b len / avg))). With ``many`` expansions all terms are counted
+    rather than each occurrence looked up, and only the figures of frequent terms go to all tasks.
     """
     k, b, d = fixed.FIELD_K, fixed.FIELD_B, fixed.FIELD_D
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(boost).alias("boost"), F.col(f).alias("value"))
@@ -131,7 +132,8 @@ def field_scores(passages: DataFrame, key: str, expanded: DataFrame) -> DataFram
     sized = rows.select(key, "field", "boost", F.lower("value").alias("value"), F.size(F.array_distinct(T.tokens(F.col("value")))).alias("len"))
     raw = sized.select(key, "field", "boost", "len", F.explode(F.array_append(T.tokens(F.col("value")), terms.marker(key))).alias("term"))
     kept = raw.where((F.length("term") > 1) & ~F.col("term").isin(fixed.INDEX_STOP))
-    counts = terms.in_vocabulary(kept, expanded.select("term").distinct()).groupBy(key, "field", "boost", "len", "term").agg(F.count("*").alias("tf"))
+    known = kept.withColumn("term", F.when(~F.col("term").startswith(terms.MARK), F.col("term"))) if many else terms.in_vocabulary(kept, expanded.select("term").distinct())
+    counts = known.groupBy(key, "field", "boost", "len", "term").agg(F.count("*").alias("tf"))
     postings = written(counts, "field-postings")
     tf = postings.where("term is not null")
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
@@ -140,11 +142,28 @@ def field_scores(passages: DataFrame, key: str, expanded: DataFrame) -> DataFram
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = d + F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / F.col("avg")))
     # A field is a row and three fields are all: no passage is dealt by its field, nor by a frequent term.
-    asked = small(written(df.join(F.broadcast(average), "field").join(expanded, "term"), "asked-terms"))
-    joined = tf.repartition(key).join(asked, ["field", "term"])
+    asked = written(df.join(F.broadcast(average), "field").join(expanded, "term"), "asked-terms")
+    if many:
+        joined = _by_passage(tf, key, asked)
+    else:
+        joined = tf.repartition(key).join(small(asked), ["field", "term"])
     return joined.groupBy(key, "qterm").agg(F.sum(F.col("weight") * F.col("boost") * idf * gain).alias("score"))
 
 
+#: A term in more than this share of the postings is frequent, so there are fewer than 1 / share of them.
+FREQUENT = 1e-5
+
+
+def _by_passage(tf: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """Postings with the figures of their terms, dealt by passage: frequent terms by broadcast, the rest where they meet by term."""
+    rows = asked.dropDuplicates(["field", "term"]).agg(F.sum("df")).first()[0] or 0
+    often = F.col("df") > int(rows * FREQUENT) + 1
+    heavy, light = asked.where(often), asked.where(~often)
+    rest = tf.join(F.broadcast(heavy.select("field", "term").distinct()), ["field", "term"], "left_anti")
+    met = rest.join(light.hint("merge"), ["field", "term"]).repartition(key)
+    return tf.repartition(key).join(F.broadcast(heavy), ["field", "term"]).unionByName(met)
+
+
 def index_query(queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
     return terms.index_rows(queries, [qkey], F.col(text), "qterm").distinct()
 
@@ -165,9 +184,11 @@ def search(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: s
     asked = q.select("qterm").distinct()
     if expand:
         expanded = written(terms.expansions(asked, index_vocabulary(passages)), "expansions")
+        many = expanded.count() > BROADCAST_ROWS
     else:
+        many = False
         expanded = asked.select("qterm", F.col("qterm").alias("term"), F.lit(1.0).alias("weight"))
-    parts = field_scores(passages, key, expanded)
+    parts = field_scores(passages, key, expanded, many)
     if only is not None:
         parts = parts.join(only, key, "left_semi")
     wanted = q.groupBy(qkey).agg(F.count("*").alias("wanted"))

@@ -122,3 +122,13 @@ def test_scores_are_dealt_by_passage(spark):
     for df in (R.search(passages, "p", asked, "q", expand=False), R.scores(passages, "p", asked, "q")):
         plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(field#" not in plan and "hashpartitioning(term#" not in plan
+
+
+def test_many_expansions_give_the_same_scores(spark):
+    rnd = random.Random(8)
+    words = [a + b for a in "abcdefgh" for b in "xyz"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    passages = spark.createDataFrame([(i, text(20), text(2), "title") for i in range(40)], "p int, text string, heading string, title string")
+    expanded = spark.createDataFrame([(w[0], w, 1.0 / (1 + i)) for i, w in enumerate(words[:12])] + [("q", "ax", 0.5)], "qterm string, term string, weight double")
+    few, many = ({(r.p, r.qterm): round(r.score, 9) for r in R.field_scores(passages, "p", expanded, m).collect()} for m in (False, True))
+    assert few == many and len(few) > 100
