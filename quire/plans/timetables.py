@@ -82,14 +82,14 @@ def calendar_quarters(spark, sf):
 def timetable_csv_sink(spark, sf):
     """The dataset written as CSV and its lines read back, without the header each file starts with."""
     path = files.scratch(spark, "timetable")
-    files.write_timetable_csv(_timetable(spark, sf), path)
+    files.write_timetable_csv(_timetable(spark, sf), path, compression="gzip")
     return spark.read.text(path, lineSep="\r\n").where("value not like 'reference,%'").select(F.col("value").alias("line"))
 
 
 def milestone_csv_sink(spark, sf):
     path = files.scratch(spark, "milestones")
     m = TT.milestones(_plans(spark, sf), K, G)
-    files.write_milestone_csv(m.select(F.col(K).cast("string").alias("Plan"), F.col("label").alias("Milestone"), F.col("start").cast("string").alias("Start"), F.col("end").cast("string").alias("End")), path)
+    files.write_milestone_csv(m.select(F.col(K).cast("string").alias("Plan"), F.col("label").alias("Milestone"), F.col("start").cast("string").alias("Start"), F.col("end").cast("string").alias("End")), path, compression="gzip")
     return spark.read.text(path, lineSep="\r\n").where("value not like '\"Plan\"%'").select(F.col("value").alias("line"))
 
 

@@ -104,14 +104,14 @@ def append_usage(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").json(path)
 
 
-def write_timetable_csv(rows: DataFrame, path: str) -> None:
+def write_timetable_csv(rows: DataFrame, path: str, compression: str = "none") -> None:
     """RFC 4180: header, CRLF, quotes only where needed and doubled inside."""
-    rows.write.csv(path, header=True, lineSep="\r\n", escape='"', emptyValue="", nullValue="")
+    rows.write.csv(path, compression=compression, header=True, lineSep="\r\n", escape='"', emptyValue="", nullValue="")
 
 
-def write_milestone_csv(rows: DataFrame, path: str) -> None:
+def write_milestone_csv(rows: DataFrame, path: str, compression: str = "none") -> None:
     """Every field quoted."""
-    rows.write.csv(path, header=True, lineSep="\r\n", escape='"', quoteAll=True)
+    rows.write.csv(path, compression=compression, header=True, lineSep="\r\n", escape='"', quoteAll=True)
 
 
 def write_corpus(chunks: DataFrame, path: str, by: str = "kind") -> DataFrame:

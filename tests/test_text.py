@@ -84,3 +84,12 @@ def test_nested_content(spark, tmp_path):
     assert [r.id for r in files.read_catalogue(spark, str(tmp_path / "s.json")).collect()] == ["a", "b"]
     flow = spark.sql("select map('q1', named_struct('options', array(named_struct('value', 'y', 'next', 'q2')))) as questions")
     assert [(r.question, r.next) for r in files.question_options(flow).collect()] == [("q1", "q2")]
+
+
+def test_compressed_csv_reads_back(spark, tmp_path):
+    rows = spark.createDataFrame([("LP-1", 'Adopted by "full" council, 3 Jan', "")], "plan string, notes string, actual string").coalesce(1)
+    for write in (files.write_timetable_csv, files.write_milestone_csv):
+        write(rows, str(tmp_path / write.__name__), compression="gzip")
+        assert list((tmp_path / write.__name__).glob("*.csv.gz"))
+        lines = spark.read.text(str(tmp_path / write.__name__), lineSep="\r\n").collect()
+        assert len(lines) == 2 and 'Adopted by ""full"" council, 3 Jan' in lines[1].value
