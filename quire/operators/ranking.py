@@ -47,7 +47,7 @@ def phrase_bonus(passages: DataFrame, key: str, queries: DataFrame, qkey: str, t
 
 def scores(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
     """BM25 plus phrase bonus, rounded so that ties are the same on every run."""
-    both = _bm25_parts(passages, key, queries, qkey, text).unionByName(phrase_bonus(passages, key, queries, qkey, text))
+    both = _bm25_parts(passages, key, queries, qkey, text).unionByName(phrase_bonus(passages, key, queries, qkey, text).repartition(qkey))  # few rows
     total = both.groupBy(qkey, key).agg(F.round(F.sum("score"), PLACES).alias("score"))
     return total.where("score > 0")
 
@@ -160,7 +160,7 @@ def _by_passage(tf: DataFrame, key: str, asked: DataFrame) -> DataFrame:
     often = F.col("df") > int(rows * FREQUENT) + 1
     heavy, light = asked.where(often), asked.where(~often)
     rest = tf.join(F.broadcast(heavy.select("field", "term").distinct()), ["field", "term"], "left_anti")
-    met = rest.join(light.hint("merge"), ["field", "term"]).repartition(key)
+    met = rest.join(light.hint("merge"), ["field", "term"])  # not dealt by passage: a union whose sides share that may fail in a later join
     return tf.repartition(key).join(F.broadcast(heavy), ["field", "term"]).unionByName(met)
 
 
