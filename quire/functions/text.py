@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def upper(c: Column) -> Column:
     return F.when(F.length(whole) == F.length(c), whole).otherwise(F.array_join(F.transform(F.split(c, ""), one), ""))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def lines(c: Column) -> Column:
     return F.split(c, "\n")
 
@@ -114,6 +121,9 @@ def md_to_plain(c: Column) -> Column:
     return strip(c)
 
 
+MARKS = r"[\[<`*_~\\]"  # every inline mark holds one of these
+
+
 def strip_inline(c: Column) -> Column:
     """Inline markup out of one line; every repeat is bounded."""
     # The patterns and their order decide the result.

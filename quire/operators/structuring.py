@@ -235,33 +235,48 @@ TABLE_RULE = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$"
 def split_row(line: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(T.strip(line), r"^\|", ""), r"\|$", "")
     cells = F.transform(F.split(bare, r"(?<!\\)\|"), T.strip)
-    # All inline marks hold one of these characters; most cells have none and need no more looking at.
-    return F.transform(cells, lambda c: F.when(c.rlike(r"[\[<`*_~\\]"), T.strip(T.strip_inline(c))).otherwise(c))
+    # Most cells have no inline mark and need no more looking at.
+    return F.transform(cells, lambda c: F.when(c.rlike(T.MARKS), T.strip(T.strip_inline(c))).otherwise(c))
 
 
-def table_rows(docs: DataFrame, doc: str, body: str) -> DataFrame:
-    """Pipe tables: (table_no, row_no, cells); row 0 is the header, the rule line is left out, and code and comments have none."""
-    lines = T.lines(F.regexp_replace(F.col(body), r"(?s)<!--.*?-->", ""))
-    paired = F.transform(lines, lambda l, i: F.struct(l.alias("line"), T.strip(l).alias("bare"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
-    out = "cast(array() as array<struct<table_no:int,row_no:int,line:string>>)"
-    start = F.struct(F.expr(out).alias("out"), F.lit(0).alias("mode"), F.lit(0).alias("t"), F.lit(0).alias("r"), F.lit("").alias("fence"))
+def tables(docs: DataFrame, doc: str, body: str) -> DataFrame:
+    """Pipe tables, one row each: (table_no, rows of (row_no, cells)); row 0 is the header, empty rows and the rule line are left out, and code and comments have none.
+
+    A document is split into lines once; the fold over them keeps where tables start and end, no lines.
+    """
+    def look(lines):  # the next line is looked at only where a header may stand
+        return F.transform(lines, lambda l, i: F.struct(
+            i.alias("i"), l.contains("|").alias("piped"), F.regexp_extract(l, r"^\s*(```|~~~)", 1).alias("mark"),
+            (l.contains("|") & F.coalesce(F.get(lines, i + 1), F.lit("")).rlike(TABLE_RULE)).alias("head")))
+
+    start = F.struct(F.expr("cast(array() as array<struct<at:int,to:int>>)").alias("out"), F.lit(0).alias("mode"), F.lit(0).alias("at"), F.lit("").alias("fence"))
 
     def step(acc, x):  # modes: outside, at the rule, within a table, within code
-        piped = x.line.contains("|")
-        row = lambda t, r: F.array_append(acc.out, F.struct(t.alias("table_no"), r.alias("row_no"), x.line.alias("line")))
-        state = lambda o, m, t, r, fence=acc.fence: F.struct(o.alias("out"), F.lit(m).alias("mode"), t.alias("t"), r.alias("r"), fence.alias("fence"))
+        ended = F.when(acc.mode == 2, F.array_append(acc.out, F.struct(acc.at.alias("at"), x.i.alias("to")))).otherwise(acc.out)
+        state = lambda o, m, at, fence: F.struct(o.alias("out"), F.lit(m).alias("mode"), at.alias("at"), fence.alias("fence"))
         return (
-            F.when(acc.mode == 1, state(acc.out, 2, acc.t, acc.r))
-            .when((acc.mode == 2) & piped, state(row(acc.t, acc.r + 1), 2, acc.t, acc.r + 1))
-            .when((acc.mode == 3) & ~x.bare.startswith(acc.fence), acc)
-            .when((acc.mode != 3) & x.bare.rlike("^(```|~~~)"), state(acc.out, 3, acc.t, acc.r, F.substring(x.bare, 1, 3)))
-            .when((acc.mode != 3) & piped & x.next.rlike(TABLE_RULE), state(row(acc.t + 1, F.lit(0)), 1, acc.t + 1, F.lit(0)))
-            .otherwise(state(acc.out, 0, acc.t, acc.r))
+            F.when(acc.mode == 1, state(acc.out, 2, acc.at, acc.fence))
+            .when(((acc.mode == 2) & x.piped) | ((acc.mode == 3) & (x.mark != acc.fence)), acc)
+            .when((acc.mode != 3) & (x.mark != ""), state(ended, 3, acc.at, x.mark))
+            .when((acc.mode != 3) & x["head"], state(ended, 1, x.i, acc.fence))
+            .otherwise(state(ended, 0, acc.at, acc.fence))
         )
 
-    rows = docs.select(doc, F.inline(F.reduce(paired, start, step, lambda acc: acc.out)))
-    cells = rows.select(doc, "table_no", "row_no", split_row(F.col("line")).alias("cells"))
-    return cells.where(F.exists("cells", lambda c: c != ""))
+    def found(lines):
+        end = lambda acc: F.when(acc.mode == 2, F.array_append(acc.out, F.struct(acc.at.alias("at"), F.size(lines).alias("to")))).otherwise(acc.out)
+        return F.transform(F.reduce(look(lines), start, step, end), lambda t, k: F.struct((k + 1).alias("table_no"), rows(lines, t).alias("rows")))
+
+    def rows(lines, t):
+        kept = F.concat(F.slice(lines, t["at"] + 1, F.lit(1)), F.slice(lines, t["at"] + 3, t["to"] - t["at"] - 2))
+        return F.filter(F.transform(kept, lambda l, r: F.struct(r.alias("row_no"), split_row(l).alias("cells"))), lambda x: F.exists(x.cells, lambda c: c != ""))
+
+    lines = T.lines(F.regexp_replace(F.col(body), r"(?s)<!--.*?-->", ""))
+    return docs.select(doc, F.inline(T.once(lines, found)))
+
+
+def table_rows(docs: DataFrame, doc: str, body: str) -> DataFrame:
+    """The rows of all pipe tables: (table_no, row_no, cells)."""
+    return tables(docs, doc, body).select(doc, "table_no", F.inline("rows"))
 
 
 def heading_level(line: Column) -> Column:
