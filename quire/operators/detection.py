@@ -77,14 +77,14 @@ def detect_policies(sections: DataFrame, doc: str) -> DataFrame:
     return best.select(doc, "key", "e.*")
 
 
-def table_allocations(rows: DataFrame, doc: str) -> DataFrame:
-    """Rows of tables that have a reference column and a name column."""
-    header = rows.where("row_no = 0").select(doc, "table_no", F.col("cells").alias("head"))
+def table_allocations(tables: DataFrame, doc: str) -> DataFrame:
+    """Rows of tables (of structuring.tables) that have a reference column and a name column."""
+    top = F.get("rows", F.lit(0))
+    heads = tables.select(doc, "table_no", "rows", F.when(top.row_no == 0, top.cells).alias("head"))
     at = lambda test: F.array_position(F.transform("head", test), True).cast("int")
-    header = header.withColumn("ref_at", at(lambda c: F.trim(c).rlike(REF_COLUMN)))
-    name_at = F.array_position(F.transform("head", lambda c, i: c.rlike(word(NAME_COLUMN)) & (i + 1 != F.col("ref_at"))), True)
-    header = header.withColumn("name_at", name_at.cast("int")).where("ref_at > 0 and name_at > 0").drop("head")
-    body = rows.where("row_no > 0").join(header, [doc, "table_no"])
+    heads = heads.withColumn("ref_at", at(lambda c: F.trim(c).rlike(REF_COLUMN)))
+    heads = heads.withColumn("name_at", at(lambda c, i: c.rlike(word(NAME_COLUMN)) & (i + 1 != F.col("ref_at"))))
+    body = heads.where("ref_at > 0 and name_at > 0").select(doc, "table_no", "ref_at", "name_at", F.inline("rows")).where("row_no > 0")
     found = body.select(doc, "table_no", "row_no", T.strip(F.coalesce(F.get("cells", F.col("ref_at") - 1), F.lit(""))).alias("ref"),
                         T.strip(F.coalesce(F.get("cells", F.col("name_at") - 1), F.lit(""))).alias("name"))
     return found.where((F.col("ref") != "") & (F.length("ref") <= 20) & F.col("ref").rlike(r"\d"))

@@ -33,7 +33,7 @@ def block_scope(spark, sf):
 
 
 def table_allocations(spark, sf):
-    return D.table_allocations(S.table_rows(P._tabled(spark, sf), "doc_id", "md"), "doc_id")
+    return D.table_allocations(S.tables(P._tabled(spark, sf), "doc_id", "md"), "doc_id")
 
 
 def merge_allocations(spark, sf):

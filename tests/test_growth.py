@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+from quire.operators import detection as D
 from quire.operators import structuring as S
 
 
@@ -48,3 +49,10 @@ def test_a_long_document_is_split_into_lines_once(spark):
     start = time.time()
     assert S.table_rows(df, "doc", "md").count() == 30001
     assert time.time() - start < 30
+
+
+def test_schedules_are_read_once(spark):
+    text = "| Ref | Site name |\n|---|---|\n| H1 | Mill Lane |\n| x | no number |\n\n| | |\n|---|---|\n| H2 | no head |\n\n| Site | Ref no |\n|---|---|\n| Farm | A/3 |"
+    df = D.table_allocations(S.tables(spark.createDataFrame([(1, text)], "doc int, md string"), "doc", "md"), "doc")
+    assert sorted((r.table_no, r.row_no, r.ref, r.name) for r in df.collect()) == [(1, 1, "H1", "Mill Lane"), (3, 1, "A/3", "Farm")]
+    assert "Join" not in plan(df)
