@@ -179,27 +179,41 @@ def footnote_sequence(numbers: Column) -> Column:
     return F.reduce(numbers, start, step, lambda acc: acc.out)
 
 
-MARKER = r"(?<=[a-z’”)])(\d{1,3})(?=[\s.,;:)’”]|$)"
+MARKER = r"(?<=[a-z’”)])(?=\d{1,3}(?:[\s.,;:)’”]|$))"  # the place before a marker
+
+
+def _markers(text: Column) -> Column:
+    """Every marker of a block in order: its digits and the words before it, back to the last of ``,;:(``."""
+    start = F.struct(F.expr("cast(array() as array<struct<digits:string,clause:string>>)").alias("out"), F.lit("").alias("clause"))
+
+    def step(acc, x):
+        out = F.when(x.i == 0, acc.out).otherwise(F.array_append(acc.out, F.struct(F.regexp_extract(x.part, r"^\d+", 0).alias("digits"), acc.clause.alias("clause"))))
+        last = F.element_at(F.split(x.part, r"[,;:(]"), -1)
+        return F.struct(out.alias("out"), F.when(x.part.rlike(r"[,;:(]"), last).otherwise(F.concat(acc.clause, x.part)).alias("clause"))
+
+    parts = F.transform(F.split(text, MARKER), lambda p, i: F.struct(i.alias("i"), p.alias("part")))
+    return F.reduce(parts, start, step, lambda acc: acc.out)
+
+
+def _hangs_on(clause: Column) -> Column:
+    """The last four words of a clause."""
+    last = T.once(F.split(T.strip(clause), r"\s+"), lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - 3), F.lit(4)))
+    return F.regexp_replace(F.array_join(last, " "), r"[’”)]+$", "")
 
 
 def footnote_attach(blocks: DataFrame, notes: DataFrame, doc: str) -> DataFrame:
     """Each footnote with the first block that carries its marker and the words it hangs on.
 
-    Every marker of a block is pulled out once, so footnotes meet blocks on
-    (document, number) instead of one pattern test per pair.
+    A block is cut once at its markers, and the words before each go with it, so footnotes
+    meet blocks on (document, number) and no block's text leaves its task.
     """
-    marked = blocks.select(doc, "block_no", "at", "target", "text",
-                           F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(MARKER), F.lit(1)))).alias("n"))
-    marked = marked.withColumn("n", F.col("n").cast("int"))
-    first = marked.join(notes, [doc, "n"]).groupBy(doc, "n").agg(
-        F.min_by(F.struct("block_no", "at", "target", "text"), "block_no").alias("b"))
-    place = F.concat(F.lit(r"^([\s\S]*?[a-z’”)])"), F.col("n"), F.lit(r"(?=[\s.,;:)’”]|$)"))
-    before = F.regexp_extract(F.regexp_substr("b.text", place), r"^([\s\S]*?)\d+$", 1)
-    clause = T.strip(F.element_at(F.split(before, r"[,;:(]"), -1))
-    words = F.split(clause, r"\s+")
-    on = F.regexp_replace(F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 3), F.lit(4)), " "), r"[’”)]+$", "")
-    return first.select(doc, "n", F.col("b.block_no").alias("block_no"), F.col("b.at").alias("at"),
-                        F.col("b.target").alias("target"), on.alias("hangs_on"))
+    marked = blocks.select(doc, "block_no", "at", "target", F.posexplode(_markers(F.col("text"))).alias("i", "m"))
+    n = F.col("m.digits").cast("int")
+    # A marker such as 07 names note 7, but the words are those before a plain 7.
+    on = F.when(F.col("m.digits") == n.cast("string"), _hangs_on(F.col("m.clause")))
+    first = marked.select(doc, n.alias("n"), F.struct("block_no", on.isNull().alias("odd"), "i").alias("o"), F.struct("block_no", "at", "target", on.alias("hangs_on")).alias("b"))
+    first = first.groupBy(doc, "n").agg(F.min_by("b", "o").alias("b"))
+    return first.join(notes.select(doc, "n"), [doc, "n"], "left_semi").select(doc, "n", "b.block_no", "b.at", "b.target", "b.hangs_on")
 
 
 def heading_paths(sections: DataFrame, doc: str) -> DataFrame:

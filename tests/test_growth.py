@@ -4,6 +4,8 @@ import random
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from quire.operators import detection as D
 from quire.operators import structuring as S
 
@@ -56,3 +58,13 @@ def test_schedules_are_read_once(spark):
     df = D.table_allocations(S.tables(spark.createDataFrame([(1, text)], "doc int, md string"), "doc", "md"), "doc")
     assert sorted((r.table_no, r.row_no, r.ref, r.name) for r in df.collect()) == [(1, 1, "H1", "Mill Lane"), (3, 1, "A/3", "Farm")]
     assert "Join" not in plan(df)
+
+
+def test_markers_of_footnotes(spark):
+    blocks = [(1, 0, "first, the words before a marker12 and more13. end14"), (1, 1, "again12 and 07x07 plain7"), (1, 2, "(one two’15)"), (1, 3, "no1234 place 8 here")]
+    df = spark.createDataFrame(blocks, "doc int, block_no int, text string").withColumns({"at": F.lit("a"), "target": F.lit("t")})
+    hung = S.footnote_attach(df, spark.createDataFrame([(1, n) for n in (7, 8, 12, 13, 14, 15, 99, 123)], "doc int, n int"), "doc")
+    assert {r.n: (r.block_no, r.hangs_on) for r in hung.collect()} == {
+        7: (1, "again12 and 07x07 plain"), 12: (0, "words before a marker"), 13: (0, "a marker12 and more"), 14: (0, "marker12 and more13. end"), 15: (2, "one two")}
+    joins = [line for line in plan(hung).split("\n") if "Join" in line or "Aggregate" in line]
+    assert joins and not [line for line in joins if re.search(r"\btext#", line)]  # no block's text goes where notes are met
