@@ -6,8 +6,6 @@ row. The fold keeps one state: the block that is open, and whether it is prose,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from quire.functions import text as T
 from quire.operators import structuring as S
 
 _BLOCK = "struct<kind:string,level:int,text:string>"
+_NONE = "cast(array() as array<struct<kind:string,level:int,text:string,rows:array<array<string>>>>)"
 # The marks of Markdown's blocks.
 FENCE = r"^(```|~~~)"
 HEADING = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
@@ -22,8 +21,9 @@ UNDERLINE = r"^(={2,}|-{2,})\s*$"
 BULLET = r"^[-*+]\s"
 RULE = r"^(\*{3,}|-{3,}|_{3,})$"
 ITEM = r"^(?:[-*+]|\d{1,3}[.)])\s+(.*)$"
-# Fixed value: white space within a line.
-GAPS = "[\\t\\u00A0\\u2000-\\u200B\\u202F\\u205F\\u3000 ]+"
+# White space within a line; a lone space stays as it is.
+_GAP = "\\t\\u00A0\\u2000-\\u200B\\u202F\\u205F\\u3000"
+GAPS = f" [{_GAP} ]+|[{_GAP}][{_GAP} ]*"
 
 
 def clean(c: Column) -> Column:
@@ -31,11 +31,6 @@ def clean(c: Column) -> Column:
     return T.strip(F.regexp_replace(F.regexp_replace(c, GAPS, " "), " *\n *", "\n"))
 
 
-def _with(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _state(out, mode, fence, part) -> Column:
     return F.struct(out.alias("out"), mode.alias("mode"), fence.alias("fence"), part.alias("part"))
 
@@ -58,7 +53,7 @@ def _looked_at(line: Column, following: Column) -> Column:
         under = F.when(~T.strip(following).rlike(UNDERLINE) | t.rlike(BULLET) | t.contains("|"), 0).when(T.strip(following).startswith("="), 1).otherwise(2)
         return F.struct(line.alias("line"), t.alias("trimmed"), kind.alias("kind"), words.alias("words"), F.length(F.regexp_extract(t, HEADING, 1)).alias("level"), under.alias("under"))
 
-    return _with(T.strip(line), look)
+    return T.once(T.strip(line), look)
 
 
 def _markdown_step(acc: Column, x: Column) -> Column:
@@ -91,7 +86,7 @@ def markdown_blocks(text: Column) -> Column:
     """
     flat = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\A---\n(?s:.*?)\n---\n", "")
     flat = F.regexp_replace(flat, r"(?s)<!--.*?-->", "")
-    lines = _with(T.lines(flat), lambda ls: F.transform(ls, lambda line, i: _looked_at(line, F.coalesce(F.get(ls, i + 1), F.lit("")))))
+    lines = T.once(T.lines(flat), lambda ls: F.transform(ls, lambda line, i: _looked_at(line, F.coalesce(F.get(ls, i + 1), F.lit("")))))
     start = _state(F.expr(f"cast(array() as array<{_BLOCK}>)"), F.lit(""), F.lit(""), F.lit(None).cast("string"))
 
     def end(acc):
@@ -103,7 +98,7 @@ def markdown_blocks(text: Column) -> Column:
 def _dressed(blocks: Column) -> Column:
     """Blocks with their inline marks gone, those without words left out, and tables as cells."""
     def one(b):
-        words = F.when(b.kind == "code", clean(b.text)).when(b.kind != "table", clean(T.strip_inline(b.text)))
+        words = F.when(b.kind == "table", F.lit(None)).when((b.kind != "code") & b.text.rlike(T.MARKS), clean(T.strip_inline(b.text))).otherwise(clean(b.text))
         rows = F.when(b.kind == "table", F.transform(F.split(b.text, "\n"), lambda r: F.transform(S.split_row(r), clean)))
         return F.struct(F.when(b.kind == "code", "para").otherwise(b.kind).alias("kind"), b.level.alias("level"), words.alias("text"), rows.alias("rows"))
 
@@ -115,7 +110,7 @@ def text_blocks(text: Column) -> Column:
     flat = F.regexp_replace(text, r"\r\n?", "\n")
 
     def group(g):
-        return _with(F.struct(clean(F.replace(T.strip(g), F.lit("\n"), F.lit(" "))).alias("words"), F.contains(T.strip(g), F.lit("\n")).alias("more")), lambda w: _with(
+        return T.once(F.struct(clean(F.replace(T.strip(g), F.lit("\n"), F.lit(" "))).alias("words"), F.contains(T.strip(g), F.lit("\n")).alias("more")), lambda w: T.once(
             F.when(w.more, 0).otherwise(S.heading_level(w.words)), lambda level: F.struct(
                 F.when(level > 0, "heading").otherwise("para").alias("kind"), level.cast("int").alias("level"), w.words.alias("text"),
                 F.lit(None).cast("array<array<string>>").alias("rows"))))
@@ -125,7 +120,8 @@ def text_blocks(text: Column) -> Column:
 
 def block_rows(docs: DataFrame, doc: str, blocks: str = "blocks") -> DataFrame:
     """One row per block: block_no, kind, level, text (a table's rows as lines of cells)."""
-    rows = docs.select(doc, F.posexplode(blocks).alias("block_no", "b"))
+    # Of a bare column Spark would first ask whether it is empty, and to know that fold the whole text once more.
+    rows = docs.select(doc, F.posexplode(F.coalesce(blocks, F.expr(_NONE))).alias("block_no", "b"))
     return rows.select(doc, "block_no", "b.kind", "b.level", F.coalesce("b.text", _lines(F.col("b.rows"))).alias("text"))
 
 
@@ -154,7 +150,7 @@ def assemble(docs: DataFrame, doc: str, blocks: str = "blocks", slides: Column |
 
     def step(acc, h):
         stack = F.array_append(F.filter(acc.open, lambda o: o.level < h.level), F.struct(h.level.alias("level"), h.heading.alias("heading")))
-        return _with(stack, lambda s: F.struct(s.alias("open"), F.array_append(acc.paths, F.transform(s, lambda o: o.heading)).alias("paths")))
+        return T.once(stack, lambda s: F.struct(s.alias("open"), F.array_append(acc.paths, F.transform(s, lambda o: o.heading)).alias("paths")))
 
     rows = docs.select(doc, b.alias("b"), heads.alias("heads"), (slides if slides is not None else F.lit(False)).alias("slides"))
     rows = rows.withColumn("paths", F.reduce("heads", start, step, lambda acc: acc.paths))

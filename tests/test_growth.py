@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import detection as D
 from quire.operators import structuring as S
+from quire.operators import uploads as U
 
 
 def plan(df):
@@ -68,3 +69,10 @@ def test_markers_of_footnotes(spark):
         7: (1, "again12 and 07x07 plain"), 12: (0, "words before a marker"), 13: (0, "a marker12 and more"), 14: (0, "marker12 and more13. end"), 15: (2, "one two")}
     joins = [line for line in plan(hung).split("\n") if "Join" in line or "Aggregate" in line]
     assert joins and not [line for line in joins if re.search(r"\btext#", line)]  # no block's text goes where notes are met
+
+
+def test_blocks_are_folded_once(spark):
+    df = spark.createDataFrame([(1, "# A\n\nx  y  z")], "doc int, text string").select("doc", U.markdown_blocks(F.col("text")).alias("blocks"))
+    rows = U.block_rows(df, "doc")
+    assert [(r.kind, r.text) for r in rows.collect()] == [("heading", "A"), ("para", "x y z")]
+    assert "Filter" not in plan(rows)
