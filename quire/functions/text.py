@@ -23,7 +23,7 @@ def strip(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Whitespace runs become one space, ends trimmed."""
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, r" \s+|[^\S ]\s*", " "))  # a space between two words is one already
 
 
 def upper(c: Column) -> Column:

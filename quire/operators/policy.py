@@ -8,6 +8,9 @@ turned since, and which block is open. A document is bounded by admission.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +27,41 @@ ROMAN = r"^(i|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii)\.\s+(.+)$"
 BULLET = r"^•\s+(.+)$"
 TERM = r"^([A-Z][^:]{2,70}):\s+(.+)$"
 SUBHEADING = r"^[A-Z][A-Za-z ,'’()\-]{3,80}$"
+GAPS, ENDS = "\t\n\u000b\f\r", "\u0085\u2028\u2029"  # white space but for the space, and what else can end a line
 AFTER_SUBHEADING = r"^(\s*\d{1,3}\.\s|\s*[A-Z]{1,2}\d{1,2}:\s|\s*[A-Z][a-z])"
 
 
+def _any(test, chars: str) -> Column:
+    return reduce(or_, [test(F.lit(x)) for x in chars])
+
+
+def _tight(c: Column) -> Column:
+    """squash() of a column; most lines are so already, and to see that no pattern is needed."""
+    odd = c.contains("  ") | c.startswith(" ") | c.endswith(" ") | _any(c.contains, GAPS + ENDS)
+    return F.when(odd, T.squash(c)).otherwise(c)
+
+
+def _is(c: Column, pattern: str, opening: str) -> Column:
+    """Whether a line has a form; of most lines the first letters tell that they have not, and the rest is not read."""
+    return F.left(c, F.lit(12)).rlike(opening) & c.rlike(pattern)
+
+
 def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Lines that are not blank, from where the body starts, with what follows each."""
-    raw = T.lines(F.replace(F.col(text), F.lit("\f"), F.lit("\n")))
-    intro = F.transform(raw, lambda l, i: (i > 60) & l.rlike(r"^\s*1\.\s+Introduction\s*$"))
-    begins = F.greatest(F.array_position(intro, True) - 1, F.lit(0))
-    rows = docs.select(doc, begins.alias("_b"), F.posexplode(raw).alias("no", "raw")).where("no >= _b").drop("_b")
-    w = Window.partitionBy(doc).orderBy("no")
-    rows = rows.withColumn("below", F.coalesce(F.lead("raw").over(w), F.lit("")))
-    rows = rows.where(~T.blank(F.col("raw"))).withColumn("next", F.lead("raw").over(w))
-    flush = F.regexp_replace("raw", r"\s+$", "")
-    return rows.withColumn("flush", flush).withColumn("line", T.strip(F.col("raw"))).withColumn("indented", F.col("flush") != F.col("line"))
+    """Lines that are not blank, from where the body starts; of what follows each, only what is asked of it: the line below a chapter's, and whether the next may stand after a heading."""
+    def body(lines):
+        intro = F.transform(lines, lambda l, i: (i > 60) & l.rlike(r"^\s*1\.\s+Introduction\s*$"))
+        below = lambda l, i: F.when(l.rlike(r"^\s*(\d{1,2}\.|Annex [A-F]:)\s"), F.coalesce(F.get(lines, i + 1), F.lit(""))).otherwise("")
+        rows = F.transform(lines, lambda l, i: F.struct(i.alias("no"), l.alias("raw"), below(l, i).alias("below")))
+        said = T.once(F.greatest(F.array_position(intro, True) - 1, F.lit(0)), lambda begins: F.filter(rows, lambda x: (x.no >= begins) & ~T.blank(x.raw)))
+        after = lambda x, k, all_: F.coalesce(F.get(all_, k + 1).raw.rlike(AFTER_SUBHEADING), F.lit(False))
+        return T.once(said, lambda all_: F.transform(all_, lambda x, k: F.struct(x.no.alias("no"), x.raw.alias("raw"), x.below.alias("below"), after(x, k, all_).alias("leads"))))
+
+    rows = docs.select(doc, F.inline(T.once(T.lines(F.replace(F.col(text), F.lit("\f"), F.lit("\n"))), body)))
+    raw = F.col("raw")
+    loose = _any(raw.endswith, " " + GAPS) | _any(raw.contains, ENDS)
+    rows = rows.select(doc, "no", "below", "leads", F.when(loose, F.regexp_replace(raw, r"\s+$", "")).otherwise(raw).alias("flush"))
+    line = F.ltrim("flush", F.lit(" " + GAPS))
+    return rows.withColumn("line", line).withColumn("indented", F.col("flush") != F.col("line"))
 
 
 def _chapters(rows: DataFrame, titles: DataFrame, doc: str) -> DataFrame:
@@ -47,7 +71,7 @@ def _chapters(rows: DataFrame, titles: DataFrame, doc: str) -> DataFrame:
     heads = titles.select(doc, F.struct(named.alias("key"), F.struct("num", "annex").alias("value")).alias("e")).distinct()
     heads = heads.groupBy(doc).agg(F.map_from_entries(F.collect_list("e")).alias("_heads"))
     pair = T.squash(F.concat_ws(" ", "line", F.trim("below")))
-    hit = rows.withColumn("pair", F.when(F.col("line").rlike(r"^(\d{1,2}\.|Annex [A-F]:)\s"), pair).otherwise("")).join(heads, doc, "left")
+    hit = rows.withColumn("pair", F.when(F.left("line", F.lit(10)).rlike(r"^(\d{1,2}\.|Annex [A-F]:)\s"), pair).otherwise("")).join(heads, doc, "left")
     hit = hit.withColumn("_h", F.try_element_at("_heads", F.col("line"))).withColumn("_h2", F.try_element_at("_heads", F.col("pair")))
     hit = hit.withColumns({"_num": F.col("_h.num"), "_annex": F.col("_h.annex"), "_num2": F.col("_h2.num"), "_annex2": F.col("_h2.annex")})
     last_annex = F.coalesce(F.exists(F.map_values("_heads"), lambda v: v.annex == "F"), F.lit(False))
@@ -67,7 +91,7 @@ def _chapters(rows: DataFrame, titles: DataFrame, doc: str) -> DataFrame:
     hit = hit.withColumn("_annex", F.when(F.col("_f"), "F").otherwise(F.col("_annex")))
     ident = F.when(F.col("_annex") != "", F.concat(F.lit("annex-"), F.lower("_annex"))).otherwise(F.concat(F.lit("ch-"), "_num"))
     hit = hit.withColumn("chapter", F.last(F.when(F.col("starts"), F.struct(F.col("no").alias("at"), ident.alias("id"), F.col("_annex").alias("annex"), F.col("line").alias("heading"))), True).over(w))
-    return hit.where("chapter is not null").select(doc, "no", "line", "flush", "indented", "next", "starts", "chapter")
+    return hit.where("chapter is not null").select(doc, "no", "line", "flush", "indented", "leads", "starts", "chapter")
 
 
 def blocks(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -76,12 +100,14 @@ def blocks(docs: DataFrame, doc: str, text: str) -> DataFrame:
     w = Window.partitionBy(doc).orderBy("no")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     line, flush, level0 = F.col("line"), F.col("flush"), ~F.col("indented")
-    is_page = flush.rlike(r"^\s*\d{1,3}\s*$")
-    is_policy = level0 & line.rlike(POLICY)
-    noted = flush.rlike(FOOTNOTE) & ~flush.rlike(r"^\d{1,3}\. ") & ~is_policy & ~is_page & ~F.col("starts")
+    letter_, roman_, bullet_ = _is(line, LETTER, r"^[a-z]\."), _is(line, ROMAN, r"^[ivx]{1,4}\."), _is(line, BULLET, "^•")
+    is_page = (F.length("line") <= 5) & flush.rlike(r"^\s*\d{1,3}\s*$")
+    is_policy = level0 & _is(line, POLICY, r"^[A-Z]{1,2}\d")
+    noted = _is(flush, FOOTNOTE, r"^\d") & ~F.left("flush", F.lit(12)).rlike(r"^\d{1,3}\. ") & ~is_policy & ~is_page & ~F.col("starts")
     rows = rows.withColumn("page", is_page & ~F.col("starts")).withColumn("_fn", F.when(noted, F.regexp_extract("flush", FOOTNOTE, 1).cast("int")))
 
-    # A footnote's number counts only in sequence through the whole document.
+    # A footnote's number counts only in sequence through the whole document. Numbers and lines are read apart, so all above is worked out once and written.
+    rows = written(rows, "lines")
     cand = rows.where("_fn is not null").groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("no", "_fn"))).alias("c"))
     start = F.struct(F.expr("cast(array() as array<int>)").alias("out"), F.lit(0).alias("last"))
     step = lambda a, x: F.when((x["_fn"] > a.last) & (x["_fn"] <= a.last + 20), F.struct(F.array_append(a.out, x.no).alias("out"), x["_fn"].alias("last"))).otherwise(a)
@@ -89,11 +115,11 @@ def blocks(docs: DataFrame, doc: str, text: str) -> DataFrame:
     rows = rows.join(good, doc, "left").withColumn("foot", F.coalesce(F.array_contains("_good", F.col("no")), F.lit(False))).drop("_good")
 
     annex = F.col("chapter.annex")
-    sub = level0 & ~annex.isin("C", "E", "F") & line.rlike(SUBHEADING) & ~line.endswith(".") & F.col("next").rlike(AFTER_SUBHEADING)
+    sub = level0 & ~annex.isin("C", "E", "F") & (F.length("line") <= 90) & line.rlike(SUBHEADING) & ~line.endswith(".") & F.col("leads")
     own = (F.when(F.col("starts"), "chapter").when(F.col("page"), "page").when(is_policy, "policy").when(F.col("foot"), "footnote")
-           .when(level0 & flush.rlike(PARA), "para").when(level0 & (annex == "B") & line.rlike(TERM) & ~line.rlike(LETTER) & ~line.rlike(BULLET), "dl")
-           .when(level0 & line.rlike(r"^Step \d+:") & ~(annex == "B"), "h3").when(sub & ~line.rlike(LETTER), "h3"))
-    rows = rows.withColumn("form", own).withColumn("itemish", F.col("form").isNull() & (line.rlike(LETTER) | line.rlike(ROMAN) | line.rlike(BULLET)))
+           .when(level0 & _is(flush, PARA, r"^\d{1,3}\."), "para").when(level0 & (annex == "B") & line.rlike(TERM) & ~letter_ & ~bullet_, "dl")
+           .when(level0 & line.startswith("Step ") & line.rlike(r"^Step \d+:") & ~(annex == "B"), "h3").when(sub & ~letter_, "h3"))
+    rows = rows.withColumn("form", own).withColumn("itemish", F.col("form").isNull() & (letter_ | roman_ | bullet_))
 
     # Inside a footnote until its page turns; the first indented line after that leaves it.
     turning = ["chapter", "policy", "footnote", "para", "dl", "h3"]
@@ -107,7 +133,7 @@ def blocks(docs: DataFrame, doc: str, text: str) -> DataFrame:
     rows = rows.where(~F.col("page"))
 
     # "i.", "v." and "x." are letters only straight after h, u and w.
-    candidate = F.col("itemish") & ~F.col("held") & line.rlike(LETTER)
+    candidate = F.col("itemish") & ~F.col("held") & letter_
     rows = rows.withColumn("_c", F.when(candidate, F.left("line", F.lit(1))))
     plain = F.col("_c").isNotNull() & ~F.col("_c").isin("i", "v", "x")
     rows = rows.withColumn("_reset", F.last(F.when(F.col("form").isin("chapter", "policy", "para"), F.col("no")), True).over(w))
@@ -116,7 +142,7 @@ def blocks(docs: DataFrame, doc: str, text: str) -> DataFrame:
     follows = F.col("_seen._reset").eqNullSafe(F.col("_reset")) & (F.ascii("_c") == F.ascii("_seen._c") + 1) & (F.col("_nth") == 1)
     letter = F.col("_c").isNotNull() & (plain | F.coalesce(follows, F.lit(False)))
     form = (F.when(F.col("form").isNotNull(), F.col("form")).when(F.col("held"), "more").when(F.col("back"), "back")
-            .when(letter, "item1").when(F.col("itemish") & line.rlike(ROMAN), "item2").when(F.col("itemish") & line.rlike(BULLET), "bullet").otherwise("more"))
+            .when(letter, "item1").when(F.col("itemish") & roman_, "item2").when(F.col("itemish") & bullet_, "bullet").otherwise("more"))
     rows = rows.withColumn("form", form)
 
     # A line with no block open before it opens one: an objective under a chapter heading, else a paragraph.
@@ -143,8 +169,9 @@ def blocks(docs: DataFrame, doc: str, text: str) -> DataFrame:
     marker = (F.when(F.col("form") == "policy", F.regexp_extract("line", POLICY, 1)).when(F.col("form") == "footnote", F.regexp_extract("flush", FOOTNOTE, 1))
               .when(F.col("form") == "para", F.regexp_extract("line", PARA, 1)).when(F.col("form") == "item1", F.left("line", F.lit(1)))
               .when(F.col("form") == "item2", F.regexp_extract("line", ROMAN, 1)).when(F.col("form") == "dl", F.regexp_extract("line", TERM, 1)).otherwise(""))
-    item = F.struct("no", T.squash(said).alias("t"), "form", marker.alias("marker"), "policy", "chapter")
-    grouped = rows.groupBy(doc, "block_no").agg(F.sort_array(F.collect_list(F.struct("no", T.squash(said).alias("t")))).alias("l"), F.min_by(item, "no").alias("h"))
+    item = F.struct("no", "form", marker.alias("marker"), "policy", "chapter")
+    rows = rows.withColumn("_said", said)
+    grouped = rows.groupBy(doc, "block_no").agg(F.sort_array(F.collect_list(F.struct("no", _tight(F.col("_said")).alias("t")))).alias("l"), F.min_by(item, "no").alias("h"))
     step = lambda a, x: F.when(a == "", x.t).when(a.endswith("-") & x.t.rlike("^[a-z]"), F.concat(a, x.t)).otherwise(F.concat(a, F.lit(" "), x.t))
     joined = F.regexp_replace(F.reduce("l", F.lit(""), step), r"(\w)- (\w)", "$1-$2")
     kind = F.when(F.col("h.form") == "loose", "para").otherwise(F.col("h.form"))

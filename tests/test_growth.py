@@ -6,7 +6,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import detection as D
+from quire.operators import policy as PO
 from quire.operators import structuring as S
 from quire.operators import uploads as U
 
@@ -76,3 +78,15 @@ def test_blocks_are_folded_once(spark):
     rows = U.block_rows(df, "doc")
     assert [(r.kind, r.text) for r in rows.collect()] == [("heading", "A"), ("para", "x y z")]
     assert "Filter" not in plan(rows)
+
+
+def test_printed_lines_come_of_one_split(spark):
+    text = "\n".join(f"line {i}" for i in range(30000))
+    df = spark.createDataFrame([(1, text)], "doc int, t string")
+    start = time.time()
+    assert PO._lines(df, "doc", "t").count() == 30000
+    assert time.time() - start < 30
+
+
+def test_squash_keeps_single_spaces(ask):
+    assert ask(T.squash, t=" \ta b  c\td\n e\u000bf \n") == "a b c d e f"
