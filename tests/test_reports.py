@@ -82,3 +82,35 @@ def test_only_columns_travel_to_an_order(spark):
     plan = checking.report_problems(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     lists = [line for line in plan.splitlines() if "collect_list(" in line]
     assert lists and not any("repeat(" in line for line in lists)
+
+
+def test_a_report_as_a_struct_is_checked_without_writing_it_as_text(spark):
+    from quire.plans import checking
+
+    plan = checking.report_problems(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "repeat(" in plan and not any(w in plan for w in ("to_json", "structstojson", "parse_json", "parseJson"))
+    made = checking._reports(spark, "/root/testdata/sf0.001")
+    assert made.schema["report"].dataType.typeName() == "struct"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    texts = reports.problems_of(made.selectExpr("o_orderkey", "to_json(report) as report"), "o_orderkey", "report")
+    variants = reports.problems_in(made.selectExpr("o_orderkey", "to_variant_object(report) as report"), "o_orderkey", "report")
+    want = rows(texts)
+    assert want and rows(reports.problems_in(made, "o_orderkey", "report")) == want and rows(variants) == want
+
+
+def test_a_struct_says_the_kinds_of_its_parts(spark):
+    """Each part of another kind, null or not there at all in the schema; the same report as JSON says the same."""
+    schema = """k int, r struct<schema: int, version: string, notice: string, document: array<int>, sections: array<struct<id: boolean, title: string, letter: string,
+        items: array<struct<id: string, evidence: array<string>, gaps: string, citations: array<struct<label: string, href: int>>, instances: struct<a: int>>>>>,
+        statements: struct<compliance: string, soundness: struct<title: string, entries: array<struct<id: string, shows: string>>>>, summary: struct<counts: string>>"""
+    item = ("é" * 12, ["x", None], "g", [("l", None), (None, 3)], (1,))
+    section = (True, "t", "AB", [item, None])
+    rows = [(1, (1, "1", "é" * 2001, [1], [section, None], ("c", ("s", [("1", "é" * 4000), None])), ("",))), (2, None), (3, (None,) * 7)]
+    df = spark.createDataFrame(rows, schema)
+    said = lambda d: sorted(map(tuple, d.collect()))
+    got = said(reports.problems_in(df, "k", "r"))
+    assert got == said(reports.problems_of(df.selectExpr("k", "to_json(r) as j"), "k", "j"))
+    paths = [p for k, p, _ in got if k == 1]
+    assert (2, "", "the report is not an object") in got and "notice" in paths and "document.name" in paths and "summary" in paths
+    assert "sections[0].items[0].id" not in paths and "sections[0].items[1].id" in paths and "sections[0].items[0].evidence[0]" in paths and "sections[0].items[0].citations[1].href" in paths
+    assert "statements.soundness.entries[0].shows" not in paths and "statements.soundness.entries[1].shows" in paths
