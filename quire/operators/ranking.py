@@ -125,14 +125,14 @@ def field_scores(passages: DataFrame, key: str, expanded: DataFrame, many: bool
     match is weight x boost x idf x (d + tf (k + 1) / (tf + k (1 - b + b len / avg))). With ``many`` expansions all terms are counted
     rather than each occurrence looked up, and only the figures of frequent terms go to all tasks.
     """
+    if many:
+        postings = written(field_postings(passages, key), "field-postings")
+        return posting_scores(postings, key, written(field_counts(postings), "field-counts"), expanded)
     k, b, d = fixed.FIELD_K, fixed.FIELD_B, fixed.FIELD_D
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(boost).alias("boost"), F.col(f).alias("value"))
-                       for f, boost in fixed.FIELD_BOOST.items()])
-    rows = passages.select(key, F.inline(fields))
-    sized = rows.select(key, "field", "boost", F.lower("value").alias("value"), F.size(F.array_distinct(T.tokens(F.col("value")))).alias("len"))
+    sized = _field_rows(passages, key).withColumn("value", F.lower("value"))
     raw = sized.select(key, "field", "boost", "len", F.explode(F.array_append(T.tokens(F.col("value")), terms.marker(key))).alias("term"))
     kept = raw.where((F.length("term") > 1) & ~F.col("term").isin(fixed.INDEX_STOP))
-    known = kept.withColumn("term", F.when(~F.col("term").startswith(terms.MARK), F.col("term"))) if many else terms.in_vocabulary(kept, expanded.select("term").distinct())
+    known = terms.in_vocabulary(kept, expanded.select("term").distinct())
     counts = known.groupBy(key, "field", "boost", "len", "term").agg(F.count("*").alias("tf"))
     postings = written(counts, "field-postings")
     tf = postings.where("term is not null")
@@ -143,25 +143,69 @@ def field_scores(passages: DataFrame, key: str, expanded: DataFrame, many: bool
     gain = d + F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / F.col("avg")))
     # A field is a row and three fields are all: no passage is dealt by its field, nor by a frequent term.
     asked = written(df.join(F.broadcast(average), "field").join(expanded, "term"), "asked-terms")
-    if many:
-        joined = _by_passage(tf, key, asked)
-    else:
-        joined = tf.repartition(key).join(small(asked), ["field", "term"])
+    joined = tf.repartition(key).join(small(asked), ["field", "term"])
     return joined.groupBy(key, "qterm").agg(F.sum(F.col("weight") * F.col("boost") * idf * gain).alias("score"))
 
 
+def _field_rows(passages: DataFrame, key: str) -> DataFrame:
+    """(passage, field, boost, value, len): a row per field; its length is the number of its distinct words."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(boost).alias("boost"), F.col(f).alias("value"))
+                       for f, boost in fixed.FIELD_BOOST.items()])
+    rows = passages.select(key, F.inline(fields))
+    return rows.withColumn("len", F.size(F.array_distinct(T.tokens(F.col("value")))))
+
+
+def field_postings(passages: DataFrame, key: str) -> DataFrame:
+    """(passage, field, len, words, tfs): a row per field with all its terms, one to a line, and their counts. Nothing is shuffled."""
+    rows = _field_rows(passages, key).where("value is not null").select(key, "field", "len", terms.counted(F.col("value")).alias("_t"))
+    return rows.select(key, "field", "len", F.array_join("_t.term", "\n").alias("words"), F.col("_t.tf").alias("tfs"))
+
+
+def _postings_of() -> Column:
+    """array<struct<term, tf>> of such a row, null where there is none."""
+    return F.when(F.size("tfs") > 0, F.arrays_zip(F.split("words", "\n").alias("term"), F.col("tfs").alias("tf")))
+
+
+def field_counts(postings: DataFrame) -> DataFrame:
+    """For each term in how many passages it stands, a column per field."""
+    each = postings.where(F.size("tfs") > 0).select("field", F.explode(F.split("words", "\n")).alias("term"))
+    return each.groupBy("term").agg(*[F.count(F.when(F.col("field") == f, 1)).alias(f) for f in fixed.FIELD_BOOST])
+
+
 #: A term in more than this share of the postings is frequent, so there are fewer than 1 / share of them.
-FREQUENT = 1e-5
+FREQUENT = 2.5e-6
 
 
-def _by_passage(tf: DataFrame, key: str, asked: DataFrame) -> DataFrame:
-    """Postings with the figures of their terms, dealt by passage: frequent terms by broadcast, the rest where they meet by term."""
-    rows = asked.dropDuplicates(["field", "term"]).agg(F.sum("df")).first()[0] or 0
-    often = F.col("df") > int(rows * FREQUENT) + 1
-    heavy, light = asked.where(often), asked.where(~often)
-    rest = tf.join(F.broadcast(heavy.select("field", "term").distinct()), ["field", "term"], "left_anti")
-    met = rest.join(light.hint("merge"), ["field", "term"])  # not dealt by passage: a union whose sides share that may fail in a later join
-    return tf.repartition(key).join(F.broadcast(heavy), ["field", "term"]).unionByName(met)
+def posting_scores(postings: DataFrame, key: str, counts: DataFrame, expanded: DataFrame) -> DataFrame:
+    """``field_scores`` from written postings and counts, however many expansions there are.
+
+    The figures of frequent terms go to all tasks. Rare terms' occurrences meet theirs by term and travel on as scores, in one
+    shuffle by passage with the postings, so that all sums of a passage are made in its task.
+    """
+    k, b, d = fixed.FIELD_K, fixed.FIELD_B, fixed.FIELD_D
+    average = F.broadcast(postings.groupBy("field").agg(F.avg("len").alias("avg"), F.count("*").alias("n")))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    boosts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(boost).alias("boost"), F.col(f).alias("df")) for f, boost in fixed.FIELD_BOOST.items()])
+    pairs = counts.join(expanded, "term").select("qterm", "term", "weight", F.inline(boosts)).where("df > 0").join(average, "field")
+    asked = written(pairs.select("field", "term", "qterm", "df", (F.col("weight") * F.col("boost") * idf).alias("factor")), "asked-terms")
+    rows = postings.join(average, "field").select(key, "field", (k * (1 - b + b * F.col("len") / F.col("avg"))).alias("norm"), "words", "tfs")
+    part = F.col("factor") * (d + F.col("tf") * (k + 1) / (F.col("tf") + F.col("norm")))
+
+    if asked.count() <= BROADCAST_ROWS:
+        heavy, dealt = asked, rows.withColumns({"qterm": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+    else:
+        total = counts.agg(F.sum(sum(F.col(f) for f in fixed.FIELD_BOOST))).first()[0]
+        often = F.col("df") > int(total * FREQUENT)
+        heavy, light = asked.where(often), asked.where(~often)
+        each = rows.select(key, "field", "norm", F.inline(_postings_of()))
+        rare = each.join(F.broadcast(heavy.select("field", "term").distinct()), ["field", "term"], "left_anti")
+        met = rare.join(light.hint("merge"), ["field", "term"]).select(key, "qterm", part.alias("score"))
+        dealt = rows.unionByName(met, allowMissingColumns=True)
+    # A row holds a field's terms, or a score; the terms are looked up, the score stays.
+    each = dealt.repartition(key).select(key, "field", "norm", "qterm", "score", F.inline_outer(_postings_of()))
+    figures = F.broadcast(heavy.select("field", "term", F.col("qterm").alias("_qterm"), "factor"))
+    scored = each.join(figures, ["field", "term"], "left").select(key, F.coalesce("qterm", "_qterm").alias("qterm"), F.coalesce("score", part).alias("score"))
+    return scored.where("qterm is not null").groupBy(key, "qterm").agg(F.sum("score").alias("score"))
 
 
 def index_query(queries: DataFrame, qkey: str, text: str = "text") -> DataFrame:
@@ -183,17 +227,18 @@ def search(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: s
     q = index_query(queries, qkey, text)
     asked = q.select("qterm").distinct()
     if expand:
-        expanded = written(terms.expansions(asked, index_vocabulary(passages)), "expansions")
-        many = expanded.count() > BROADCAST_ROWS
+        postings = written(field_postings(passages, key), "field-postings")
+        counts = written(field_counts(postings), "field-counts")
+        expanded = written(terms.expansions(asked, counts.select("term")), "expansions")
+        parts = posting_scores(postings, key, counts, expanded)
     else:
-        many = False
-        expanded = asked.select("qterm", F.col("qterm").alias("term"), F.lit(1.0).alias("weight"))
-    parts = field_scores(passages, key, expanded, many)
+        parts = field_scores(passages, key, asked.select("qterm", F.col("qterm").alias("term"), F.lit(1.0).alias("weight")))
     if only is not None:
         parts = parts.join(only, key, "left_semi")
     wanted = q.groupBy(qkey).agg(F.count("*").alias("wanted"))
-    found = parts.join(q, "qterm").groupBy(qkey, key).agg(F.sum("score").alias("sum"), F.count("*").alias("matched"))
-    return found.join(wanted, qkey).select(
+    wanting = small(written(q.join(wanted, qkey), "wanted-terms"))
+    found = parts.join(wanting, "qterm").groupBy(qkey, key).agg(F.sum("score").alias("sum"), F.count("*").alias("matched"), F.max("wanted").alias("wanted"))
+    return found.select(
         qkey, key, F.round(F.col("sum") * F.col("matched"), PLACES).alias("score"), "matched",
         F.when(F.col("matched") == F.col("wanted"), 0).otherwise(1).alias("tier"))
 

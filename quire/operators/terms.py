@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed
 from quire.functions import text as T
+from quire.operators.scale import small
 from quire.session import written
 
 
@@ -30,6 +31,18 @@ def index_rows(df: DataFrame, keys: list[str], text: Column, kept_as: str = "ter
     return raw.where((F.length(kept_as) > 1) & ~F.col(kept_as).isin(fixed.INDEX_STOP))
 
 
+def counted(text: Column) -> Column:
+    """array<struct<term, tf>> of a text's index terms, counted inside the row: its words sorted, then cut where the next one begins."""
+    def cut(words):
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        run = lambda at: F.transform(at, lambda i, j: F.struct(
+            F.get(words, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(words)) - i).alias("tf")))
+        return T.once(starts, run)
+
+    runs = T.once(F.sort_array(T.tokens(F.lower(text))), cut)
+    return F.filter(runs, lambda x: (F.length(x["term"]) > 1) & ~x["term"].isin(fixed.INDEX_STOP))
+
+
 MARK = "\u0000"
 
 
@@ -79,7 +92,7 @@ def vocabulary_prefixes(query_side: DataFrame, vocabulary: DataFrame) -> DataFra
     cuts = F.sequence(F.lit(1), F.least(F.length("term") - 1, longest))
     prefixes = vocabulary.where(F.length("term") > 1).select("term", F.explode(cuts).alias("n"))
     prefixes = prefixes.select("term", F.left("term", F.col("n")).alias("qterm"))
-    return prefixes.join(query_side, "qterm").select("qterm", "term")
+    return prefixes.join(small(written(query_side, "query-terms")), "qterm").select("qterm", "term")
 
 
 def vocabulary_near(query_side: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -98,12 +111,12 @@ def vocabulary_near(query_side: DataFrame, vocabulary: DataFrame) -> DataFrame:
     q = q.withColumn("piece", F.substring("qterm", F.col("a") + 1, F.col("k")))
     q = q.withColumn("len", F.explode(F.sequence(F.col("n") - F.col("d"), F.col("n") + F.col("d"))))
     q = q.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("a") - F.col("d")), F.col("a") + F.col("d"))))
-    q = q.where("at + k <= len").select("qterm", "d", "len", "at", "piece").distinct()
+    q = written(q.where("at + k <= len").select("qterm", "d", "len", "at", "piece").distinct(), "query-pieces")
     sizes = q.agg(F.collect_set(F.length("piece")).alias("s")).select("s").scalar()
     v = vocabulary.select("term", F.length("term").alias("len"), F.explode(sizes).alias("k")).where("k <= len")
     v = v.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))))
     v = v.select("term", "len", "at", F.substring("term", F.col("at") + 1, F.col("k")).alias("piece"))
-    pairs = v.join(q, ["len", "at", "piece"]).select("qterm", "term", "d").distinct()
+    pairs = v.join(small(q), ["len", "at", "piece"]).select("qterm", "term", "d").distinct()  # the vocabulary's pieces are many times its terms and stay where they are
     far = F.levenshtein(F.col("qterm"), F.col("term"))
     return pairs.withColumn("distance", far).where("distance between 1 and d").select("qterm", "term", "distance")
 
@@ -111,8 +124,8 @@ def vocabulary_near(query_side: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def expansions(query_side: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(qterm, term, weight): the term itself, longer terms it starts, and near misses."""
     n, m = F.length("term"), F.length("qterm")
-    exact = vocabulary.join(query_side, vocabulary.term == query_side.qterm).select(
-        "qterm", "term", F.lit(1.0).alias("weight"))
+    query_side = written(query_side, "query-terms")
+    exact = vocabulary.join(small(query_side), F.col("term") == F.col("qterm")).select("qterm", "term", F.lit(1.0).alias("weight"))
     starts = vocabulary_prefixes(query_side, vocabulary).select(
         "qterm", "term", (fixed.PREFIX_WEIGHT * n / (n + 0.3 * (n - m))).alias("weight"))
     near = vocabulary_near(query_side, vocabulary).where(~F.col("term").startswith(F.col("qterm"))).select(

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,40 @@ def test_many_expansions_give_the_same_scores(spark):
     expanded = spark.createDataFrame([(w[0], w, 1.0 / (1 + i)) for i, w in enumerate(words[:12])] + [("q", "ax", 0.5)], "qterm string, term string, weight double")
     few, many = ({(r.p, r.qterm): round(r.score, 9) for r in R.field_scores(passages, "p", expanded, m).collect()} for m in (False, True))
     assert few == many and len(few) > 100
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    from collections import Counter
+
+    from quire import fixed
+
+    texts = ["Homes, homes and HOMES by the road; a road", "", "the of", "one", None, "\n\nplan plan\rplan " * 30]
+    df = spark.createDataFrame([(i, t, "h", "t") for i, t in enumerate(texts)], "p int, text string, heading string, title string")
+    postings = R.field_postings(df, "p")
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    got = {r.p: (dict(zip(r.words.split("\n"), r.tfs)), r.len) for r in postings.where("field = 'text'").collect()}
+    split = lambda t: [w for w in re.split(r"[\n\r\s.,;]+", t)]
+    want = {i: Counter(w for w in split(t.lower()) if len(w) > 1 and w not in fixed.INDEX_STOP) for i, t in enumerate(texts) if t is not None}
+    assert {i: {w: n for w, n in c.items() if w} for i, (c, _) in got.items()} == want
+    assert {i: n for i, (_, n) in got.items()} == {i: len(set(split(t))) for i, t in enumerate(texts) if t is not None}
+    counts = {r.term: (r.text, r.heading, r.title) for r in R.field_counts(postings).collect()}
+    assert counts == {w: (sum(w in c for c in want.values()), 0, 0) for w in set().union(*want.values())}
+
+
+def test_rare_and_frequent_terms_give_the_same_scores(spark, monkeypatch):
+    """Looked up all by broadcast, or rare ones by term: the same sums, and only the passage is dealt again."""
+    rnd = random.Random(5)
+    words = [a + b for a in "abcdefghij" for b in "xyzw"]
+    text = lambda n: " ".join(words[min(int(rnd.expovariate(0.15)), len(words) - 1)] for _ in range(n))
+    passages = spark.createDataFrame([(i, text(15), text(2), "title") for i in range(40)] + [(99, "", "", "")], "p int, text string, heading string, title string")
+    asked = spark.createDataFrame([(1, "a b cx"), (2, "dx ey tit"), (3, "jw")], "q int, text string")
+    rows = lambda df: {(r.q, r.p, r.score, r.matched, r.tier) for r in df.collect()}
+    few = R.search(passages, "p", asked, "q")
+    dealt = [re.search(r"hashpartitioning\(.*?, \d+\)", line)[0] for line in few._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert [d for d in dealt if "field#" not in d] == [d for d in dealt if "(p#" in d] and len([d for d in dealt if "(p#" in d]) == 1
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(R, "FREQUENT", 0.02)
+    many = R.search(passages, "p", asked, "q")
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("hashpartitioning(p#") >= 1 and "hashpartitioning(q#" not in plan
+    assert rows(few) == rows(many) and len(rows(few)) > 30
