@@ -251,7 +251,8 @@ def top_up(found: DataFrame, qkey: str, key: str, limit: int) -> DataFrame:
 def unique_anchor(found: DataFrame, qkey: str, key: str, anchor: list[str], limit: int) -> DataFrame:
     """The best passage of each anchor, among all full matches and partial ones up to three times the limit."""
     order = F.struct("tier", (-F.col("score")).alias("neg"), F.col(key).alias("id"))
-    rows = found.withColumn("o", order)
+    # The first of each anchor are all that can be among the first or an anchor's best; written, so that the pairs are worked out once.
+    rows = written(top_k(found.withColumn("o", order), [qkey, *anchor], [F.asc("o")], limit * 3, "_n").drop("_n"), "anchored")
     near = top_k(rows, [qkey], [F.asc("o")], limit * 3, "_p").where("tier = 1").drop("_p")
     offered = rows.where("tier = 0").unionByName(near)
     best = offered.groupBy(qkey, *anchor).agg(F.min("o").alias("o"))

@@ -170,3 +170,10 @@ def test_rare_and_frequent_terms_give_the_same_scores(spark, monkeypatch):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("hashpartitioning(p#") >= 1 and "hashpartitioning(q#" not in plan
     assert rows(few) == rows(many) and len(rows(few)) > 30
+
+
+def test_pairs_of_an_anchor_are_worked_out_once(spark):
+    df = spark.range(200).selectExpr("id % 3 as q", "id as p", "cast(id * 7919 % 101 as double) as score", "cast(id % 2 as int) as tier", "id % 5 as anchor")
+    out = R.unique_anchor(df, "q", "p", ["anchor"], 6)
+    assert "7919" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.groupBy("q").agg(F.countDistinct("anchor").alias("n")).where("n = 5").count() == 3
