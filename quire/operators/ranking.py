@@ -192,7 +192,7 @@ def posting_scores(postings: DataFrame, key: str, counts: DataFrame, expanded: D
     part = F.col("factor") * (d + F.col("tf") * (k + 1) / (F.col("tf") + F.col("norm")))
 
     if asked.count() <= BROADCAST_ROWS:
-        heavy, dealt = asked, rows.withColumns({"qterm": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+        heavy, dealt = asked, rows.withColumns({"qterm": F.lit(None).cast(expanded.schema["qterm"].dataType), "score": F.lit(None).cast("double")})
     else:
         total = counts.agg(F.sum(sum(F.col(f) for f in fixed.FIELD_BOOST))).first()[0]
         often = F.col("df") > int(total * FREQUENT)
@@ -229,7 +229,11 @@ def search(passages: DataFrame, key: str, queries: DataFrame, qkey: str, text: s
     if expand:
         postings = written(field_postings(passages, key), "field-postings")
         counts = written(field_counts(postings), "field-counts")
-        expanded = written(terms.expansions(asked, counts.select("term")), "expansions")
+        # Sums are kept per passage and query term, so the term is a number there.
+        numbers = small(written(asked.withColumn("no", F.monotonically_increasing_id()), "query-terms"))
+        grown = terms.expansions(asked, counts.select("term")).join(numbers, "qterm")
+        expanded = written(grown.select(F.col("no").alias("qterm"), "term", "weight"), "expansions")
+        q = q.join(numbers, "qterm").select(qkey, F.col("no").alias("qterm"))
         parts = posting_scores(postings, key, counts, expanded)
     else:
         parts = field_scores(passages, key, asked.select("qterm", F.col("qterm").alias("term"), F.lit(1.0).alias("weight")))
